@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_automaton
+from quern.llm import bpe_automaton, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe_automaton": bpe_automaton.op3_bpe}
+    return {
+        "op2_token_shards": token_shards.op2_token_shards,
+        "op3_bpe_automaton": bpe_automaton.op3_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
