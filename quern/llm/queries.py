@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_automaton, decontaminate, token_shards
+from quern.llm import bpe_automaton, decontaminate, simhash_dedup, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": token_shards.op2_token_shards,
         "op3_bpe_automaton": bpe_automaton.op3_bpe,
+        "op6_simhash_dedup": simhash_dedup.op6_simhash,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
