@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bottom_k, bpe_automaton, decontaminate, secrets, simhash_dedup, token_shards
+from quern.llm import bottom_k, bpe_automaton, decontaminate, nbsvm, secrets, simhash_dedup, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_automaton": bpe_automaton.op3_bpe,
         "op6_simhash_dedup": simhash_dedup.op6_simhash,
         "op7_bottom_k": bottom_k.op7_bottom_k,
+        "op8_nbsvm": nbsvm.op8_nbsvm,
         "op9_secrets": secrets.op9_secrets,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
