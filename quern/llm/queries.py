@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bottom_k, bpe_automaton, decontaminate, language_id, nbsvm, secrets, simhash_dedup, token_counts, token_shards
+from quern.llm import bottom_k, bpe_automaton, decontaminate, language_id, nbsvm, ngram_trie, secrets, simhash_dedup, token_counts, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_trie": ngram_trie.op1_ngram_trie,
         "op2_token_shards": token_shards.op2_token_shards,
         "op3_bpe_automaton": bpe_automaton.op3_bpe,
         "op4_token_counts": token_counts.op4_token_counts,
