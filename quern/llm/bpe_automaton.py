@@ -15,10 +15,9 @@ states by reference (a state is the version of its parent at a merge rank,
 minus the arcs cut later), so that compiling is linear in the merges; rows of
 the transition table are filled when a text first needs them.
 
-``encode_word`` runs the automaton over the bytes of a pre-split word: for each
-prefix it keeps the state reached, and the transition into the next position is
-the longest arc label ending there whose source state has that arc. Decoding
-emits the arc labels.
+``encode_word`` walks the automaton along a pre-split word: from each state it
+takes the longest arc label that the text goes on with and that the table allows,
+and steps back from positions where no path goes on. Decoding emits the labels.
 
 Defined results: null and empty texts have no tokens and decode to ''. Special
 tokens of the file found in a text are one token each, as the tokenizers
@@ -32,6 +31,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +64,8 @@ class TokenAutomaton:
         self.last: dict[int, int] = {}  # arc v of the gadget: its target is what was copied
         self.cut: dict[tuple[int, int], int] = {}  # rank at which a state lost an arc
         self.arcs: dict[bytes, int] = {}  # label to arc, for arcs that exist
-        self.longest = 1
+        self.reach: dict[bytes, int] = {}  # longest label that begins with four bytes
+        self._prefix: dict[int, int | None] = {}
         self._table: Memo = Memo(1 << 20)
         for symbol, byte in byte_of.items():
             if symbol in vocab:
@@ -75,7 +76,8 @@ class TokenAutomaton:
     def _add(self, token: int, label: bytes, rank: int) -> None:
         self.label[token], self.born[token] = label, rank
         self.arcs[label] = token
-        self.longest = max(self.longest, len(label))
+        if len(label) > 3:
+            self.reach[label[:4]] = max(self.reach.get(label[:4], 0), len(label))
 
     def _gadget(self, rank: int, u: int, v: int, w: int | None) -> None:
         if w is None or u not in self.born or v not in self.born:
@@ -110,27 +112,60 @@ class TokenAutomaton:
             known = self._table[key] = self.has_arc(state, token)
         return known
 
+    def _longest(self, text: bytes, at: int) -> int | None:
+        """The longest arc label that the text has at a position."""
+        arcs = self.arcs
+        for end in range(min(len(text), at + self.reach.get(text[at : at + 4], 3)), at, -1):
+            token = arcs.get(text[at:end])
+            if token is not None:
+                return token
+        return None
+
+    def _shorter(self, token: int) -> int | None:
+        """The next shorter arc label that begins this one."""
+        known = self._prefix.get(token, -1)
+        if known == -1:
+            label, known = self.label[token], None
+            for end in range(len(label) - 1, 0, -1):
+                if (known := self.arcs.get(label[:end])) is not None:
+                    break
+            self._prefix[token] = known
+        return known
+
     def encode_word(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word: one pass, constant work for each byte and label length."""
+        """Tokens of one pre-split word: the one accepting path that spells it.
+
+        The longest arc is tried first; a position from which no path goes on is
+        marked and never entered again, so the work is bounded by the word's
+        length times the labels ending in each position.
+        """
         whole = self.arcs.get(word)
         if whole is not None:
             return [whole]
-        n, arcs, step, longest = len(word), self.arcs, self.step, self.longest
-        state: list[int | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = arcs.get(word[start:end])
-                if token is not None and (start == 0 or (state[start] is not None and step(state[start], token))):
-                    state[end] = token
+        n, label, step = len(word), self.label, self.step
+        path: list[int] = []
+        dead: set[int] = set()
+        at = 0
+        token = self._longest(word, 0)
+        while at < n:
+            last = path[-1] if path else None
+            while token is not None:
+                end = at + len(label[token])
+                if end not in dead and step(last, token):
                     break
-        out = []
-        while n:
-            token = state[n]
-            if token is None:
+                token = self._shorter(token)
+            if token is not None:
+                path.append(token)
+                at = end
+                token = self._longest(word, at) if at < n else None
+            elif path:
+                dead.add(at)
+                token = path.pop()
+                at -= len(label[token])
+                token = self._shorter(token)
+            else:
                 raise ValueError("the vocabulary has no arc for a byte of the text")
-            out.append(token)
-            n -= len(self.label[token])
-        return out[::-1]
+        return path
 
     def emit(self, tokens: Iterable[int]) -> bytes:
         """Arc labels of a path."""
@@ -138,6 +173,21 @@ class TokenAutomaton:
         return b"".join([label[t] for t in tokens])
 
 
+class _Filled(Memo):
+    """A bounded memo that fills itself; long keys are worked out each time."""
+
+    def __init__(self, limit: int, make):
+        super().__init__(limit)
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(key) <= 64:
+            self.make_room(1)
+            self[key] = made
+        return made
+
+
 class ByteBPE:
     """Whole texts to ids and back, with a tokenizer file of byte-level BPE.
 
@@ -146,7 +196,7 @@ class ByteBPE:
     bounded memos.
     """
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -156,51 +206,47 @@ class ByteBPE:
         self._special_text = {v: k.encode() for k, v in self.special.items()}
         self._at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._split = regex.compile(SPLIT)
-        self._words: Memo = Memo(memo)
-        self._pieces: Memo = Memo(memo)
+        self._words = _Filled(memo, lambda w: np.array(self.automaton.encode_word(w.encode()), dtype="<u4").tobytes())
+        self._pieces = _Filled(memo, self._piece)
+        self._spaced = _Filled(memo, lambda x: self._piece(" " + x))
         self._labels = {**self.automaton.label, **self._special_text}
 
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _plain(self, text: str, out: list[bytes]) -> None:
         if "  " in text:  # runs of spaces divide otherwise; the pattern sees them whole
-            pieces = [text]
-        else:
-            head, *rest = text.split(" ")
-            pieces = ([head] if head else []) + [" " + x for x in rest]
-        known = self._pieces
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = []
-                for word in self._split.findall(piece):
-                    of_word = self._words.get(word)
-                    if of_word is None:
-                        of_word = tuple(self.automaton.encode_word(word.encode()))
-                        if len(word) <= 64:
-                            self._words.make_room(1)
-                            self._words[word] = of_word
-                    ids += of_word
-                if len(piece) <= 64:
-                    known.make_room(1)
-                    known[piece] = tuple(ids)
-            out += ids
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+            out.append(self._piece(text))
+            return
+        head, *rest = text.split(" ")
+        if head:
+            out.append(self._pieces[head])
+        known = self._spaced
+        out += [known[x] for x in rest]
+
+    def _piece(self, piece: str) -> bytes:
+        words = self._words
+        return b"".join([words[w] for w in self._split.findall(piece)])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text."""
+        out: list[bytes] = []
         if text:
             if self._at_special is not None and any(s in text for s in self.special):
                 for i, part in enumerate(self._at_special.split(text)):
                     if i % 2:
-                        out.append(self.special[part])
+                        out.append(np.array([self.special[part]], dtype="<u4").tobytes())
                     elif part:
                         self._plain(part, out)
             else:
                 self._plain(text, out)
-        return out
+        return np.frombuffer(b"".join(out), dtype="<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """Ids that the file does not have are left out; broken UTF-8 becomes U+FFFD."""
-        labels = self._labels
-        return b"".join([labels.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        try:
+            raw = b"".join(map(self._labels.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([self._labels.get(i, b"") for i in ids])
+        return raw.decode("utf-8", "replace")
 
 
 _LOADED: dict[str, ByteBPE] = {}
@@ -221,7 +267,9 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", id_col: str = "d
         bpe = loaded(path)
         for batch in slices(batches, "text", 2 << 20):
             ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.concatenate(ids).view(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
@@ -238,10 +286,11 @@ def token_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     return df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and checksums of ``encode_decode``'s rows."""
+def digests(encoded: DataFrame, id_col: str = "doc_id", keep: Iterable[str] = ()) -> DataFrame:
+    """Counts and checksums of ``encode_decode``'s rows, and the columns to ``keep``."""
     return encoded.select(
         id_col,
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
