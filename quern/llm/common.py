@@ -107,3 +107,8 @@ def crc_mod(column: str, modulus: int):
 def size_in_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column, summed over all rows."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+
+
+def text_digest(column: str):
+    """A 64-bit hash of the whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))

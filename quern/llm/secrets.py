@@ -125,6 +125,23 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", samples: DataFrame
     return grouped.select("kept.*", F.transform("found", lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"))
 
 
+def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each run of overlapping spans replaced by the mark."""
+
+    def joined(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        more = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), longer).otherwise(more)
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    runs = F.aggregate(found, none, joined)
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["end"]))
+    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length(text).cast("long")))
+    pieces = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+    return F.array_join(pieces, mark)
+
+
 def as_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

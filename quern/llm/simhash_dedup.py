@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, slices, text_bytes, words_of, written
+from quern.llm.common import documents, slices, text_bytes, text_digest, words_of, written
 
 SEED = 42
 PIVOTS = 32
@@ -79,15 +79,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``id_col`` and ``fp`` (the 64 bits as a long) of each row; no shuffle."""
+    """``id_col``, ``digest`` (a hash of the whole text) and ``fp`` (the 64 bits as a long) of each row; no shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column("text"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(fps, pa.int64())], ["id", "digest", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).withColumn("digest", text_digest("text"))
+    return rows.mapInArrow(run, f"id {kind}, digest long, fp long").withColumnRenamed("id", id_col)
 
 
 def hex16(fp: Column) -> Column:
@@ -263,7 +264,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """``id_col, fp, component_id`` of each row."""
+    """``id_col, digest, fp, component_id`` of each row."""
     marked = written(fingerprints(df, text, id_col, shingle), "simhash-fp")
     distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     tree = components(forest_edges(distinct, max_distance))
@@ -272,7 +273,41 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", s
     members = written(labelled.unionByName(tops), "simhash-members")
     best = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(distinct.join(members.join(best, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return marked.join(named, "fp").select(id_col, "digest", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_distance: int = 3) -> DataFrame:
+    """The rows of ``df`` that stand for their component: the one with the smallest id.
+
+    Of rows that share this id the one with the smallest digest stays, once.
+    Rows with null ids stay only where their component has no other; of those
+    the smallest digest stays. What is dropped is a list of keys, so that texts
+    are not shuffled while that list is small.
+    """
+    rows = near_duplicates(df, text, id_col, shingle, max_distance)
+    first = F.col(id_col).eqNullSafe(F.col("component_id"))
+    keys = written(rows.groupBy("fp", "component_id", id_col, "digest").agg(F.count("*").alias("n")).withColumn("first", first), "simhash-keys")
+    named = keys.filter("first AND component_id IS NOT NULL").groupBy("component_id").agg(F.min("digest").alias("best"))
+    unnamed = keys.filter("component_id IS NULL").groupBy("fp").agg(F.min("digest").alias("best"))
+    stay = keys.filter("first").join(named, "component_id").filter("digest = best").select(id_col, "digest", "n").unionByName(keys.filter("component_id IS NULL").join(unnamed, "fp").filter("digest = best").select(id_col, "digest", "n"))
+    stay = written(stay, "simhash-stay")
+    go = written(without(keys.select(id_col, "digest"), stay, id_col), "simhash-go")
+    repeated = written(stay.filter("n > 1").select(id_col, "digest"), "simhash-repeated")
+    kept = without(df.withColumn(KEY, text_digest(text)), go.withColumnRenamed("digest", KEY), id_col, KEY)
+    if repeated.isEmpty():
+        return kept.drop(KEY)
+    twice = repeated.withColumnRenamed("digest", KEY)
+    again = kept.join(twice.withColumnRenamed(id_col, "_twice"), on=[F.col(id_col).eqNullSafe(F.col("_twice")), kept[KEY] == twice[KEY]], how="left_semi")
+    return without(kept, twice, id_col, KEY).unionByName(again.dropDuplicates([id_col, KEY])).drop(KEY)
+
+
+KEY = "_quern_digest"
+
+
+def without(df: DataFrame, keys: DataFrame, id_col: str, digest: str = "digest") -> DataFrame:
+    """Rows whose id and digest are not among the keys; null ids count as equal."""
+    k = keys.select(F.col(id_col).alias("_id"), F.col(digest).alias("_digest"))
+    return df.join(k, on=[F.col(id_col).eqNullSafe(F.col("_id")), F.col(digest) == F.col("_digest")], how="left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
