@@ -125,7 +125,7 @@ def bounded_sample(df: DataFrame, key: str, n: int, max_n: int = 10_000) -> Data
 
 def ordered_distinct(column: Column) -> Column:
     """Trimmed, without empty strings, each kept where it first stands."""
-    return F.array_distinct(F.filter(F.transform(column, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(column, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def collect_ordered(df: DataFrame, keys: Sequence[str], order: Column, value: Column, out: str) -> DataFrame:
