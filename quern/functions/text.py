@@ -36,6 +36,11 @@ def _numeric_entities(s: pd.Series) -> pd.Series:
     return s.str.replace(r"&#(\d+);|&#x([0-9a-fA-F]+);", one, regex=True)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end; ``trim`` takes spaces only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def trimmed_lines(text: Column) -> Column:
     """White space next to line breaks collapsed, and the whole trimmed."""
     out = F.regexp_replace(F.regexp_replace(text, r"\s+\n", "\n"), r"\n\s+", "\n")
@@ -155,7 +160,7 @@ def line_and_column(text: Column, offset: Column) -> Column:
 
 
 def tagged(text: Column, tag: str) -> Column:
-    return F.trim(F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return strip(F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
 
 
 def with_context(context: Column, body: Column) -> Column:

@@ -71,7 +71,7 @@ def headed_blocks(df: DataFrame, keep: list[str], text: str = "text", heading: s
     w = Window.partitionBy(*keep).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section", F.count_if("is_heading").over(w)).withColumn("heading", F.last(F.when(F.col("is_heading"), F.regexp_extract("line", heading, 1)), True).over(w))
     out = rows.filter("NOT is_heading").groupBy(*keep, "section", "heading").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return out.select(*keep, F.col("section").cast("int").alias("section"), "heading", F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content")).filter("content <> ''")
+    return out.select(*keep, F.col("section").cast("int").alias("section"), "heading", T.strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content")).filter("content <> ''")
 
 
 def markdown_blocks(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -85,7 +85,7 @@ def markdown_blocks(df: DataFrame, keep: list[str], text: str = "text") -> DataF
         rows = rows.withColumn(f"h{k}", F.when(at["line_no"] > F.coalesce(higher, F.lit(-1)), at["title"]))
     rows = rows.withColumn("path", F.concat_ws(" > ", *[f"h{k}" for k in range(1, 7)])).withColumn("section", F.count_if(F.col("level") > 0).over(w))
     out = rows.filter("level = 0").groupBy(*keep, "section", "path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return out.select(*keep, "section", "path", F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content")).filter("content <> ''")
+    return out.select(*keep, "section", "path", T.strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content")).filter("content <> ''")
 
 
 def latex_sections(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -100,7 +100,7 @@ def code_blocks(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
     rows = df.select(*keep, F.posexplode(parts).alias("i", "raw")).withColumn("code", F.col("i") % 2 == 1)
     lang = F.when(F.col("code"), F.regexp_extract("raw", r"^([A-Za-z0-9_+#.-]*)", 1))
     content = F.when(F.col("code"), F.regexp_replace("raw", r"^[^\n]*\n", "")).otherwise(F.col("raw"))
-    return rows.select(*keep, F.col("i").alias("chunk_index"), F.when(F.col("code"), "code").otherwise("text").alias("kind"), lang.alias("language"), F.trim(content).alias("content")).filter("content <> ''")
+    return rows.select(*keep, F.col("i").alias("chunk_index"), F.when(F.col("code"), "code").otherwise("text").alias("kind"), lang.alias("language"), T.strip(content).alias("content")).filter("content <> ''")
 
 
 def cut_at(df: DataFrame, keep: list[str], boundaries: Column, text: str = "text") -> DataFrame:

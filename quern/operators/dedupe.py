@@ -34,7 +34,7 @@ def similar_pairs(df: DataFrame, item_id: str, text: str, threshold: float = 0.8
     group of copies does not multiply; sizes bound what can match; survivors are
     verified on whole sets.
     """
-    base = df.select(F.col(item_id).alias("id"), T.ngrams(T.comparable(F.col(text)), n).alias("g"))
+    base = df.select(F.col(item_id).alias("id"), T.comparable(F.col(text)).alias("t")).select("id", T.ngrams(F.col("t"), n).alias("g"))
     sets = base.withColumn("key", F.xxhash64(F.array_sort("g"))).groupBy("key").agg(F.min("id").alias("id"), F.first("g").alias("g"))
     counts = sets.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     ordered = sets.select("id", F.size("g").alias("size"), F.explode("g").alias("gram")).join(counts, "gram").groupBy("id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda s: s["gram"]).alias("g"))
@@ -49,7 +49,7 @@ def similar_pairs(df: DataFrame, item_id: str, text: str, threshold: float = 0.8
 
 def text_classes(df: DataFrame, item_id: str, text: str, n: int = 3) -> DataFrame:
     """``item_id, class_id``: items with the same n-gram set, named by the smallest id."""
-    base = df.select(item_id, F.xxhash64(F.array_sort(T.ngrams(T.comparable(F.col(text)), n))).alias("key"))
+    base = df.select(item_id, T.comparable(F.col(text)).alias("_t")).select(item_id, F.xxhash64(F.array_sort(T.ngrams(F.col("_t"), n))).alias("key"))
     return base.join(base.groupBy("key").agg(F.min(item_id).alias("class_id")), "key").select(item_id, "class_id")
 
 
