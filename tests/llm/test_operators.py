@@ -108,7 +108,7 @@ def test_repair_round_trip():
 def test_pieces_match_library():
     import public_tokenizers
 
-    e = token_shards.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), memo=50)  # the memos start anew all the time
+    e = token_shards.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), memo=50, words=50)  # the memos start anew all the time
     rnd = random.Random(2)
     texts = ODD + ["".join(rnd.choice("ab aeé\n\t's't漢ßİΣς​🎉!!-<|endoftext|>ńǺ") for _ in range(40)) for _ in range(500)]
     want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]

@@ -16,7 +16,7 @@ def planted(spark, data, tmp_path_factory):
     rnd = random.Random(9)
     vocab = [w for r in docs.filter("lang = 'en'").limit(40).collect() for w in r["text"].split() if w.isalpha()]
     clean = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
-    a, b = clean(300), clean(200)
+    a, b = clean(6000), clean(200)  # long enough for one edit to stay within three bits
     near = a.split()
     near[150] = "altered"
     rows = [(100000, a), (100001, a), (100002, " ".join(near)), (100003, b + " " + item + " " + clean(50)), (100004, clean(80) + ' token = "' + "0af9" * 10 + '" ' + clean(80)), (100005, "12 34 !!"), (100006, clean(120)), (100007, None), (100007, None)]
