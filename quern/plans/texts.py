@@ -254,9 +254,9 @@ p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS n, len(a.g)
 """
 
 
-@query("near_dups", "WITH " + _SETS.format(id="item_id", text="text", src="benchmark", t=0.7) + "SELECT a, b, round(n / (x + y - n), 6) AS similarity FROM p WHERE n / (x + y - n) >= 0.7")
+@query("near_dups", "WITH " + _SETS.format(id="p_partkey", text="p_name", src="part", t=0.4) + "SELECT a, b, round(n / (x + y - n), 6) AS similarity FROM p WHERE n / (x + y - n) >= 0.4")
 def near_dups(spark, d):
-    return D.similar_pairs(table(spark, d, "benchmark"), "item_id", "text", 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.similar_pairs(table(spark, d, "part"), "p_partkey", "p_name", 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("near_dup_keep")
