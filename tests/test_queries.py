@@ -22,8 +22,8 @@ def duck(data):
 def cell(v):
     if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
-    if isinstance(v, (float, np.floating)):
-        return round(float(v), 6)
+    if isinstance(v, (int, float, np.number)) and not isinstance(v, bool):
+        return round(float(v), 6)  # a column with nulls comes as doubles
     return tuple(v) if isinstance(v, (list, np.ndarray)) else v
 
 
