@@ -20,11 +20,15 @@ def duck(data):
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return tuple(map(cell, v))
+    if pd.isna(v):
         return None
-    if isinstance(v, (int, float, np.number)) and not isinstance(v, bool):
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    if isinstance(v, (int, float, np.number)):
         return round(float(v), 6)  # a column with nulls comes as doubles
-    return tuple(v) if isinstance(v, (list, np.ndarray)) else v
+    return v
 
 
 def rows(df):
