@@ -215,7 +215,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataF
     """``key, text, y`` of labelled rows that are not held out; those are taken away before the join."""
     left = docs.filter(~held_out).select(F.col("doc_id").alias("key"), "text")
     right = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("key"), F.col("quality").alias("y"))
-    return left.join(right, "key")
+    # A merge join at every size: texts are shuffled once, in proportion to the input, and labels never have to fit in memory.
+    return left.join(right.hint("merge"), "key")
 
 
 def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
