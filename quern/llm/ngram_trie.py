@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, documents, slices, text_bytes, words_of, written
 
 MAX_NGRAMS = 4_000_000
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
+KEYS_HELD = 1_000_000
 SHARD_BYTES = 16 << 20
 DISCOUNT = 0.75
 END = b"\n"  # white space, so never a word
@@ -426,10 +427,10 @@ def ngram_counts(train: DataFrame, key_of, min_count: int) -> tuple[np.ndarray,
             k, n = np.unique(np.concatenate(keys), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             keys.append(key_of(text_bytes(batch.column("text"))))
             held += len(keys[-1])
-            if held > 4_000_000:
+            if held > KEYS_HELD:
                 yield flush()
                 keys, held = [], 0
         if held:
@@ -514,7 +515,7 @@ def context_scores(rows: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = mapped(name)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             lists = [_numbers(trie.words, raw) for raw in text_bytes(batch.column("text"))]
             ends = np.cumsum([0, *map(len, lists)])
             start = np.zeros(int(ends[-1]), dtype=bool)
