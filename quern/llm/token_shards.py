@@ -34,6 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,61 +43,66 @@ from quern.llm.common import Memo, documents, slices, written
 
 MAGIC = b"QRP1"
 HEAD = struct.Struct("<4sIIIIB")
+BUCKET_BITS = 20
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, payload binary"
 
 
-def repair(ids: np.ndarray, is_end: np.ndarray, n_base: int, min_count: int = 16, max_rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, is_end: np.ndarray, n_base: int, min_count: int = 32, max_rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, and the left and right side of each rule.
 
     ``is_end`` marks ids after which no rule may go on. Each round counts pairs
-    in hashed buckets first, then exactly where a bucket is full enough, and
-    replaces all pairs above the round's threshold at once; where two chosen
+    in hashed buckets; in a full enough bucket one pair is counted exactly, and
+    all such pairs above the round's threshold are replaced at once. Where two chosen
     pairs overlap, the more frequent wins, then the left one. Thresholds fall
-    fourfold a round, so that frequent pairs are replaced before rare ones.
+    eightfold a round, so that frequent pairs are replaced before rare ones.
     """
-    symbols, end = ids.astype(np.int64), is_end.astype(bool)
+    symbols, end = ids.astype(np.uint32), is_end.astype(bool)
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
     n_symbols, threshold = n_base, 0
-    bits = 20
     for _ in range(max_rounds):
         if len(symbols) < 2:
             break
-        pair = (symbols[:-1] << 32) | symbols[1:]
-        bucket = ((pair * -7046029254386353131) >> (64 - bits)) & ((1 << bits) - 1)
-        free = ~end[:-1]
-        size = np.bincount(bucket if free.all() else bucket[free], minlength=1 << bits)
-        threshold = max(min_count, int(size.max()) // 4 if not threshold else threshold // 4)
-        at = np.flatnonzero((size >= threshold)[bucket] & free)
-        if len(at):
-            found, inverse, count = np.unique(pair[at], return_inverse=True, return_counts=True)
-            good = count >= threshold
-            keep = good[inverse]
-            at, inverse = at[keep], inverse[keep]
+        bucket = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
+        size = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        threshold = max(min_count, int(size.max()) // 8 if not threshold else threshold // 8)
+        at = np.flatnonzero((size >= threshold)[bucket] & ~end[:-1])
+        bucket = bucket[at]
+        pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+        owner = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        owner[bucket] = pair  # one pair of each bucket; the others have their turn in a later round
+        mine = owner[bucket] == pair
+        at, bucket = at[mine], bucket[mine]
+        count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        keep = count[bucket] >= threshold
+        at, bucket = at[keep], bucket[keep]
         if not len(at):
             if threshold == min_count:
                 break
             continue
-        weight = count[inverse]
+        weight = count[bucket]
         touch = np.diff(at) == 1  # at[i] and at[i + 1] overlap
         lose = np.zeros(len(at), dtype=bool)
         lose[:-1] |= touch & (weight[:-1] < weight[1:])
         lose[1:] |= touch & (weight[1:] < weight[:-1])
-        at, inverse = at[~lose], inverse[~lose]
+        at, bucket = at[~lose], bucket[~lose]
         new_run = np.ones(len(at), dtype=bool)
         new_run[1:] = np.diff(at) != 1
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
-        at, inverse = at[take], inverse[take]
-        used, rule = np.unique(inverse, return_inverse=True)
-        lefts.append(found[used] >> 32)
-        rights.append(found[used] & 0xFFFFFFFF)
-        symbols[at] = n_symbols + rule
+        at, bucket = at[take], bucket[take]
+        used = np.zeros(1 << BUCKET_BITS, dtype=bool)
+        used[bucket] = True
+        rule = np.cumsum(used) - 1
+        lefts.append(owner[used] >> 32)
+        rights.append(owner[used] & 0xFFFFFFFF)
+        symbols[at] = (n_symbols + rule[bucket]).astype(np.uint32)
         end[at] = end[at + 1]
-        n_symbols += len(used)
+        n_symbols += len(lefts[-1])
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols, end = symbols[stay], end[stay]
+    symbols = symbols.astype(np.int64)
     none = np.zeros(0, dtype=np.int64)
     return symbols, np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
@@ -189,14 +195,21 @@ class Shard:
 
 
 class PieceEncoder:
-    """The tokenizers library on the distinct pieces of texts, split at single spaces.
+    """The tokenizers library on the distinct words of texts.
 
     The file's normalizer and pattern treat a space as a boundary that no token
-    spans, so a text's ids are those of its pieces in order. Ids below 65,536
-    are kept as two bytes each.
+    spans, so a text's ids are those of its space-separated pieces in order, and
+    a piece's ids are those of its words. A word that is new goes to the library
+    among many others, with spaces between; each word's last token carries the
+    word-end mark, which tells the words' ids apart. Pieces with special tokens
+    or letters beyond Latin go to the library as they are. Ids below 65,536 are
+    kept as two bytes each.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+    PLAIN = "\u024f"
+
+    def __init__(self, path: str, memo: int = 300_000, words: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -205,21 +218,60 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.n_base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.n_base <= 0x10000 else "<u4")
-        self.known: Memo = Memo(memo)
+        self.ends_word = np.zeros(self.n_base, dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends_word[k] = token.endswith("</w>")
+        self.pieces: Memo = Memo(memo)
+        self.words: Memo = Memo(words)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, fresh: list[str]) -> None:
+        size = self.kind.itemsize
+        for i in range(0, len(fresh), 5_000):
+            part = fresh[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * size
+            if len(ends) == len(part) and ends[-1] == len(ids) * size:
+                raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+                self.words.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                self.words.update(zip(part, self._library(part)))
+
+    def _learn(self, fresh: list[str]) -> None:
+        odd, single, several = [], {}, {}
+        for piece in fresh:
+            # Up to U+024F letters are composed already, and all but one have one letter as their lower case.
+            if piece and (max(piece) > self.PLAIN or "<|" in piece or "\u0130" in piece):
+                odd.append(piece)
+            elif piece.isalpha():
+                single[piece] = piece.lower()
+            elif piece[:-1].isalpha() and piece[-1] in ".,!?;:":
+                several[piece] = (piece[:-1].lower(), piece[-1])
+            else:
+                several[piece] = self.WORDS.findall(piece.lower())
+        wanted = set(single.values()).union(*several.values())
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > self.words.limit:
+            self.words.clear()
+            new = wanted
+        self._learn_words(list(new))
+        words = self.words
+        self.pieces.update(zip(single, map(words.__getitem__, single.values())))
+        for piece, parts in several.items():
+            self.pieces[piece] = b"".join([words[w] for w in parts])
+        self.pieces.update(zip(odd, self._library(odd) if odd else []))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").split(" ") for t in texts]
-        fresh = set().union(*pieces).difference(self.known) if pieces else set()
-        self.known.make_room(len(fresh))
-        if not self.known:
-            fresh = set().union(*pieces) if pieces else set()
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, dtype=self.kind).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in row]), dtype=self.kind) for row in pieces]
+        rows = [(t or "").split(" ") for t in texts]
+        fresh = set().union(*rows).difference(self.pieces)
+        if len(self.pieces) + len(fresh) > self.pieces.limit:
+            self.pieces.clear()
+            fresh = set().union(*rows)
+        self._learn(list(fresh))
+        known = self.pieces.__getitem__
+        return [np.frombuffer(b"".join(map(known, row)), dtype=self.kind) for row in rows]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -267,10 +319,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["payload"])
-                step = max(1, int(shard.n_docs * 1_000_000 / max(1, row["n_ids"])))
-                for a in range(0, shard.n_docs, step):
-                    ks = range(a, min(a + step, shard.n_docs))
-                    lists = [shard.document(k) for k in ks]
+                whole = shard.expand(shard.symbols)
+                starts = np.concatenate([[0], shard.id_end])
+                for a in range(0, shard.n_docs, 2_000):
+                    ks = range(a, min(a + 2_000, shard.n_docs))
+                    lists = [whole[starts[k] : starts[k + 1]] for k in ks]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([None if shard.null[k] else int(shard.doc_id[k]) for k in ks], pa.int64()),
                         pa.array([row["part"]] * len(ks), pa.int64()),
