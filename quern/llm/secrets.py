@@ -7,7 +7,9 @@ log-likelihood ratio per character is above ``threshold`` is a ``random`` span.
 
 Training. The models learn from labelled samples ``(value, random)``. Without
 samples of one's own, ``labelled_samples`` labels the corpus: values of base
-spans are random, other long runs are ordinary. Transition counts are grouped
+spans are random, words outside them that are too short to be judged are
+ordinary. No judged run is a sample, so keys do not teach the ordinary model
+their own transitions. Transition counts are grouped
 sums over all samples, at most ``SIZE`` squared rows. Half of the random model
 is uniform, since a random key may use characters that no sample had.
 
@@ -39,6 +41,9 @@ MIN_VALUE = 6
 
 #: Runs that the models judge.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Whole runs that are too short to be judged, and what is taken out before they are looked for.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}(?![A-Za-z0-9+/_=-])"
+BASE = f"{ASSIGN}|{ACCESS}|{HEX}"
 SIZE = 96
 UNIFORM = 1 / 64
 
@@ -76,9 +81,11 @@ def apart(found: DataFrame) -> DataFrame:
     return flagged.filter((F.col("kind") != 3) | ((F.col("before") <= F.col("start")) & (F.col("after") >= F.col("end")))).drop("before", "after")
 
 
-def labelled_samples(found: DataFrame) -> DataFrame:
-    """``value, random, n``: distinct values of base spans, and of the other runs."""
-    return found.filter("kind >= 0").groupBy("value", (F.col("kind") != 3).alias("random")).agg(F.count("*").alias("n"))
+def labelled_samples(found: DataFrame, df: DataFrame, text: str = "text") -> DataFrame:
+    """``value, random``: distinct values of base spans, and the distinct short words of the texts outside base spans."""
+    rest = F.regexp_replace(F.col(text).cast("string"), F.lit(BASE), F.lit(" "))
+    ordinary = df.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)))).alias("value"), F.lit(False).alias("random"))
+    return found.filter(F.col("kind").between(0, 2)).select("value", F.lit(True).alias("random")).unionByName(ordinary).distinct()
 
 
 def _code(c: Column) -> Column:
@@ -117,7 +124,7 @@ def ratio(value: Column, model: list[float]) -> Column:
 def scan(df: DataFrame, keep: list[str], text: str = "text", samples: DataFrame | None = None, threshold: float = 0.6) -> DataFrame:
     """The ``keep`` columns and ``found``: spans (kind, start, end), by start, then kind as listed."""
     found = written(apart(matches(df, keep, text)), "secret-matches")
-    model = train(labelled_samples(found) if samples is None else samples)
+    model = train(labelled_samples(found, df, text) if samples is None else samples)
     sure = found.withColumn("llr", F.when(F.col("kind") == 3, ratio(F.col("value"), model)))
     sure = sure.filter((F.col("kind") != 3) | (F.col("llr") > threshold))
     span = F.when(F.col("kind") >= 0, F.struct("start", "kind", "end"))

@@ -353,6 +353,19 @@ def test_random_strings_are_told_apart(spark):
     assert len([i for i in hit if i % 2]) >= 98 and not [i for i in hit if i % 2 == 0]
 
 
+@pytest.mark.parametrize("planted", [5, 500])
+def test_unlabelled_keys_are_found_without_samples(spark, docs, planted):
+    rnd = random.Random(planted)
+    key = lambda: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    plain = [w.lower() for r in docs.filter("lang = 'en'").limit(40).collect() for w in r["text"].split() if w.isalpha() and w.isascii() and len(w) > 3]
+    name = lambda: "".join(rnd.choice(plain) for _ in range(8))
+    more = spark.createDataFrame([(100000 + i, f"see {key() if i < planted else name()} there") for i in range(planted + 200)], "doc_id long, text string")
+    rows = secrets.scan(docs.select("doc_id", "text").unionByName(more), ["doc_id"]).filter("doc_id >= 100000").collect()
+    hit = {r["doc_id"] - 100000 for r in rows if any(s["kind"] == "random" for s in r["found"])}
+    assert len([i for i in hit if i < planted]) >= 0.98 * planted
+    assert len([i for i in hit if i >= planted]) <= 4
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, 'x token = "' + "0af9" * 7 + '" y AKIA' + "X" * 16)], "doc_id long, text string")
     row = secrets.scan(df, ["doc_id", "text"]).select(secrets.redacted(F.col("text"), F.col("found")).alias("t")).first()
