@@ -1,24 +1,26 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 The model is an interpolated trigram model over words with absolute discounts.
-Every word, however rare, has its exact training count; n-grams are kept from a
-count of ``m`` on, with ``m`` set by the corpus size so that an order holds at
-most ``MAX_NGRAMS`` (there can be no more than N/m). That bound is what makes
-the trie small enough to ship to every executor, at any corpus size.
-
-Trie. Level 1 holds the kept words; level n the successors of each n-gram of
-level n-1, with monotone pointers. Successors are sorted inside their context
-and made monotone by the last value before; trigram successors are stored as
-positions among the successors of the middle word. Pointers and successors are
-Elias-Fano sequences, probabilities and back-off weights are one byte each with
-a codebook per level. All parts lie in one file that executors map into memory;
-a lookup is a successor search inside the range of its context.
-
-Counting. Distinct words of a chunk of texts go to shards by hash, with the
-positions where they occur; a shard sums exact counts and answers with sums per
-document, so that the vocabulary is never held in one place. Bigrams and
-trigrams are counted level by level: only those whose parts were kept can reach
-``m``.
+Every word, however rare, has its exact training count; n-grams are kept from
+``MIN_COUNT`` on, at every corpus size. The model is never in one place: it is
+cut into shards, and their number grows with the corpus.
+
+Trie. A shard has all n-grams around the words that hash to it: for a word b
+the bigrams b c and the trigrams a b c, with the bigrams a b as their contexts.
+So each score needs one shard. Level 1 holds the shard's words (64-bit hashes);
+level n the successors of each n-gram of level n-1, with monotone pointers.
+Successors are sorted inside their context and made monotone by the last value
+before; trigram successors are stored as positions among the successors of the
+middle word. Pointers and successors are Elias-Fano sequences, probabilities and
+back-off weights are one byte each with a codebook per level. All parts of a
+shard lie in one file that its task maps into memory; a lookup is a successor
+search inside the range of its context.
+
+Counting. Texts are cut into chunks. Distinct words of a chunk go to shards by
+hash; a shard sums exact counts and answers each chunk, so that the vocabulary
+is never held in one place. The chunk then sends its distinct trigrams, with
+documents and the words' counts, to the shards of the middle words. A shard
+counts them, builds its trie and answers with sums per document.
 
 Defined results: null and empty texts are one end token. Words are lower-cased
 for A-Z. Repeated rows are scored each, and counted each when they train. With
@@ -33,24 +35,25 @@ import mmap
 import os
 import struct
 import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import crc_mod, documents, slices, text_bytes, words_of, written
 
-MAX_NGRAMS = 4_000_000
-CHUNK_TOKENS = 500_000
-KEYS_HELD = 1_000_000
+MIN_COUNT = 2
+MAX_NGRAMS = 4_000_000  # about so many in a shard
+CHUNK_TOKENS = 2_000_000
 SHARD_BYTES = 16 << 20
 DISCOUNT = 0.75
 END = b"\n"  # white space, so never a word
+OTHERS = [b"\n%d" % k for k in range(MIN_COUNT)] + [b"\n\n"]  # rare words by count, and what stands two before the first token
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -185,12 +188,10 @@ class Trie:
             n, width = next(take).tolist()
             return EliasFano(n, width, next(take), next(take), next(take))
 
-        words = next(take).tobytes()
-        self.words = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
+        self.words = next(take)
         self.two = _Level(sequence(), sequence())
         self.three = _Level(sequence(), sequence())
         (self.p1, self.b1, self.p2, self.b2, self.p3) = ((next(take), next(take)) for _ in range(5))
-        self.end = self.words.get(END, -1)
 
     @staticmethod
     def _value(coded: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -205,40 +206,28 @@ class Trie:
             out[ok] = self.two.find(pair >> 32, pair & 0xFFFFFFFF)[inverse]
         return out
 
-    def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the two before; -1 ids get their back-off weights only.
-
-        ``first`` marks the first token of each text: an end token stands before it.
-        """
-        n = len(ids)
-        if not n:
+    def scores(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 probability of each word c given a and b before it; all are words of this trie."""
+        if not len(c):
             return np.zeros(0)
-        before = np.concatenate([[self.end], ids[:-1]])
-        before[first] = self.end
-        bc = self.bigrams(before, ids)
-        ab = np.concatenate([[-1], bc[:-1]])
-        ab[first] = -1
-        out = np.zeros(n)
+        bc, ab = self.bigrams(b, c), self.bigrams(a, b)
+        out = np.zeros(len(c))
         pair = bc >= 0
         out[pair] = self._value(self.p2, bc[pair])
-        single = ~pair & (ids >= 0)
-        out[single] = self._value(self.p1, ids[single])
-        weighed = ~pair & (before >= 0)
-        out[weighed] += self._value(self.b1, before[weighed])
+        out[~pair] = self._value(self.p1, c[~pair]) + self._value(self.b1, b[~pair])
         known = np.flatnonzero(ab >= 0)
         out[known] += self._value(self.b2, ab[known])
         deep = np.flatnonzero((ab >= 0) & pair)
         if len(deep) and self.three.successors.n:
-            place = bc[deep] - self.two.pointers.get(before[deep])  # among the successors of the middle word
-            key, inverse = np.unique(ab[deep] << 32 | place, return_inverse=True)
-            found = self.three.find(key >> 32, key & 0xFFFFFFFF)[inverse]
+            place = bc[deep] - self.two.pointers.get(b[deep])  # among the successors of the middle word
+            found = self.three.find(ab[deep], place)
             hit = found >= 0
             out[deep[hit]] = self._value(self.p3, found[hit])
         return out
 
 
-def build(path: str, words: list[bytes], c1: np.ndarray, c2: tuple[np.ndarray, np.ndarray, np.ndarray], c3: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: int, types: int) -> None:
-    """Write a model. ``words`` are sorted; c2 is (first, second, count) and c3 (bigram position, third, count), sorted."""
+def build(path: str, words: np.ndarray, c1: np.ndarray, c2: tuple[np.ndarray, np.ndarray, np.ndarray], c3: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: int, types: int) -> None:
+    """Write a model. ``words`` are sorted hashes; c2 is (first, second, count) and c3 (bigram position, third, count), sorted."""
     n1 = len(words)
     p1 = (c1 + 1) / (tokens + types + 1)
     a, b, n2 = c2
@@ -251,7 +240,7 @@ def build(path: str, words: list[bytes], c1: np.ndarray, c2: tuple[np.ndarray, n
     p3 = (n3 - DISCOUNT) / n2[j] + g2[j] * p2[below] if len(j) else np.zeros(0)
     three = _Level.of(j, below - np.searchsorted(a, b[j]) if len(j) else below, len(a))
     logs = [quantised(np.log10(np.maximum(x, 1e-12))) for x in (p1, g1, p2, g2, p3)]
-    parts = [np.frombuffer(b" ".join(words), dtype=np.uint8), *two.pointers.parts(), *two.successors.parts(), *three.pointers.parts(), *three.successors.parts(), *[x for pair in logs for x in pair]]
+    parts = [words.astype("<u8"), *two.pointers.parts(), *two.successors.parts(), *three.pointers.parts(), *three.successors.parts(), *[x for pair in logs for x in pair]]
     at = 8 + 24 * len(parts)
     with open(path, "wb") as f:
         head, body = [struct.pack("<4sI", Trie.MAGIC, len(parts))], []
@@ -276,7 +265,8 @@ class _Numbered(dict):
         return n
 
 
-FLOW = "shard int, kind int, chunk long, n_docs long, n_words long, payload binary"
+FLOW = "shard int, kind int, chunk long, n long, payload binary"
+ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 
 
 def _pack(*parts: bytes | np.ndarray) -> bytes:
@@ -293,256 +283,272 @@ def _unpack(payload: bytes, count: int) -> list[bytes]:
     return out
 
 
-def word_statistics(rows: DataFrame, min_count: int, shards: int) -> DataFrame:
-    """Written answers of the shards to ``id, digest, text, train`` rows.
+def _row(shard: int, kind: int, chunk: int, n: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"shard": shard, "kind": kind, "chunk": chunk, "n": n, "payload": payload}], schema=ARROW)
+
+
+def _ints(x: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in the fewest bytes that hold them."""
+    top = int(x.max(initial=0))
+    return x.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+
+
+def _pressed(x: np.ndarray) -> bytes:
+    """Non-negative numbers, compressed byte by byte."""
+    return zlib.compress(np.ascontiguousarray(_ints(x).view("u1").reshape(len(x), -1).T).tobytes(), 1) if len(x) else b""
+
+
+def _plain(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    planes = np.frombuffer(zlib.decompress(raw), "u1").reshape(-1, n)
+    return _wide(np.ascontiguousarray(planes.T).tobytes(), n)
+
+
+def chunked(rows: DataFrame, shards: int) -> DataFrame:
+    """Written chunks of ``id, text, train`` rows.
 
-    kind 0: ids, token numbers and folds of a chunk's documents; 1: sums for documents of a chunk;
-    2: tokens and types of a shard; 3: words with at least ``min_count``, and their counts.
+    kind 0: a chunk's documents and tokens, n of them; 1: the chunk's n distinct words of a shard, with training counts.
     """
 
-    def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held = TaskContext.get().partitionId(), 0, 0
-        number, arrays, ids, digests, train = _Numbered(), [], [], [], []
+        number, arrays, ids, train = _Numbered(), [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = part << 32 | seq
-            counts = np.array([len(a) for a in arrays], dtype="<i8")
-            tokens = np.concatenate(arrays)
-            doc = np.repeat(np.arange(len(arrays), dtype="<u4"), counts)
-            words = list(number)
+            counts = np.array([len(a) for a in arrays], dtype=np.int64)
+            tokens, words = np.concatenate(arrays), list(number)
             shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
             order = np.argsort(shard, kind="stable")
             rank = np.empty(len(words), dtype=np.int64)
             rank[order] = np.arange(len(words))
-            place = rank[tokens]
-            by = np.argsort(place, kind="stable")
-            n = np.bincount(place, minlength=len(words)).astype("<u4")
-            trained = np.bincount(place, weights=np.repeat(np.array(train, dtype=float), counts), minlength=len(words)).astype("<u4")
-            doc, ends = doc[by], np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [{"shard": chunk % shards, "kind": 0, "chunk": chunk, "n_docs": len(ids), "n_words": len(words), "payload": _pack(np.array([0 if i is None else i for i in ids], dtype="<i8"), np.array([i is None for i in ids], dtype="u1"), counts, np.array(train, dtype="u1"), np.array(digests, dtype="<i8"))}]
-            for s in range(shards):
-                a, b = int(cuts[s]), int(cuts[s + 1])
+            place = rank[tokens]  # words are numbered by shard, then as they come
+            trained = np.bincount(place, weights=np.repeat(np.array(train, dtype=float), counts), minlength=len(words)).astype(np.int64)
+            head = [np.array([0 if i is None else i for i in ids], dtype="<i8"), np.array([i is None for i in ids], dtype="u1"), counts, np.array(train, dtype="u1")]
+            yield _row(chunk % shards, 0, chunk, len(tokens), _pack(*head, _pressed(rank), _pressed(tokens), np.array([len(words)], dtype="<i8")))
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+            for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
-                    kept = doc[ends[a] : ends[b]]
-                    kind = "<u2" if len(ids) <= 0xFFFF else "<u4"
-                    out.append({"shard": s, "kind": 1, "chunk": chunk, "n_docs": len(ids), "n_words": b - a, "payload": _pack(b" ".join([words[k] for k in order[a:b].tolist()]), n[a:b], trained[a:b], kept.astype(kind))})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("n_docs", pa.int64()), ("n_words", pa.int64()), ("payload", pa.binary())]))
+                    yield _row(s, 1, chunk, b - a, _pack(b" ".join([words[k] for k in order[a:b].tolist()]), _ints(trained[a:b])))
 
         for batch in slices(batches, "text", 4 << 20):
-            for doc_id, digest, fold, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "digest", "train")), text_bytes(batch.column("text"))):
+            for doc_id, fold, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "train")), text_bytes(batch.column("text"))):
                 words = words_of(raw)
                 words.append(END)
                 arrays.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
                 ids.append(doc_id)
-                digests.append(digest)
                 train.append(bool(fold))
                 held += len(words)
                 if held >= CHUNK_TOKENS:
                     yield from flush()
                     seq, held = seq + 1, 0
-                    number, arrays, ids, digests, train = _Numbered(), [], [], [], []
+                    number, arrays, ids, train = _Numbered(), [], [], []
         if arrays:
             yield from flush()
 
-    def answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, total = [], {}
+    return written(rows.mapInArrow(run, FLOW), "lm-chunks")
+
+
+def word_counts(chunks: DataFrame, shards: int) -> DataFrame:
+    """Written answers of the word shards. kind 1: whole counts of a chunk's words, and hashes of those that are not rare; 2: tokens (``chunk``) and types (``n``) of a shard."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        blocks = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    yield answer(0, row["chunk"], row["n_docs"], 0, row["payload"])
-                    continue
-                words, n, trained, doc = _unpack(row["payload"], 4)
-                words = words.split(b" ")
-                for w, t in zip(words, np.frombuffer(trained, "<u4").tolist()):
+                words, trained = _unpack(row["payload"], 2)
+                for w, t in zip(words.split(b" "), _wide(trained, row["n"]).tolist()):
                     total[w] = total.get(w, 0) + t
-                blocks.append((row, words, n, doc))
-        for row, words, n, doc in blocks:
-            count = np.fromiter((total[w] for w in words), np.int64, len(words))
-            doc = np.frombuffer(doc, "<u2" if row["n_docs"] <= 0xFFFF else "<u4")
-            every = np.repeat(count, np.frombuffer(n, "<u4"))
-            logs = np.log10(every + 1.0)
-            touched, at = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(at, weights=x, minlength=len(touched)) for x in (logs, every > 0, np.where(every < min_count, logs, 0.0), every < min_count)]
-            yield answer(1, row["chunk"], row["n_docs"], len(touched), _pack(touched.astype("<u4"), *[s.astype("<f8" if k in (0, 2) else "<u4") for k, s in enumerate(sums)]))
-        kept = sorted(w for w, t in total.items() if t >= max(1, min_count))
+                blocks.append((row["shard"], row["chunk"], words))
+        for shard, chunk, words in blocks:
+            count = np.array([total[w] for w in words.split(b" ")], dtype=np.int64)
+            kept = [w for w, n in zip(words.split(b" "), count.tolist()) if n >= MIN_COUNT]
+            yield _row(shard, 1, chunk, len(count), _pack(_ints(count), np.array(list(map(xxhash.xxh64_intdigest, kept)), dtype="<u8")))
         if total:
-            tokens = sum(total.values())
-            yield answer(2, tokens, sum(t > 0 for t in total.values()), 0, b"")
-        if kept:
-            yield answer(3, 0, 0, len(kept), _pack(b" ".join(kept), np.array([total[w] for w in kept], dtype="<i8")))
+            yield _row(0, 2, sum(total.values()), sum(t > 0 for t in total.values()), b"")
 
-    def answer(kind: int, chunk: int, n_docs: int, n_words: int, payload: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_words": pa.array([n_words], pa.int64()), "payload": pa.array([payload], pa.binary())})
+    return written(chunks.filter("kind = 1").repartitionById(shards, F.col("shard")).mapInArrow(run, FLOW), "lm-words")
 
-    dealt = rows.mapInArrow(chunks, FLOW).repartitionById(shards, F.col("shard"))
-    return written(dealt.mapInArrow(answers, "kind int, chunk long, n_docs long, n_words long, payload binary"), "lm-words")
 
+def queries(chunks: DataFrame, counts: DataFrame, shards: int, unit: float) -> DataFrame:
+    """kind 0: a chunk's documents with their unigram sums; 1: a chunk's trigrams for the shard of the middle word.
 
-def document_sums(stats: DataFrame) -> DataFrame:
-    """``id, digest, train, n_tokens, n_known, log_counts, rare_logs, n_rare`` of each document."""
+    A rare word is in no n-gram that is kept, so only its count goes along; after one, the unigram is the score.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, sums = None, None
+        body, known = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    if body is not None:
+                        yield from asked(body, known)
+                    body, known = row, []
+                else:
+                    known.append((row["n"], row["payload"]))
+        if body is not None:
+            yield from asked(body, known)
+
+    def asked(row: dict, known: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        *head, rank, raw, words = _unpack(row["payload"], 7)
+        tokens = _plain(rank, int(np.frombuffer(words, "<i8")[0]))[_plain(raw, row["n"])]
+        known = [(n, *_unpack(payload, 2)) for n, payload in known]
+        count, sizes = np.concatenate([_wide(x, n) for n, x, _ in known]), np.frombuffer(head[2], "<i8")
+        doc, n_docs, ends = np.repeat(np.arange(len(sizes)), sizes), len(sizes), np.cumsum(sizes)
+        every = count[tokens]
+        logs = np.log10(every + 1.0)
+        kept = count >= MIN_COUNT
+        rare = int(kept.sum())  # from here on: the rare ones, then what stands before
+        none = rare + MIN_COUNT
+        tokens = np.where(kept, np.cumsum(kept) - 1, rare + count)[tokens]
+        hashes = np.concatenate([*(np.frombuffer(h, "<u8") for _, _, h in known), np.array(list(map(xxhash.xxh64_intdigest, OTHERS)), dtype="<u8")])
+        count = np.concatenate([count[kept], np.arange(MIN_COUNT), [0]])
+        start = np.concatenate([[0], ends[:-1]])
+        b = np.concatenate([[none], tokens[:-1]])
+        b[start] = tokens[ends[0] - 1]  # every text ends with END
+        a = np.concatenate([[none], b[:-1]])
+        a[start] = none
+        alone = b >= rare
+        yield _row(row["chunk"] % shards, 0, row["chunk"], n_docs, _pack(*head, *[np.bincount(doc, weights=x, minlength=n_docs) for x in (every > 0, logs, np.where(alone, logs - unit, 0.0))]))
+        a, b, c, doc = (x[~alone] for x in (a, b, tokens, doc))
+        shard = (hashes % np.uint64(shards)).astype(np.int64)
+        pair, at = np.unique(b << 32 | a, return_inverse=True)
+        three, at = np.unique(at << 32 | c, return_inverse=True)
+        entry, n = np.unique(at << 32 | doc, return_counts=True)
+        doc, three = entry & 0xFFFFFFFF, three[entry >> 32]
+        b, a, c = pair[three >> 32] >> 32, pair[three >> 32] & 0xFFFFFFFF, three & 0xFFFFFFFF
+        by = np.argsort(shard[b], kind="stable")
+        cuts = np.searchsorted(shard[b][by], np.arange(shards + 1)).tolist()
+        train = np.packbits(np.frombuffer(head[3], "u1"))
+        for s, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            if x < y:
+                mine = by[x:y]
+                words, at = np.unique(np.concatenate([a[mine], b[mine], c[mine]]), return_inverse=True)
+                yield _row(s, 1, row["chunk"], y - x, _pack(hashes[words], _pressed(count[words]), *[_pressed(v) for v in (*at.reshape(3, -1), doc[mine], n[mine])], train))
+
+    flow = chunks.filter("kind = 0").unionByName(counts.filter("kind = 1")).repartition("chunk").sortWithinPartitions("chunk", "kind", "shard")
+    return flow.mapInArrow(run, FLOW)
+
+
+def shard_trie(path: str, words: np.ndarray, c1: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: int, types: int) -> None:
+    """Write the trie of distinct trigrams and their training counts; the shard has all trigrams of its middle words."""
+    before, after = c1[a] >= MIN_COUNT, c1[c] >= MIN_COUNT
+
+    def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+        return key[n >= MIN_COUNT], n[n >= MIN_COUNT]
+
+    # A pair may be known from both sides, with the same count.
+    sides = summed((b << 32 | c)[after], n[after]), summed((a << 32 | b)[before], n[before])
+    key, first = np.unique(np.concatenate([k for k, _ in sides]), return_index=True)
+    n2 = np.concatenate([x for _, x in sides])[first]
+    kept = np.flatnonzero(before & after & (n >= MIN_COUNT))
+    j = np.searchsorted(key, a[kept] << 32 | b[kept])
+    order = np.lexsort((c[kept], j))
+    build(path, words, c1, (key >> 32, key & 0xFFFFFFFF, n2), (j[order], c[kept][order], n[kept][order]), tokens, types)
+
+
+def answers(asked: DataFrame, shards: int, tokens: int, types: int) -> DataFrame:
+    """Written answers of the trie shards. kind 0 as asked; 1: sums for ``n`` documents of a chunk."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    yield _row(row["shard"], 0, row["chunk"], row["n"], row["payload"])
+                else:
+                    blocks.append((row["shard"], row["chunk"], row["n"], row["payload"]))
+        if blocks:
+            yield from answered(blocks)
+
+    def answered(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, parts, weights = [], [], [], []
+        base = 0
+        for _, _, n, payload in blocks:
+            h, count, a, b, c, doc, times, train = _unpack(payload, 8)
+            h = np.frombuffer(h, "<u8")
+            hashes.append(h)
+            counts.append(_plain(count, len(h)))
+            doc = _plain(doc, n)
+            parts.append((*(_plain(v, n).astype(np.uint32) for v in (a, b, c)), base, doc.astype(np.uint32)))
+            base += len(h)
+            weights.append(_plain(times, n).astype(np.uint32) * np.unpackbits(np.frombuffer(train, "u1"))[doc])
+        words, first, local = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        c1 = np.concatenate(counts)[first]
+        a, b, c = (local[np.concatenate([p[i].astype(np.int64) + p[3] for p in parts])] for i in range(3))
+        pair, at = np.unique(a << 32 | b, return_inverse=True)
+        three, at = np.unique(at << 32 | c, return_inverse=True)
+        del local, a, b, c
+        n = np.bincount(at, weights=np.concatenate(weights), minlength=len(three)).astype(np.int64)
+        a, b, c = pair[three >> 32] >> 32, pair[three >> 32] & 0xFFFFFFFF, three & 0xFFFFFFFF
+        with tempfile.TemporaryDirectory(prefix="quern-lm-") as folder:
+            path = os.path.join(folder, "trie")
+            shard_trie(path, words, c1, a, b, c, n, tokens, types)
+            each = np.empty(len(c))
+            trie = Trie(path)
+            for x in range(0, len(c), 1 << 18):
+                part = slice(x, x + (1 << 18))
+                each[part] = trie.scores(a[part], b[part], c[part])
+        x = 0
+        for (shard, chunk, n, payload), part in zip(blocks, parts):
+            touched, docs = np.unique(part[4], return_inverse=True)
+            sums = np.bincount(docs, weights=each[at[x : x + n]] * _plain(_unpack(payload, 8)[6], n), minlength=len(touched))
+            x += n
+            yield _row(shard, 1, chunk, len(touched), _pack(_ints(touched), sums))
+
+    return written(asked.repartitionById(shards, F.col("shard")).mapInArrow(run, FLOW), "lm-answers")
+
+
+def document_sums(given: DataFrame) -> DataFrame:
+    """``id, train, n_tokens, n_known, log_counts, lm`` of each document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, lm = None, None
 
         def done() -> pa.RecordBatch:
-            ids, null, counts, train, digest = (np.frombuffer(x, k) for x, k in zip(_unpack(head, 5), ("<i8", "u1", "<i8", "u1", "<i8")))
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(digest), pa.array(train.astype(bool)), pa.array(counts), pa.array(sums[1].astype(np.int64)), pa.array(sums[0]), pa.array(sums[2]), pa.array(sums[3].astype(np.int64))], ["id", "digest", "train", "n_tokens", "n_known", "log_counts", "rare_logs", "n_rare"])
+            ids, null, counts, train, known, logs = (np.frombuffer(x, k) for x, k in zip(_unpack(head, 7), ("<i8", "u1", "<i8", "u1", "<f8", "<f8")))
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(counts), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(lm)], ["id", "train", "n_tokens", "n_known", "log_counts", "lm"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     if head is not None:
                         yield done()
-                    head, sums = row["payload"], np.zeros((4, row["n_docs"]))
+                    head = row["payload"]
+                    lm = np.frombuffer(_unpack(head, 7)[6], "<f8").copy()
                 else:
-                    touched, *parts = _unpack(row["payload"], 5)
-                    touched = np.frombuffer(touched, "<u4")
-                    for k, raw in enumerate(parts):
-                        sums[k, touched] += np.frombuffer(raw, "<f8" if k in (0, 2) else "<u4")
+                    touched, sums = _unpack(row["payload"], 2)
+                    lm[_wide(touched, row["n"])] += np.frombuffer(sums, "<f8")
         if head is not None:
             yield done()
 
-    rows = stats.filter("kind <= 1").repartition("chunk").sortWithinPartitions("chunk", "kind", "payload").select("kind", "n_docs", "payload")
-    return rows.mapInArrow(run, "id long, digest long, train boolean, n_tokens long, n_known long, log_counts double, rare_logs double, n_rare long")
-
-
-def _numbers(words: dict[bytes, int], raw: bytes) -> np.ndarray:
-    get = words.get
-    out = [get(w, -1) for w in words_of(raw)]
-    out.append(words.get(END, -1))
-    return np.array(out, dtype=np.int64)
-
-
-def ngram_counts(train: DataFrame, key_of, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of at least ``min_count``; ``key_of`` gives the keys of a batch of texts.
-
-    Counts are summed per task, then grouped. What comes to the driver is at most MAX_NGRAMS rows.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = [], 0
-
-        def flush() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(keys), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
-
-        for batch in slices(batches, "text", 2 << 20):
-            keys.append(key_of(text_bytes(batch.column("text"))))
-            held += len(keys[-1])
-            if held > KEYS_HELD:
-                yield flush()
-                keys, held = [], 0
-        if held:
-            yield flush()
-
-    found = train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).toArrow()
-    keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order].astype(np.int64), n[order].astype(np.int64)
-
-
-_TRIES: dict[str, Trie] = {}
-
-
-def mapped(name: str) -> Trie:
-    """The model file that Spark brought to this executor."""
-    if name not in _TRIES:
-        _TRIES.clear()
-        _TRIES[name] = Trie(SparkFiles.get(name))
-    return _TRIES[name]
-
-
-def ship(spark: SparkSession, make) -> str:
-    """Write a file on the driver and let Spark bring it to every executor that asks for it."""
-    name = f"lm-{uuid.uuid4().hex}.trie"
-    path = os.path.join(tempfile.mkdtemp(prefix="quern-lm-"), name)
-    make(path)
-    spark.sparkContext.addFile(path)
-    return name
-
-
-def train(rows: DataFrame, stats: DataFrame, min_count: int) -> tuple[str, int, int]:
-    """Name of the shipped model, N and V. ``rows`` are the training rows' ``text``."""
-    spark = rows.sparkSession
-    tokens, types = stats.filter("kind = 2").agg(F.sum("chunk"), F.sum("n_docs")).first()
-    tokens, types = tokens or 0, types or 0
-    pairs = []
-    for r in stats.filter("kind = 3").select("payload").toLocalIterator():  # at most N / min_count words
-        raw, n = _unpack(r["payload"], 2)
-        pairs += zip(raw.split(b" "), np.frombuffer(n, "<i8").tolist())
-    pairs.sort()
-    words, c1 = [w for w, _ in pairs], np.array([n for _, n in pairs], dtype=np.int64)
-    none = np.zeros(0, dtype=np.int64)
-    two = three = (none, none, none)
-    first = ship(spark, lambda path: build(path, words, c1, two, three, tokens, types))
-    if words:
-
-        def bigram_keys(texts: list[bytes]) -> np.ndarray:
-            trie, out = mapped(first), []
-            for raw in texts:
-                ids = _numbers(trie.words, raw)
-                before = np.concatenate([[trie.end], ids[:-1]])
-                ok = (before >= 0) & (ids >= 0)
-                out.append(before[ok] << 32 | ids[ok])
-            return np.concatenate(out)
-
-        keys, n = ngram_counts(rows, bigram_keys, min_count)
-        two = keys >> 32, keys & 0xFFFFFFFF, n
-        if len(keys):
-            second = ship(spark, lambda path: build(path, words, c1, two, three, tokens, types))
-
-            def trigram_keys(texts: list[bytes]) -> np.ndarray:
-                trie = mapped(second)
-                lists = [_numbers(trie.words, raw) for raw in texts]
-                ids, start = np.concatenate(lists), np.zeros(sum(map(len, lists)), dtype=bool)
-                start[np.cumsum([0, *map(len, lists)])[:-1]] = True
-                before = np.concatenate([[trie.end], ids[:-1]])
-                before[start] = trie.end
-                bc = trie.bigrams(before, ids)
-                ab = np.concatenate([[-1], bc[:-1]])
-                ab[start] = -1
-                ok = (ab >= 0) & (bc >= 0)
-                return ab[ok] << 32 | ids[ok]
-
-            keys, n = ngram_counts(rows, trigram_keys, min_count)
-            three = keys >> 32, keys & 0xFFFFFFFF, n
-    return ship(spark, lambda path: build(path, words, c1, two, three, tokens, types)), tokens, types
-
-
-def context_scores(rows: DataFrame, name: str) -> DataFrame:
-    """``id, digest, lm`` of ``id, digest, text`` rows: log10 probability, without the unigrams of words that are not kept."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = mapped(name)
-        for batch in slices(batches, "text", 2 << 20):
-            lists = [_numbers(trie.words, raw) for raw in text_bytes(batch.column("text"))]
-            ends = np.cumsum([0, *map(len, lists)])
-            start = np.zeros(int(ends[-1]), dtype=bool)
-            start[ends[:-1]] = True
-            each = np.add.reduceat(trie.scores(np.concatenate(lists), start), ends[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(each)], ["id", "digest", "lm"])
-
-    return rows.select("id", "digest", "text").mapInArrow(run, "id long, digest long, lm double")
+    rows = given.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard")
+    return rows.mapInArrow(run, "id long, train boolean, n_tokens long, n_known long, log_counts double, lm double")
 
 
 def score(df: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", max_ngrams: int = MAX_NGRAMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Scores of all rows by a model of those where ``learn`` is true."""
+    """Scores of all rows by a model of those where ``learn`` is true. ``max_ngrams`` sets the number of shards, never what is kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
-    rows = rows.withColumn("digest", F.xxhash64("text"))
-    size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    size, n = size or 0, n or 0
-    # A word takes a byte and what sets it apart another; each text adds an end.
-    min_count = max(2, math.ceil((size / 2 + n) / max_ngrams))
-    stats = word_statistics(rows, min_count, max(32, math.ceil(size / shard_bytes)))
-    name, tokens, types = train(rows.filter("train"), stats, min_count)
-    sums = document_sums(stats)
-    lm = context_scores(rows, name).dropDuplicates(["id", "digest"])  # rows that repeat have one score
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(32, math.ceil(size / shard_bytes))
+    chunks = chunked(rows, shards)
+    counts = word_counts(chunks, shards)
+    tokens, types = (x or 0 for x in counts.filter("kind = 2").agg(F.sum("chunk"), F.sum("n")).first())
     unit = math.log10(tokens + types + 1)
-    both = sums.join(lm, on=[sums["id"].eqNullSafe(lm["id"]), sums["digest"] == lm["digest"]])
-    return both.select(
-        sums["id"].alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * unit).alias("base_score"), (F.col("lm") + F.col("rare_logs") - F.col("n_rare") * unit).alias("score"),
+    every = chunks.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    shards = max(32, math.ceil(2 * every / max_ngrams))  # a bigram and a trigram a token at most
+    sums = document_sums(answers(queries(chunks, counts, shards, unit), shards, tokens, types))
+    return sums.select(
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("log_counts") - F.col("n_tokens") * unit).alias("base_score"), F.col("lm").alias("score"),
     )
 
 

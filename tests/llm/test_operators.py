@@ -487,3 +487,11 @@ def test_small_models_keep_the_exact_unigrams(spark, docs):
     full = {r["doc_id"]: r for r in ngram_trie.score(docs, F.lit(True)).collect()}
     assert all(abs(small[k]["base_score"] - full[k]["base_score"]) < 1e-9 for k in full)
     assert all(r["score"] < 0 for r in small.values())
+
+
+def test_no_ngram_is_lost_to_the_size_of_the_model(spark, docs):
+    """More shards are the same model; each shard's codebooks are its own."""
+    small = {r["doc_id"]: r for r in ngram_trie.score(docs, F.lit(True), max_ngrams=1500).collect()}
+    full = {r["doc_id"]: r for r in ngram_trie.score(docs, F.lit(True)).collect()}
+    assert small.keys() == full.keys()
+    assert all(abs(small[k]["score"] - full[k]["score"]) <= 0.03 * full[k]["n_tokens"] for k in full)
