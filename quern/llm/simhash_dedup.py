@@ -267,7 +267,11 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", s
     """``id_col, digest, fp, component_id`` of each row."""
     marked = written(fingerprints(df, text, id_col, shingle), "simhash-fp")
     distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    tree = components(forest_edges(distinct, max_distance))
+    return named_components(marked, distinct, components(forest_edges(distinct, max_distance)), id_col)
+
+
+def named_components(marked: DataFrame, distinct: DataFrame, tree: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, digest, fp, component_id`` of ``marked`` rows: the smallest id of the component of their ``fp``."""
     labelled = tree.join(distinct, tree["node"] == distinct["fp"]).select("root", F.col("node").alias("fp"), "least")
     tops = tree.select(F.col("root").alias("fp")).distinct().join(distinct, "fp").select(F.col("fp").alias("root"), "fp", "least")
     members = written(labelled.unionByName(tops), "simhash-members")
@@ -276,15 +280,16 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", s
     return marked.join(named, "fp").select(id_col, "digest", "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_distance: int = 3) -> DataFrame:
+def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_distance: int = 3, rows: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` that stand for their component: the one with the smallest id.
 
     Of rows that share this id the one with the smallest digest stays, once.
     Rows with null ids stay only where their component has no other; of those
     the smallest digest stays. What is dropped is a list of keys, so that texts
-    are not shuffled while that list is small.
+    are not shuffled while that list is small. ``rows`` are those of
+    ``near_duplicates``, or of another search with the same columns.
     """
-    rows = near_duplicates(df, text, id_col, shingle, max_distance)
+    rows = rows if rows is not None else near_duplicates(df, text, id_col, shingle, max_distance)
     first = F.col(id_col).eqNullSafe(F.col("component_id"))
     keys = written(rows.groupBy("fp", "component_id", id_col, "digest").agg(F.count("*").alias("n")).withColumn("first", first), "simhash-keys")
     named = keys.filter("first AND component_id IS NOT NULL").groupBy("component_id").agg(F.min("digest").alias("best"))

@@ -53,3 +53,27 @@ def test_empty(spark, planted):
     for _, stage in P.STAGES:
         docs = P.written(stage(spark, docs, planted), "test-empty")
     assert docs.count() == 0
+
+
+def test_near_copies_of_any_length_go(spark):
+    """Edited copies against brute force: five-word Jaccard similarity of 0.8 or more."""
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for k in range(120):
+        a = [rnd.choice(vocab) for _ in range((60, 300, 1000)[k % 3])]
+        b = list(a)
+        for at in rnd.sample(range(len(b)), 1 if k % 2 else max(1, len(b) // (60 if k % 4 else 30))):
+            b[at] = "altered"
+        texts += [" ".join(a), " ".join(b)]
+    texts += [" ".join(["altered", *texts[2].split()[1:]])] * 2 + ["", None, "two words", "Two  words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if len(x & y) >= 0.8 * len(x | y) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) < len(texts) - 60
+    assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, "").collect()} == set(root)
