@@ -266,6 +266,19 @@ def near_dup_keep(spark, d):
     return D.drop_near(t, "id", "text", "score").select("id")
 
 
+@query("doc_near_dups")
+def doc_near_dups(spark, d):
+    """Pairs of whole documents at the operator's own threshold; no SQL, since all pairs of long sets are too slow there."""
+    return D.similar_pairs(docs(spark, d), "doc_id", "text", 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("doc_near_dup_keep")
+def doc_near_dup_keep(spark, d):
+    """Documents that lose to no similar document; longer ones win."""
+    t = docs(spark, d).select("doc_id", "text", F.length("text").alias("score"))
+    return D.drop_near(t, "doc_id", "text", "score").select("doc_id")
+
+
 @query("secret_scan", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, 'high' AS severity, 'generic_secret_assignment' AS pattern, substring(trim(line), 1, 180) AS snippet FROM l

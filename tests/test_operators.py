@@ -271,3 +271,29 @@ def test_sources(spark, tmp_path):
     assert len(one(spark, "x", io.cache_key(F.col("text"), F.lit("y")))) == 16
     with pytest.raises(ValueError):
         io.safe_path(str(tmp_path), "../x")
+
+
+def test_near_documents(spark, tmp_path):
+    """The document queries against brute force at 0.7, with a gram that every text has."""
+    import itertools
+    import random
+
+    from quern.plans import catalog
+
+    rnd = random.Random(7)
+    texts = []
+    for i in range(36):
+        t = "hot line " + "".join(rnd.choice("abcdefghijkl ") for _ in range(rnd.choice((40, 400)))) if i % 3 == 0 else texts[-1][:-8] + "".join(rnd.choice("mnop") for _ in range(8))
+        texts.append(t)
+    texts += [texts[0], texts[5].upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    norm = [r["t"] for r in df.orderBy("doc_id").select(T.comparable(F.col("text")).alias("t")).collect()]
+    grams = [frozenset(t[i : i + 3] for i in range(len(t) - 2)) for t in norm]
+    first = [grams.index(g) for g in grams]
+    near = {(a, b) for a, b in itertools.combinations(sorted(set(first)), 2) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.7}
+    assert near
+    assert {(r["a"], r["b"]) for r in catalog.QUERIES["doc_near_dups"](spark, str(tmp_path)).collect()} == near
+    best = {k: min((i for i in range(len(texts)) if first[i] == k), key=lambda i: (-len(texts[i]), i)) for k in set(first)}
+    lost = {b if len(texts[best[a]]) >= len(texts[best[b]]) else a for a, b in near}
+    assert {r["doc_id"] for r in catalog.QUERIES["doc_near_dup_keep"](spark, str(tmp_path)).collect()} == {i for k, i in best.items() if k not in lost}
