@@ -41,9 +41,9 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows and the items that have them, for blocks of items of bounded size."""
+    """Windows and the items that have them, for blocks of items of bounded size; one block at least, so that words are counted."""
     block: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    held = 0
+    held, some = 0, False
     for row in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text).cast("string")).toLocalIterator():
         words = normal_words((row[1] or "").encode())
         for i in range(max(1, len(words) - window + 1) if words else 0):
@@ -51,8 +51,8 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_by
         held += len(row[1] or "")
         if held >= block_bytes:
             yield {k: sorted(v) for k, v in block.items()}
-            block, held = defaultdict(set), 0
-    if block:
+            block, held, some = defaultdict(set), 0, True
+    if block or not some:
         yield {k: sorted(v) for k, v in block.items()}
 
 

@@ -495,3 +495,10 @@ def test_no_ngram_is_lost_to_the_size_of_the_model(spark, docs):
     full = {r["doc_id"]: r for r in ngram_trie.score(docs, F.lit(True)).collect()}
     assert small.keys() == full.keys()
     assert all(abs(small[k]["score"] - full[k]["score"]) <= 0.03 * full[k]["n_tokens"] for k in full)
+
+
+def test_words_are_counted_without_items(spark, odd):
+    for items in ([], [("a", "!!"), ("b", None)]):
+        rows = decontaminate.summary(decontaminate.scan(odd, spark.createDataFrame(items, "item_id string, text string"), ["doc_id", "text"]).select("doc_id", "text", "n_words", "spans", "items"))
+        assert sorted(r["n_words"] for r in rows.collect()) == sorted(len(decontaminate.normal_words((r["text"] or "").encode())) for r in odd.collect())
+        assert rows.agg(F.sum("n_words")).first()[0] > 3000
