@@ -20,6 +20,7 @@ columns in ``keep`` are passed through.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -94,6 +95,14 @@ class Scanner:
 _SCANNERS: dict[str, Scanner] = {}
 
 
+def scanner_of(key: str, windows: dict[tuple[bytes, ...], list[str]]) -> Scanner:
+    """The automaton of a block, built once a worker; ``key`` is the block's own, made on the driver."""
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(windows)
+    return _SCANNERS[key]
+
+
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, block_bytes: int = 1 << 20) -> DataFrame:
     """The ``keep`` columns with ``n_words``, ``spans`` (code points and words of maximal hit runs) and ``items``."""
     spark = docs.sparkSession
@@ -103,12 +112,8 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
     for number, windows in enumerate(item_blocks(items, item_id, item_text, window, block_bytes)):
         shared = spark.sparkContext.broadcast(windows)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            key = f"{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared.value)}"
-            if key not in _SCANNERS:
-                _SCANNERS.clear()
-                _SCANNERS[key] = Scanner(shared.value)
-            scanner = _SCANNERS[key]
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            scanner = scanner_of(key, shared.value)
             for batch in slices(batches, "text"):
                 counts, all_spans, all_items = [], [], []
                 before = batch.column("spans").to_pylist(), batch.column("items").to_pylist()

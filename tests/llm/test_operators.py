@@ -502,3 +502,11 @@ def test_words_are_counted_without_items(spark, odd):
         rows = decontaminate.summary(decontaminate.scan(odd, spark.createDataFrame(items, "item_id string, text string"), ["doc_id", "text"]).select("doc_id", "text", "n_words", "spans", "items"))
         assert sorted(r["n_words"] for r in rows.collect()) == sorted(len(decontaminate.normal_words((r["text"] or "").encode())) for r in odd.collect())
         assert rows.agg(F.sum("n_words")).first()[0] > 3000
+
+
+def test_blocks_at_one_address_have_their_own_automata():
+    windows = {(b"one", b"two"): ["a"]}
+    assert decontaminate.scanner_of("k1", windows).scan([b"one", b"two"])[0] == {"a"}
+    windows.clear()
+    windows[b"three", b"four"] = ["b"]
+    assert decontaminate.scanner_of("k2", windows).scan([b"three", b"four"])[0] == {"b"}
