@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, slices, words_of
+from quern.llm.common import Memo, documents, held, slices, words_of
 
 K = 64
 SHINGLE = 5
@@ -37,26 +37,24 @@ SPACE = float(1 << 63)
 NO_ID = -(1 << 63)
 
 
-class _WordHash(dict):
-    """Hash of a word, kept for a bounded number of words."""
+class _WordHash(Memo):
+    """Hash of a word, kept for a bounded number of words of bounded length."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.KEY:
+            self.make_room(1)
+            self[word] = h
         return h
 
 
-_WORDS = _WordHash()
-
-
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """A 63-bit hash of each shingle, in order."""
     words = words_of(text)
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    w = np.array(list(map(_WORDS.__getitem__, words)), dtype=np.uint64)
+    w = np.array(list(map(held("word-hashes", lambda: _WordHash(200_000)).__getitem__, words)), dtype=np.uint64)
     width = min(n, shingle)
     with np.errstate(over="ignore"):
         h = np.full(n - width + 1, width, dtype=np.uint64)

@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, documents, slices
+from quern.llm.common import Memo, documents, held, slices
 
 #: The split pattern of byte-level BPE and its byte alphabet ranges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -182,7 +182,7 @@ class _Filled(Memo):
 
     def __missing__(self, key: str) -> bytes:
         made = self.make(key)
-        if len(key) <= 64:
+        if len(key) <= self.KEY:
             self.make_room(1)
             self[key] = made
         return made
@@ -249,14 +249,9 @@ class ByteBPE:
         return raw.decode("utf-8", "replace")
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def loaded(path: str) -> ByteBPE:
     """One compiled automaton for each Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    return held(f"byte-bpe {path}", lambda: ByteBPE(path))
 
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z; every other byte stays. UTF-8 bytes of other letters are 0x80 and above.
@@ -22,11 +26,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, an own temporary folder is used.
+    Where that is unset an own temporary folder is used, but only by a local
+    master, whose executor is the driver; on a cluster it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="quern-")
     return _OWN["dir"]
@@ -88,7 +95,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dict that starts anew beyond ``limit`` entries, so that its memory is bounded."""
+    """A dict that starts anew beyond ``limit`` entries; keys longer than ``KEY`` have no place, so its memory is bounded."""
+
+    KEY = 64
 
     def __init__(self, limit: int):
         super().__init__()
@@ -99,6 +108,26 @@ class Memo(dict):
             self.clear()
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one thing at a time.
+
+    Workers are reused by later stages. When a stage asks for another thing, what
+    the stage before it kept (an automaton, its memos) is given back.
+    """
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the column as text, modulo; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -112,3 +141,28 @@ def size_in_bytes(df: DataFrame, column: str) -> int:
 def text_digest(column: str):
     """A 64-bit hash of the whole text; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by quoted name, whatever the name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row_key(id_col: str, text: str = "text") -> list[Column]:
+    """``none, id, digest``: what tells a row from others. None of them is ever null."""
+    one = F.col(id_col)
+    return [one.isNull().alias("none"), F.coalesce(one.cast("string"), F.lit("")).alias("id"), text_digest(text).alias("digest")]
+
+
+def keyed(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (all columns as one struct, so that no name of theirs meets one of ours) and its key."""
+    return df.select(F.struct(*columns(df)).alias("row"), *row_key(id_col, text))
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not among the keys.
+
+    A merge join at every size: whole rows are shuffled once, in proportion to
+    the input, and the keys never have to fit in memory.
+    """
+    return rows.join(keys.select("none", "id", "digest").distinct().hint("merge"), ["none", "id", "digest"], "left_anti")

@@ -23,8 +23,11 @@ A row is accepted if it has a letter, its best class is not ``und`` and reaches
 
 Defined results: a null or empty text brings no text evidence; a row without a
 letter is not accepted. Null or missing hosts, markup and addresses bring no
-evidence. No labelled rows: every row is ``und`` and none is accepted. Rows may
-repeat; each has its result. Columns other than those named are not touched.
+evidence. No labelled rows: every row is ``und`` and none is accepted; no rows
+give no result. Rows may repeat; each has its result. Of equally likely classes
+the first in alphabetical order wins, ``und`` last. Very long texts are read
+whole, 65,536 trigrams at a time. Kept columns may have any names; other columns
+are not touched.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ UND_PRIOR = 0.01
 TRIGRAMS = 60.0
 ALPHA = 0.05
 KAPPA = 20.0
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 200  # more than ISO 639-1 has; beyond, text_model raises an error
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -90,11 +93,11 @@ def text_model(labelled: DataFrame, text: str = "text", label: str = "lang") ->
     return langs, np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def text_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The ``keep`` columns, ``has_letter``, and ``text_ll`` (one double a class, ``und`` last)."""
+def text_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], keep: dict[str, Column], evidence: dict[str, Column], text: str = "text") -> DataFrame:
+    """``kept`` (a struct), the ``evidence`` columns, ``has_letter``, and ``text_ll`` (one double a class, ``und`` last)."""
     shared = df.sparkSession.sparkContext.broadcast(model[1])  # at most MAX_LANGUAGES * DIM floats
-    rows = df.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("kept"), F.col(text).cast("string").alias("text"))
-    kept = rows.schema["kept"].dataType.simpleString()
+    rows = df.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("kept"), F.struct(*[c.alias(n) for n, c in evidence.items()]).alias("said"), F.col(text).cast("string").alias("text"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("kept", "said")}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ll = np.ascontiguousarray(shared.value.T)
@@ -108,9 +111,9 @@ def text_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], keep: dict
                 for i in range(0, n, 1 << 16):
                     total += ll[f[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
                 out.append(total / n * (n / (1 + n / TRIGRAMS)) if n else total)
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(letters, pa.bool_()), pa.array(out, pa.list_(pa.float64()))], ["kept", "has_letter", "text_ll"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("said"), pa.array(letters, pa.bool_()), pa.array(out, pa.list_(pa.float64()))], ["kept", "said", "has_letter", "text_ll"])
 
-    return rows.mapInArrow(run, f"kept {kept}, has_letter boolean, text_ll array<double>").select("kept.*", "has_letter", "text_ll")
+    return rows.mapInArrow(run, f"kept {kinds['kept']}, said {kinds['said']}, has_letter boolean, text_ll array<double>").select("kept", "said.*", "has_letter", "text_ll")
 
 
 def suffix_of(host: Column) -> Column:
@@ -134,10 +137,10 @@ def _shares(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def fuse(evidence: DataFrame, langs: list[str], min_posterior: float = 0.5) -> DataFrame:
-    """Adds ``lang``, ``posterior`` and ``accepted`` to rows with ``host``, ``suffix``, ``declared`` and ``text_ll``."""
+    """The fields of ``kept``, ``predicted_lang``, ``posterior`` and ``accepted`` of ``text_evidence``'s rows with ``host``, ``suffix`` and ``declared``."""
     n = len(langs)
     if not n:
-        return evidence.select("*", F.lit(UND).alias("predicted_lang"), F.lit(1.0).alias("posterior"), F.lit(False).alias("accepted")).drop("has_letter", "text_ll", "host", "suffix", "declared")
+        return evidence.select("kept.*", F.lit(UND).alias("predicted_lang"), F.lit(1.0).alias("posterior"), F.lit(False).alias("accepted"))
     best = F.when(F.col("has_letter"), F.array_position("text_ll", F.array_max("text_ll")) - 1)
     rows = written(evidence.withColumn("best", best), "language-evidence")
     whole = [float(x or 0) for x in rows.agg(*[F.count_if(F.col("best") == i) for i in range(n)]).first()]
@@ -163,11 +166,11 @@ def fuse(evidence: DataFrame, langs: list[str], min_posterior: float = 0.5) -> D
     lps = [F.log(F.get("prior", F.lit(i))) + F.log(F.lit(1 - UND_PRIOR)) + F.get("text_ll", F.lit(i)) + F.get("said", F.lit(i)) for i in range(n)]
     rows = rows.withColumn("lp", F.array(*lps, F.lit(float(np.log(UND_PRIOR))) + F.get("text_ll", F.lit(n))))
     top = F.array_max("lp")
-    rows = rows.withColumn("posterior", 1 / F.aggregate("lp", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("lp")))).withColumn("at", F.array_position("lp", top))
+    rows = rows.withColumn("posterior", 1 / F.aggregate("lp", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("lp"))))
     names = F.array(*map(F.lit, [*langs, UND]))
-    rows = rows.withColumn("predicted_lang", F.element_at(names, F.col("at").cast("int")))
-    rows = rows.withColumn("accepted", F.col("has_letter") & (F.col("predicted_lang") != UND) & (F.col("posterior") >= min_posterior))
-    return rows.drop("has_letter", "text_ll", "host", "suffix", "declared", "best", "host_n", "suffix_n", "declared_n", "suffix_p", "prior", "said", "lp", "at")
+    rows = rows.withColumn("predicted_lang", F.element_at(names, F.array_position("lp", top).cast("int")))
+    accepted = F.col("has_letter") & (F.col("predicted_lang") != UND) & (F.col("posterior") >= min_posterior)
+    return rows.select("kept.*", "predicted_lang", "posterior", accepted.alias("accepted"))
 
 
 def identify(df: DataFrame, labelled: DataFrame, keep: dict[str, Column], text: str = "text", host: Column | None = None, url: Column | None = None, markup: Column | None = None, label: str = "lang", min_posterior: float = 0.5) -> DataFrame:
@@ -177,7 +180,7 @@ def identify(df: DataFrame, labelled: DataFrame, keep: dict[str, Column], text:
         host = host_of(url) if url is not None else nothing
     model = text_model(labelled, label=label)
     more = {"host": host, "suffix": suffix_of(host_of(url)) if url is not None else nothing, "declared": declared_in(markup) if markup is not None else nothing}
-    return fuse(text_evidence(df, model, {**keep, **more}, text), model[0], min_posterior)
+    return fuse(text_evidence(df, model, keep, more, text), model[0], min_posterior)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, crc_mod, documents, slices, text_bytes, written
+from quern.llm.common import Memo, crc_mod, documents, held, slices, text_bytes, written
 
 BITS = 18
 DIM = 1 << BITS
 MAX_ROWS = 20_000
 
-_SHAPES: Memo = Memo(200_000)
-
 
 def _shape(word: bytes) -> int:
     """Case, digits, first and last mark, and length class of a word."""
@@ -58,13 +56,15 @@ def features(text: bytes) -> np.ndarray:
         parts.append(np.unique(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]))
     words = text.split()
     if words:
-        known = _SHAPES
+        known = held("word-shapes", lambda: Memo(200_000))
         shapes = []
         for w in words:
             s = known.get(w)
             if s is None:
-                known.make_room(1)
-                s = known[w] = _shape(w)
+                s = _shape(w)
+                if len(w) <= known.KEY:
+                    known.make_room(1)
+                    known[w] = s
             shapes.append(s)
         s = np.array(shapes, dtype=np.uint64) << np.uint64(1)
         s[1:] |= np.array([x == y for x, y in zip(words, words[1:])], dtype=np.uint64)

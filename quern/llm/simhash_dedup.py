@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, slices, text_bytes, text_digest, words_of, written
+from quern.llm.common import documents, keyed, slices, text_bytes, text_digest, without, words_of, written
 
 SEED = 42
 PIVOTS = 32
@@ -264,55 +264,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """``id_col, digest, fp, component_id`` of each row."""
+    """``id_col, digest, fp, root, component_id`` of each row; ``root`` names the component, whatever its ids."""
     marked = written(fingerprints(df, text, id_col, shingle), "simhash-fp")
     distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     return named_components(marked, distinct, components(forest_edges(distinct, max_distance)), id_col)
 
 
 def named_components(marked: DataFrame, distinct: DataFrame, tree: DataFrame, id_col: str) -> DataFrame:
-    """``id_col, digest, fp, component_id`` of ``marked`` rows: the smallest id of the component of their ``fp``."""
-    labelled = tree.join(distinct, tree["node"] == distinct["fp"]).select("root", F.col("node").alias("fp"), "least")
-    tops = tree.select(F.col("root").alias("fp")).distinct().join(distinct, "fp").select(F.col("fp").alias("root"), "fp", "least")
-    members = written(labelled.unionByName(tops), "simhash-members")
-    best = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(distinct.join(members.join(best, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
-    return marked.join(named, "fp").select(id_col, "digest", "fp", "component_id")
+    """``id_col, digest, fp, root, component_id`` of ``marked`` rows: the smallest id of the component of their ``fp``."""
+    root = F.coalesce("root", "fp").alias("root")
+    labelled = written(distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", root, "least"), "simhash-members")
+    best = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    # Components of one fingerprint need no join: they are named by themselves.
+    several = labelled.join(best.filter("n > 1").drop("n"), "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(written(several, "simhash-named"), "fp").select(id_col, "digest", "fp", "root", "component_id")
 
 
 def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_distance: int = 3, rows: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df`` that stand for their component: the one with the smallest id.
+    """One row of ``df`` for each component: the one with the smallest id.
 
-    Of rows that share this id the one with the smallest digest stays, once.
-    Rows with null ids stay only where their component has no other; of those
-    the smallest digest stays. What is dropped is a list of keys, so that texts
-    are not shuffled while that list is small. ``rows`` are those of
-    ``near_duplicates``, or of another search with the same columns.
+    Of rows that share this id the one with the smallest digest stays, once. A
+    null id counts as the largest. ``rows`` are those of ``near_duplicates``, or
+    of another search with the same columns. Whole rows are shuffled once:
+    repeated rows are one from their map task on, and what goes is a list of
+    keys that they meet in a merge join on the same partitioning.
     """
     rows = rows if rows is not None else near_duplicates(df, text, id_col, shingle, max_distance)
-    first = F.col(id_col).eqNullSafe(F.col("component_id"))
-    keys = written(rows.groupBy("fp", "component_id", id_col, "digest").agg(F.count("*").alias("n")).withColumn("first", first), "simhash-keys")
-    named = keys.filter("first AND component_id IS NOT NULL").groupBy("component_id").agg(F.min("digest").alias("best"))
-    unnamed = keys.filter("component_id IS NULL").groupBy("fp").agg(F.min("digest").alias("best"))
-    stay = keys.filter("first").join(named, "component_id").filter("digest = best").select(id_col, "digest", "n").unionByName(keys.filter("component_id IS NULL").join(unnamed, "fp").filter("digest = best").select(id_col, "digest", "n"))
-    stay = written(stay, "simhash-stay")
-    go = written(without(keys.select(id_col, "digest"), stay, id_col), "simhash-go")
-    repeated = written(stay.filter("n > 1").select(id_col, "digest"), "simhash-repeated")
-    kept = without(df.withColumn(KEY, text_digest(text)), go.withColumnRenamed("digest", KEY), id_col, KEY)
-    if repeated.isEmpty():
-        return kept.drop(KEY)
-    twice = repeated.withColumnRenamed("digest", KEY)
-    again = kept.join(twice.withColumnRenamed(id_col, "_twice"), on=[F.col(id_col).eqNullSafe(F.col("_twice")), kept[KEY] == twice[KEY]], how="left_semi")
-    return without(kept, twice, id_col, KEY).unionByName(again.dropDuplicates([id_col, KEY])).drop(KEY)
-
-
-KEY = "_quern_digest"
-
-
-def without(df: DataFrame, keys: DataFrame, id_col: str, digest: str = "digest") -> DataFrame:
-    """Rows whose id and digest are not among the keys; null ids count as equal."""
-    k = keys.select(F.col(id_col).alias("_id"), F.col(digest).alias("_digest"))
-    return df.join(k, on=[F.col(id_col).eqNullSafe(F.col("_id")), F.col(digest) == F.col("_digest")], how="left_anti")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("digest").alias("digest"))
+    keys = written(rows.select("root", order.alias("key")).distinct(), "dedup-keys")
+    best = keys.groupBy("root").agg(F.min("key").alias("best"), F.count("*").alias("n")).filter("n > 1").select("root", "best")
+    go = keys.join(best, "root").filter("key <> best").select("key.none", F.coalesce(F.col("key.id").cast("string"), F.lit("")).alias("id"), "key.digest")
+    once = keyed(df, id_col, text).groupBy("none", "id", "digest").agg(F.first("row").alias("row"))
+    return without(once, written(go, "dedup-go")).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

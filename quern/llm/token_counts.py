@@ -1,15 +1,18 @@
 """Token counts: an exact histogram of encoded lengths and its suffix sums.
 
-Documents are encoded once; from then on only ``(length, number of documents)``
-counts, one row for each distinct length. Suffix sums over the histogram answer
-for every context limit how many documents and tokens stay, how many are cut,
-and what a truncated corpus holds, exactly.
-
-Suffix sums run in two levels: lengths fall into buckets of ``BUCKET``, the
-bucket totals are summed over few rows, and each bucket is summed on its own.
-
-Defined results: null and empty texts have length 0 and are counted. No rows
-give no histogram. Repeated rows count each time. Only the text is read.
+Documents are encoded once and the histogram is written; from then on only
+``(length, number of documents)`` counts, one row for each distinct length.
+Suffix sums over the histogram answer for every context limit how many documents
+and tokens stay, how many are cut, and what a truncated corpus holds, exactly.
+
+Suffix sums run in two levels: lengths fall into buckets by the whole part of
+their square root, so lengths up to n make about sqrt(n) buckets of at most
+2 sqrt(n) + 1 lengths. The bucket totals are summed over those few rows, and
+each bucket is summed on its own.
+
+Defined results: null and empty texts have length 0 and are counted. Very long
+texts are one more length. No rows give no histogram. Repeated rows count each
+time. Only the text is read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -18,19 +21,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bpe_automaton import default_path, token_lengths
-from quern.llm.common import documents
-
-BUCKET = 1024
+from quern.llm.common import documents, written
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
-    """``n_tokens, n_docs``: one row for each distinct length."""
-    return lengths.groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    """``n_tokens, n_docs``: one written row for each distinct length."""
+    return written(lengths.groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs")), "token-histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length as a limit: documents and tokens up to it, beyond it, and in the corpus truncated to it."""
-    rows = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    rows = hist.withColumn("bucket", F.floor(F.sqrt("n_tokens"))).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     tops = tops.select("bucket", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("docs_after"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("tokens_after"))
@@ -39,7 +40,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     out = (
         rows.withColumn("docs_inner", F.coalesce(F.sum("n_docs").over(within), F.lit(0)))
         .withColumn("tokens_inner", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-        .join(F.broadcast(tops), "bucket")  # a row for each BUCKET lengths
+        .join(F.broadcast(tops), "bucket")  # at most the square root of the longest length
         .join(F.broadcast(whole))  # one row
     )
     over, beyond = F.col("docs_after") + F.col("docs_inner"), F.col("tokens_after") + F.col("tokens_inner")
