@@ -5,14 +5,15 @@ to three-grams of word shapes (case, digits, marks, and whether a word repeats
 the one before). For each feature the number of training texts of either class
 that have it gives the log-count ratio ``r``; these counts are grouped sums over
 all labelled training rows, at most ``DIM`` of them. A text's vector is
-``r`` at its features, scaled to length one. A hinge-loss linear model is fitted
+``r`` at its features, scaled to length one. A linear-hinge-loss model is fitted
 by dual coordinate descent on a bounded sample of labelled rows: the
-``max_rows`` (20,000) with the smallest hashed ids. A fifth of the sample is kept
+``max_rows`` (20,000) with the smallest hashed ids, ties by label and features. A fifth of the sample is kept
 from the fit and turns margins into probabilities (a sigmoid with two
 parameters).
 
 Scores use the text only. Defined results: null and empty texts have no feature
-and get the score of margin 0. Labels other than 0 and 1 are left out. Without
+and get the score of margin 0. Very long texts are read whole. An empty table has
+no scores. Labels other than 0 and 1 are left out. Without
 rows of both classes every score is the smoothed share of class 1. A document
 with several labels counts with each. Extra columns are not touched.
 """
@@ -117,26 +118,31 @@ def class_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised squared-hinge SVM; rows are (features, values) of length one."""
+def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int = 40, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of the L2-regularised linear-hinge SVM; rows are (features, values).
+
+    Each dual variable stays in ``[0, cost]``. The bias is the weight of a
+    feature that all rows have. It ends when no projected gradient of a whole
+    pass is beyond ``tolerance``, or after ``epochs``.
+    """
     w, bias = np.zeros(DIM), 0.0
     alpha = np.zeros(len(rows))
     order = np.random.default_rng(seed)
-    diagonal = 0.5 / cost
-    square = np.array([float((v * v).sum()) + 1.0 for _, v in rows]) + diagonal
+    square = np.array([float((v * v).sum()) + 1.0 for _, v in rows])
     for _ in range(epochs):
-        moved = 0.0
+        worst = 0.0
         for i in order.permutation(len(rows)):
             f, v = rows[i]
-            gradient = y[i] * (float(w[f] @ v) + bias) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - gradient / square[i], 0.0)
-            step = (new - alpha[i]) * y[i]
-            if step:
+            gradient = y[i] * (float(w[f] @ v) + bias) - 1
+            projected = min(gradient, 0.0) if alpha[i] <= 0 else max(gradient, 0.0) if alpha[i] >= cost[i] else gradient
+            if projected:
+                worst = max(worst, abs(projected))
+                new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
+                step = (new - alpha[i]) * y[i]
                 w[f] += step * v
                 bias += step
                 alpha[i] = new
-                moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if worst < tolerance:
             break
     return w, bias
 
@@ -175,10 +181,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "y", key: str = "k
             f = [features(t).astype("<i4").tobytes() for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(f, pa.binary())], ["h", "y", "f"])
 
-    sample = []
-    for r in rows.filter(F.col("h") <= last).mapInArrow(run, "h long, y int, f binary").toLocalIterator():
-        sample.append((r["h"], r["y"], np.frombuffer(r["f"], dtype="<i4")))
-    sample.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    # One job; repeated ids tie at the last hash, so the limit holds here, too.
+    taken = rows.filter(F.col("h") <= last).mapInArrow(run, "h long, y int, f binary").orderBy("h", "y", "f").limit(max_rows).toArrow()
+    sample = [(h, label, np.frombuffer(f, dtype="<i4")) for h, label, f in zip(*(taken.column(c).to_pylist() for c in ("h", "y", "f")))]
     y = np.where(np.array([r[1] for r in sample]) == 1, 1.0, -1.0)
     scaled = []
     for _, _, f in sample:
