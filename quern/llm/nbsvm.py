@@ -194,7 +194,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "y", key: str = "k
         held[:] = False
     train = np.flatnonzero(~held)
     share = np.array([(y[train] > 0).mean(), (y[train] < 0).mean()])
-    cost = c * np.where(y[train] > 0, 0.5 / share[0], 0.5 / share[1])
+    cost = c * np.where(y[train] > 0, 0.5 / max(share[0], 1e-9), 0.5 / max(share[1], 1e-9))
     w, bias = dual_coordinate_descent([scaled[i] for i in train], y[train], cost)
     check = np.flatnonzero(held) if held.any() else train
     margin = np.array([float(w[scaled[i][0]] @ scaled[i][1]) + bias for i in check])
