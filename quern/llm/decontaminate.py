@@ -5,16 +5,19 @@ words of an item is a pattern (an item of fewer words is one pattern). One
 automaton over word numbers holds all patterns, and each document is scanned
 once. A hit maps back to code points of the original text.
 
-The automaton is broadcast as its list of windows. Its size is measured first;
-beyond ``block_bytes`` of item text the items are dealt into blocks of that
-size, and the texts are scanned once for each block, so memory stays bounded
-and nothing is left out.
-
-Defined results: a null or empty text has no words and no hits. An item with no
-words has no window. Items that share an id count once; a null item id counts
-as the id ''. No items: nothing is hit. Documents may repeat: every row gets its
-own result. Columns besides the id and the text are not touched; the document
-columns in ``keep`` are passed through.
+The items are broadcast as word numbers, about the size of their text, which is
+measured first. Texts are read in one stage: a task holds a slice of them and
+takes it through the automaton, or, beyond ``max_windows`` patterns, through
+several automata one after the other, so that a worker's memory is bounded and
+nothing is left out. Only beyond ``block_bytes`` (64 MB) of item text, more than
+a broadcast should have, does each such block of items get a pass of its own.
+
+Defined results: a null or empty text has no words and no hits; very long texts
+are scanned whole. An item with no words has no window. Items that share an id
+count once; a null item id counts as the id ''. No items: nothing is hit, words
+are counted. Documents may repeat: every row gets its own result; no documents,
+no rows. Columns besides the id and the text are not touched, whatever their
+names; the document columns in ``keep`` are passed through.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, documents, size_in_bytes, slices, text_bytes, written
+from quern.llm.common import LOWER, documents, held, size_in_bytes, slices, text_bytes, written
 
 #: A-Z lower-cased; 0-9, a-z and all bytes of other letters stay; the rest divides words.
 NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in LOWER)
@@ -41,103 +45,119 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows and the items that have them, for blocks of items of bounded size; one block at least, so that words are counted."""
-    block: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    held, some = 0, False
+@dataclass
+class Items:
+    """A block of items: distinct words, and each item's id and words as numbers from 1 on."""
+
+    words: list[bytes]
+    ids: list[str]
+    texts: list[np.ndarray]
+    window: int
+
+    def groups(self, max_windows: int) -> list[tuple[int, int]]:
+        """Ranges of items with at most ``max_windows`` windows, or of one item."""
+        out, first, held_windows = [], 0, 0
+        for k, t in enumerate(self.texts):
+            n = max(1, len(t) - self.window + 1)
+            if k > first and held_windows + n > max_windows:
+                out.append((first, k))
+                first, held_windows = k, 0
+            held_windows += n
+        return [*out, (first, len(self.texts))]
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[Items]:
+    """Blocks of items of bounded size; one block at least, so that words are counted."""
+    number: dict[bytes, int] = {}
+    ids: list[str] = []
+    texts: list[np.ndarray] = []
+    size, some = 0, False
     for row in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text).cast("string")).toLocalIterator():
         words = normal_words((row[1] or "").encode())
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            block[tuple(words[i : i + window])].add(row[0])
-        held += len(row[1] or "")
-        if held >= block_bytes:
-            yield {k: sorted(v) for k, v in block.items()}
-            block, held, some = defaultdict(set), 0, True
-    if block or not some:
-        yield {k: sorted(v) for k, v in block.items()}
+        if words:
+            ids.append(row[0])
+            texts.append(np.array([number.setdefault(w, len(number) + 1) for w in words], dtype=np.int32))
+        size += len(row[1] or "")
+        if size >= block_bytes:
+            yield Items(list(number), ids, texts, window)
+            number, ids, texts, size, some = {}, [], [], 0, True
+    if texts or not some:
+        yield Items(list(number), ids, texts, window)
 
 
 class Scanner:
-    """The automaton of one block. Word numbers: 0 stands for every word that no pattern has."""
+    """The automaton of some items. Word numbers: 0 stands for every word that no item has."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, block: Items, first: int, past: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
-        self.items = list(windows.values())
+        windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        for item, numbers in zip(block.ids[first:past], block.texts[first:past]):
+            words = numbers.tolist()
+            for i in range(max(1, len(words) - block.window + 1)):
+                windows[tuple(words[i : i + block.window])].add(item)
+        self.items = [sorted(x) for x in windows.values()]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k, words in enumerate(windows):
-            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), (k, len(words)))
+        for k, numbers in enumerate(windows):
+            self.automaton.add_word(numbers, (k, len(numbers)))
         if windows:
             self.automaton.make_automaton()
         self.empty = not windows
 
-    def scan(self, words: list[bytes]) -> tuple[set[str], list[tuple[int, int]]]:
+    def scan(self, numbers: tuple[int, ...]) -> tuple[set[str], list[tuple[int, int]]]:
         """Items with a window in the words, and the maximal runs of hit words (first, past the last)."""
         items: set[str] = set()
-        runs: list[tuple[int, int]] = []
-        if self.empty or not words:
-            return items, runs
-        get = self.number.get
-        numbers = tuple([get(w, 0) for w in words])
-        if not any(numbers):
-            return items, runs
-        found = [(at + 1 - n, at + 1, k) for at, (k, n) in self.automaton.iter(numbers)]
-        for first, past, k in sorted(found):
+        if self.empty or not any(numbers):
+            return items, []
+        found = []
+        for at, (k, n) in self.automaton.iter(numbers):
             items.update(self.items[k])
-            if runs and first <= runs[-1][1]:
-                runs[-1] = (runs[-1][0], max(past, runs[-1][1]))
-            else:
-                runs.append((first, past))
-        return items, runs
+            found.append((at + 1 - n, at + 1))
+        return items, _united(found)
 
 
-_SCANNERS: dict[str, Scanner] = {}
-
-
-def scanner_of(key: str, windows: dict[tuple[bytes, ...], list[str]]) -> Scanner:
-    """The automaton of a block, built once a worker; ``key`` is the block's own, made on the driver."""
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(windows)
-    return _SCANNERS[key]
-
-
-def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, block_bytes: int = 1 << 20) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, block_bytes: int = 64 << 20, max_windows: int = 250_000) -> DataFrame:
     """The ``keep`` columns with ``n_words``, ``spans`` (code points and words of maximal hit runs) and ``items``."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long,first_word:long,n_words:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     kept = rows.schema["kept"].dataType.simpleString()
     several = size_in_bytes(items, item_text) >= block_bytes
-    for number, windows in enumerate(item_blocks(items, item_id, item_text, window, block_bytes)):
-        shared = spark.sparkContext.broadcast(windows)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            scanner = scanner_of(key, shared.value)
-            for batch in slices(batches, "text"):
-                counts, all_spans, all_items = [], [], []
+    for block in item_blocks(items, item_id, item_text, window, block_bytes):
+        shared = spark.sparkContext.broadcast(block)
+        groups = block.groups(max_windows)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, groups=groups, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            get = {w: k for k, w in enumerate(shared.value.words, 1)}.get
+            for batch in slices(batches, "text", (8 if len(groups) == 1 else 64) << 20):
+                texts = text_bytes(batch.column("text"))
                 before = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                for k, raw in enumerate(text_bytes(batch.column("text"))):
+                counts, numbers = [], []
+                for raw in texts:
                     words = normal_words(raw)
-                    found, runs = scanner.scan(words)
-                    runs = _united(runs, before[0][k])
                     counts.append(len(words))
-                    all_items.append(sorted(found.union(before[1][k])))
-                    all_spans.append(_located(raw.decode(), runs) if runs else [])
-                out = [batch.column("kept"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(all_spans, batch.schema.field("spans").type), pa.array(all_items, batch.schema.field("items").type)]
+                    numbers.append(np.array([get(w, 0) for w in words], dtype=np.int32))
+                runs = [[(s["first_word"], s["first_word"] + s["n_words"]) for s in x] for x in before[0]]
+                found = [set(x) for x in before[1]]
+                for first, past in groups:
+                    scanner = held(f"automaton {key} {first}", lambda: Scanner(shared.value, first, past))  # noqa: B023
+                    for k, x in enumerate(numbers):
+                        more, hit = scanner.scan(tuple(x.tolist()))
+                        if hit:
+                            found[k] |= more
+                            runs[k] = _united(runs[k] + hit)
+                spans = [_located(raw.decode(), x) if x else [] for raw, x in zip(texts, runs)]
+                out = [batch.column("kept"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field("spans").type), pa.array([sorted(x) for x in found], batch.schema.field("items").type)]
                 yield pa.RecordBatch.from_arrays(out, ["kept", "text", "n_words", "spans", "items"])
 
         rows = rows.mapInArrow(run, f"kept {kept}, text string, {HITS}")
-        if several:  # one automaton in memory at a time
+        if several:  # one block of items in memory at a time
             rows = written(rows, "decontaminate")
     return rows.select("kept.*", "n_words", "spans", "items")
 
 
-def _united(runs: list[tuple[int, int]], earlier: list[dict]) -> list[tuple[int, int]]:
-    if not earlier:
-        return runs
+def _united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for first, past in sorted(runs + [(s["first_word"], s["first_word"] + s["n_words"]) for s in earlier]):
+    for first, past in sorted(runs):
         if out and first <= out[-1][1]:
             out[-1] = (out[-1][0], max(past, out[-1][1]))
         else:
