@@ -9,22 +9,25 @@ of exact copies costs one row from then on. For each fingerprint the Hamming
 distances to ``PIVOTS`` reference fingerprints are its coordinates. By the
 triangle inequality a pair whose coordinates differ by more than 3 anywhere
 cannot link: it is discarded by its maximum coordinate difference, and only the
-survivors are verified bit by bit. All pairs of a large table must not be
-formed, so rows first meet in lossless cells: with 3 differing bits at most, one
-of four 16-bit blocks is equal, and one of four quarters of the other 48 bits.
-That gives 16 cell keys of 28 bits a fingerprint. A cell with more than
-``WIDE`` rows is divided again by the quarters of its remaining 36 bits, before
-the shuffle, so that a dense group does not fall to one task. Inside a cell
-pairs are compared in blocks, and what leaves it is a spanning forest, never all
-its pairs.
+survivors are verified bit by bit. One coordinate lets about half of all pairs
+through, so the tables alone would need all pairs of a large corpus to meet.
+Rows therefore meet in lossless cells: with 3 differing bits at most, one of four
+16-bit blocks is equal, and one of four quarters of the other 48 bits. That gives
+16 cell keys of 28 bits a fingerprint. A cell with more than ``WIDE`` rows is
+divided again by the quarters of its remaining 36 bits, before the shuffle. In a
+cell the pivot tables do the search: rows are ordered by the first coordinate,
+and from each row reached the search goes on to those not reached yet. What
+leaves a cell is a spanning forest, never all its pairs, and a dense group of any
+size costs about its rows, not their square.
 
 Components: alternating large-star and small-star over the forest edges, each
 round written to shared storage.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other. Repeated rows are kept; each has its component. A null id is never the
-smallest; where a component has null ids alone, its id is null. Other columns
-are not touched.
+smallest; where a component has null ids alone, its id is null. Very long texts
+are read whole, 32,768 shingles at a time. An empty table has no rows. Other
+columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +45,6 @@ from quern.llm.common import documents, keyed, slices, text_bytes, text_digest,
 SEED = 42
 PIVOTS = 32
 WIDE = 2048
-BLOCK = 256
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -147,6 +149,35 @@ def linked(fp: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, max_
     return out
 
 
+def search_from(members: np.ndarray, fp: np.ndarray, table: np.ndarray, max_distance: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of one large cell: a search that goes from each member to those not reached yet.
+
+    The rest is kept in order of its first pivot coordinate, so a member meets
+    only the range that this coordinate allows; further coordinates discard, and
+    survivors are verified. What is linked leaves the rest at once: in a dense
+    group nearly all leave with the first few members, so copies of each other
+    are not compared pair by pair.
+    """
+    rest = members[np.argsort(table[members, 0], kind="stable")]
+    child: list[np.ndarray] = []
+    parent: list[np.ndarray] = []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            first = table[rest, 0]
+            a, b = np.searchsorted(first, table[x, 0] - max_distance), np.searchsorted(first, table[x, 0] + max_distance, side="right")
+            near = rest[a:b]
+            near = near[linked(fp, np.full(len(near), x), near, table, max_distance)]
+            if len(near):
+                child.append(near)
+                parent.append(np.full(len(near), x))
+                queue += near.tolist()
+                rest = rest[~np.isin(rest, near, assume_unique=True)]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *child]), np.concatenate([none, *parent])
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index of each node's component."""
     label = np.arange(n)
@@ -188,18 +219,9 @@ def cell_forest(group: np.ndarray, fp: np.ndarray, max_distance: int = 3) -> tup
             r = row[part : part + (1 << 20)]
             keep(at[r], at[r + shift])
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        members = at[start : start + size]
-        members = members[np.argsort(table[members, 0], kind="stable")]
-        first = table[members, 0]
-        for b in range(0, size, BLOCK):
-            mine = members[b : b + BLOCK]
-            past = int(np.searchsorted(first, first[min(b + BLOCK, size) - 1] + max_distance, side="right"))
-            others = np.arange(b, past)
-            i, j = np.meshgrid(np.arange(b, b + len(mine)), others, indexing="ij")
-            ok = j > i
-            keep(members[i[ok]], members[j[ok]])
-            if len(edges) > 16:  # hold a forest, not the pairs
-                edges[:] = [_forest(len(nodes), edges)]
+        edges.append(search_from(np.unique(at[start : start + size]), nodes, table, max_distance))
+        if len(edges) > 16:  # hold a forest, not all edges
+            edges[:] = [_forest(len(nodes), edges)]
     a, b = _forest(len(nodes), edges)
     return nodes[a], nodes[b]
 
