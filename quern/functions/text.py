@@ -12,13 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Markup that ends a line, entities in the order of decoding, zero-width and invisible characters.
+# Markup that ends a line, entities in the order of decoding, zero-width and invisible characters,
+# elements that tell HTML, signals of the other formats, and the pattern of a conventional commit subject.
 BLOCK_TAGS = ["p", "div", "section", "article", "header", "footer", "main", "nav", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br"]
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 ZERO_WIDTH = r"[\u200B\u200C\u200D\uFEFF]"
 INVISIBLE = r"[\u200B\u200C\u200E\u200F\u00AD\uFEFF\u180E\x{E0001}\x{E0020}-\x{E007F}\u202A-\u202E\u2066-\u2069\u2060-\u2064]"
 HTML_TAG = r"(?i)<(html|body|head|div|span|p|h[1-6]|section|article|main|nav|table|ul|ol|li)[^>]*>"
-COMMIT_TYPES = ["feat", "fix", "perf", "refactor", "docs", "test", "build", "ci", "chore", "security", "deprecated", "remove"]
+LATEX = r"\\(section|subsection|subsubsection|begin\{document\})"
+COMMIT = r"^(feat|fix|perf|refactor|docs|test|build|ci|chore|security|deprecated|remove)(?:\(([a-z0-9._/-]+)\))?(!)?:\s+(.{1,120})$"
 
 
 @F.pandas_udf(StringType())
@@ -76,21 +78,52 @@ def html_to_text(html: Column, numeric_entities: bool = True) -> Column:
     return trimmed_lines(_numeric_entities(t) if numeric_entities else t)
 
 
-#: Elements that a sanitised text may keep.
-ALLOWED_TAGS = ("b", "i", "em", "strong", "code", "pre", "a", "p", "br", "ul", "ol", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "table", "thead", "tbody", "tr", "th", "td", "hr", "img", "details", "summary", "del", "sup", "sub")
+# Elements that a sanitised text keeps, and the longest language word of a code fence.
+ALLOWED_TAGS = ["b", "blockquote", "br", "code", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "li", "ol", "p", "pre", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "ul", "a", "img"]
+FENCE_WORD = 48
 
 
 def sanitize_html(html: Column, allowed: Iterable[str] = ALLOWED_TAGS) -> Column:
-    """Active content dropped, other elements stripped, event handlers and script links removed."""
+    """Elements that are not allowed go, scripts and styles with what they hold; allowed ones lose their attributes.
+
+    Links keep an http or https address, and get ``rel`` and ``target``; a link
+    without one loses its element. Images keep such a source. Links and images
+    are spelled anew, so nothing else of theirs is left.
+    """
+    plain = "|".join(t for t in allowed if t not in ("a", "img"))
     t = F.regexp_replace(html, r"(?is)<(script|style|iframe|object|embed)\b[^>]*>.*?</\1\s*>", "")
-    t = F.regexp_replace(t, rf"(?i)</?(?!(?:{'|'.join(allowed)})\b)[a-z][^>]*>", "")
-    t = F.regexp_replace(t, r"""(?i)\s(?:on[a-z]+|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(t, r"""(?i)\s(?:href|src)\s*=\s*["']?\s*javascript:[^\s>]*""", "")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"""(?is)<a\b[^>]*?\shref\s*=\s*["']?(https?://[^\s"'<>]+)[^>]*>(.*?)</a\s*>""", "\u0001$1\u0002$2\u0003")
+    t = F.regexp_replace(t, r"""(?i)<img\b[^>]*?\ssrc\s*=\s*["']?(https?://[^\s"'<>]+)[^>]*>""", "\u0004$1\u0005")
+    t = F.regexp_replace(t, rf"(?i)</?(?!(?:{plain})\b)[a-z!][^>]*>", "")
+    t = F.regexp_replace(t, rf"(?i)<(/?)({plain})\b[^>]*>", "<$1$2>")
+    t = F.regexp_replace(t, "\u0001([^\u0002]*)\u0002", '<a href="$1" rel="nofollow noreferrer noopener" target="_blank">')
+    return F.regexp_replace(F.replace(t, F.lit("\u0003"), F.lit("</a>")), "\u0004([^\u0005]*)\u0005", '<img src="$1">')
 
 
 def plain_fences(text: Column) -> Column:
-    """Code fences keep the language word and lose what follows it."""
-    return F.regexp_replace(text, r"(?m)^(```[A-Za-z0-9_+#.-]*)[ \t][^\n`]*$", "$1")
+    """Code fences without hidden remarks: an opening fence keeps one safe word of at most ``FENCE_WORD`` bytes, a closing one nothing.
+
+    Lines are folded from the first to the last, since only what stands before
+    tells whether a fence opens or closes: a fence closes with as many marks as
+    it opened with.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        marks = F.regexp_extract(line, r"^\s*(`{3,})", 1)
+        head = F.regexp_extract(line, r"^(\s*`{3,})", 1)
+        n = F.length(marks)
+        rest = F.substr(line, F.length(head) + 1)
+        word = strip(rest)
+        safe = (word != "") & word.rlike(r"^[\p{L}\p{Nd}+\-_#.]+$") & (F.octet_length(word) <= FENCE_WORD)
+        opened = F.when(safe, F.concat(head, F.when(rest.rlike(r"^\s"), F.lit(" ")).otherwise(F.lit("")), word)).otherwise(head)
+        acts = (n >= 3) & ((state["open"] == 0) | (state["open"] == n))
+        new = F.when(~acts, line).when(state["open"] > 0, head).otherwise(opened)
+        now = F.when(~acts, state["open"]).when(state["open"] > 0, F.lit(0)).otherwise(n)
+        return F.struct(now.cast("int").alias("open"), F.concat(state["lines"], F.array(new)).alias("lines"))
+
+    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("lines"))
+    return F.when(~text.contains("```"), text).when(text.isNotNull(), F.array_join(F.aggregate(F.split(text, "\n", -1), start, step)["lines"], "\n"))
 
 
 def tokens(text: Column) -> Column:
@@ -107,8 +140,54 @@ def truncate_tokens(text: Column, n: int = 5000) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces up to their closing marks, blank ones left out; untrimmed."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]+|[^.!?]+$)"), F.lit(1)), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    """Pieces up to their closing marks, blank ones left out; untrimmed. A text of marks only is one piece, trimmed."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]+|[^.!?]+$)"), F.lit(1)), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    whole = strip(text)
+    return F.when((F.size(found) == 0) & (whole != ""), F.array(whole)).otherwise(found)
+
+
+def _spans(pattern: str, trimmed: bool = False):
+    """A function of texts: the matches of a pattern with their offsets, blank ones left out. One scan a text, in Arrow batches."""
+    import re
+
+    found = re.compile(pattern, re.ASCII)
+
+    def of(text: str | None) -> list[tuple[str, int, int]] | None:
+        if text is None:
+            return None
+        out = []
+        for m in found.finditer(text):
+            body, start = m[0], m.start()
+            if trimmed:
+                start += len(body) - len(body.lstrip(BLANK))
+                body = body.strip(BLANK)
+            if body.strip(BLANK):
+                out.append({"text": body, "start": start, "end": start + len(body)})
+        return out
+
+    @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(of)
+
+    return run
+
+
+BLANK = " \t\n\x0b\f\r"
+
+
+def token_spans(text: Column) -> Column:
+    """Tokens with their offsets (code points from 0, end exclusive)."""
+    return _spans(r"\S+")(text)
+
+
+def sentence_spans(text: Column) -> Column:
+    """Sentence pieces, white space included, with their offsets."""
+    return _spans(r"[^.!?]+[.!?]+|[^.!?]+\Z")(text)
+
+
+def paragraph_spans(text: Column) -> Column:
+    """Trimmed paragraphs with the offsets of what is left."""
+    return _spans(r"(?s:(?:(?!\n{2,}).)+)", trimmed=True)(text)
 
 
 def paragraphs(text: Column) -> Column:
@@ -132,7 +211,7 @@ def detect_format(text: Column) -> Column:
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     json = (t.startswith("{") | t.startswith("[")) & t.endswith("}") & F.try_parse_json(t).isNotNull()
     html = t.rlike(r"(?i)<!doctype html>") | t.rlike(HTML_TAG)
-    latex = t.rlike(r"\\(section|subsection|subsubsection|begin\{document\})")
+    latex = t.rlike(LATEX)
     piped = t.rlike(r"\n\|.+\|\n") & t.rlike(r"\|\s*-{2,}\s*\|")
     marks = t.rlike(r"(?m)^#{1,6}\s+") | t.rlike(r"(?m)^(\*|-|\+|\d+\.)\s+") | t.rlike(r"(?m)^>\s") | t.rlike(r"\[.+?\]\(.+?\)")
     out = F.when(F.coalesce(t, F.lit("")) == "", "text").when(json, "json").when(html, "html").when(latex, "latex")
@@ -168,6 +247,14 @@ def with_context(context: Column, body: Column) -> Column:
     return F.when(F.coalesce(context, F.lit("")) == "", body).otherwise(F.concat_ws("\n\n", context, body))
 
 
+def snippet(text: Column, term: str, n_tokens: int = 40, before: str = ">>>", after: str = "<<<") -> Column:
+    """At most ``n_tokens`` tokens around the first match of a term, each match marked; the head where there is none."""
+    place = F.locate(term.lower(), F.lower(text))
+    at = F.greatest(token_count(F.substring(text, F.lit(1), place)), F.lit(1))
+    first = F.greatest(F.lit(1), F.least(at - n_tokens // 2, token_count(text) - (n_tokens - 1)))
+    return highlighted(F.array_join(F.slice(tokens(text), first, n_tokens), " "), term, before, after)
+
+
 def highlighted(text: Column, term: str, before: str = ">>>", after: str = "<<<") -> Column:
     import re
 
@@ -176,7 +263,7 @@ def highlighted(text: Column, term: str, before: str = ">>>", after: str = "<<<"
 
 def commit(subject: Column) -> Column:
     """Parts of a conventional commit subject, and whether it is one."""
-    pattern = rf"^({'|'.join(COMMIT_TYPES)})(?:\(([a-z0-9._/-]+)\))?(!)?:\s+(.{{1,120}})$"
+    pattern = COMMIT
     valid = subject.rlike(pattern)
     return F.struct(F.coalesce(valid, F.lit(False)).alias("valid"), F.regexp_extract(subject, pattern, 1).alias("type"), F.regexp_extract(subject, pattern, 2).alias("scope"), (F.regexp_extract(subject, pattern, 3) == "!").alias("breaking"), F.regexp_extract(subject, pattern, 4).alias("subject"))
 

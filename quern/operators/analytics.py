@@ -155,10 +155,37 @@ def training_cost(df: DataFrame, rates: DataFrame, hardware: str, hours: str) ->
     return df.join(rates.withColumnRenamed("hardware", hardware), hardware, "left").withColumn("cost", F.round(F.col(hours) * F.col("rate"), 2))
 
 
+#: What to try first for an assumption of a category; our own wording.
+TESTS = {"desirability": "customer interviews", "viability": "pricing test", "feasibility": "technical spike", "usability": "prototype session"}
+
+
 def risk_priority(risk: Column, certainty: Column) -> Column:
     return risk * (1 - certainty)
 
 
+def suggested_test(category: Column) -> Column:
+    out = F.lit("small experiment")
+    for name, test in TESTS.items():
+        out = F.when(F.lower(F.trim(category)) == name, test).otherwise(out)
+    return out
+
+
+def outcome_counts(df: DataFrame, keys: Sequence[str], state: Column) -> DataFrame:
+    """``n_success, n_error, n_skipped`` and the success rate over what was not skipped, of each key."""
+    ok, bad, skipped = (F.count_if(state == s) for s in ("success", "error", "skipped"))
+    return df.groupBy(*keys).agg(ok.alias("n_success"), bad.alias("n_error"), skipped.alias("n_skipped"), success_rate(ok, bad).alias("success_rate"))
+
+
+def gated(df: DataFrame, keys: Sequence[str], score: str, passed: Column, min_mean: float | None = None, min_pass_rate: float | None = None) -> DataFrame:
+    """``mean_score, pass_rate, n, ok`` of each experiment: it is ok where it reaches every bound that is set. No items: not ok."""
+    out = df.groupBy(*keys).agg(F.avg(score).alias("mean_score"), F.avg(passed.cast("int")).alias("pass_rate"), F.count("*").alias("n"))
+    ok = F.col("n") > 0
+    for column, bound in (("mean_score", min_mean), ("pass_rate", min_pass_rate)):
+        if bound is not None:
+            ok = ok & F.coalesce(F.col(column) >= bound, F.lit(False))
+    return out.withColumn("ok", ok)
+
+
 def success_rate(ok: Column, failed: Column) -> Column:
     return F.coalesce(F.try_divide(ok.cast("double"), ok + failed), F.lit(0.0))
 
@@ -169,17 +196,53 @@ def signed_share(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.greatest(F.col(weight), F.lit(0))), total), F.lit(0.0)).alias("positive_share"), F.coalesce(F.try_divide(F.sum(F.least(F.col(weight), F.lit(0))), total), F.lit(0.0)).alias("negative_share"))
 
 
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+    """``keys, value, n, before, total``: each distinct value with its count, the count of smaller ones, and of all.
+
+    Equal values are one row first. Running counts come in two levels: values fall
+    into ranges of equal width, whose few totals are summed first, then each range
+    on its own, so that a hot key is spread over tasks.
+    """
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total"))
+    rows = rows.join(ends, list(keys)) if keys else rows.join(F.broadcast(ends))
+    share = F.coalesce(F.try_divide((F.col(value) - F.col("_lo")).cast("double"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    rows = rows.withColumn("_b", F.floor(share * (buckets - 1)).cast("int"))
+    tops = rows.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inner = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inner", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return rows.join(tops, [*keys, "_b"]).select(*keys, value, "n", (F.col("_before") + F.col("_inner")).alias("before"), "total")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each key by name, exact, without gathering a key's values in one row."""
+    ranked = ranked_values(df, keys, value)
+    aggs = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+
+        def at(i: Column) -> Column:
+            return F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col(value).cast("double")))
+
+        part = F.max(place - low)
+        aggs.append((at(low) + (at(high) - at(low)) * part).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
+
+
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.95, few: int = 5) -> DataFrame:
     """Median, and the value at index ``int(n * share)`` in order (the largest below ``few`` values).
 
-    The index comes from a rank, so no key's values are gathered in one row.
+    Ranks come from running counts, so no key's values are gathered in one row or task.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("p50"), F.max(value).alias("largest"))
-    ranked = rows.select(*keys, value, (F.row_number().over(w) - 1).alias("i")).join(n, list(keys))
-    at = ranked.filter(F.col("i") == F.least(F.floor(F.col("n") * share), F.col("n") - 1))
-    return at.select(*keys, "n", "p50", F.when(F.col("n") < few, F.col("largest")).otherwise(F.col(value)).alias("p95"))
+    ranked = ranked_values(df, keys, value)
+    i = F.least(F.floor(F.col("total") * share), F.col("total") - 1)
+    hit = (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+    at = ranked.groupBy(*keys).agg(F.max("total").alias("n"), F.max(value).alias("_largest"), F.max(F.when(hit, F.col(value))).alias("_at"))
+    at = at.join(exact_quantiles(df, keys, value, {"p50": 0.5}), list(keys)) if keys else at.join(F.broadcast(exact_quantiles(df, keys, value, {"p50": 0.5})))
+    return at.select(*keys, "n", "p50", F.when(F.col("n") < few, F.col("_largest")).otherwise(F.col("_at")).alias("p95"))
 
 
 def recency_score(day: Column, today: Column, max_days: int = 30) -> Column:
@@ -193,12 +256,19 @@ def date_confidence(day: Column, start: str, end: str) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """Unix seconds first, then common formats; offsets are read as if they were UTC."""
+    """Unix seconds first, then five ISO forms; offsets are read as if they were UTC."""
     t = F.trim(text)
-    bare = F.regexp_replace(F.regexp_replace(t, r"(Z|[+-]\d{2}:?\d{2})$", ""), r"\.\d+$", "")
     number = F.when(t.rlike(r"^[+-]?\d+(\.\d+)?$"), F.timestamp_seconds(t.try_cast("double")))
-    formats = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(number, *[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
+    offset = r"(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)"
+    day = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(t, F.lit("y-M-d")))
+    moment = F.when(t.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T\d{{1,2}}:\d{{1,2}}:\d{{1,2}}(?:\.\d{{1,6}}{offset}|{offset})?$"), F.try_to_timestamp(F.regexp_substr(t, F.lit(r"^[^T]+T[0-9:]+")), F.lit("y-M-d'T'H:m:s")))
+    fraction = F.rpad(F.regexp_extract(t, r"T[0-9:]+\.(\d{1,6})", 1), 6, "0").try_cast("long")
+    return F.coalesce(number, day, F.timestamp_micros(F.unix_micros(moment) + F.coalesce(fraction, F.lit(0))))
+
+
+def epoch_date(seconds: Column) -> Column:
+    """The UTC day of Unix seconds as ISO text."""
+    return F.date_format(F.to_date(F.timestamp_seconds(seconds)), "yyyy-MM-dd")
 
 
 def score_badge(score: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -128,7 +129,9 @@ _SENTENCE = re.compile(r"[^.!?]+[.!?]+|[^.!?]+$")
 
 
 def pieces(text: str, pattern: re.Pattern = _SENTENCE) -> list[Piece]:
-    return [Piece(m[0], m.start(), m.end(), len(m[0].split())) for m in pattern.finditer(text) if m[0].strip()]
+    """Pieces with a word or mark; a text in which the pattern finds none, such as one of marks only, is one."""
+    found = [Piece(m[0], m.start(), m.end(), len(m[0].split())) for m in pattern.finditer(text) if m[0].strip()]
+    return found if found or not text.strip() else [Piece(text.strip(), 0, len(text), len(text.split()))]
 
 
 def _joined(text: str, run: list[Piece]) -> Piece:
@@ -137,15 +140,14 @@ def _joined(text: str, run: list[Piece]) -> Piece:
 
 def pack_sentences(text: str, max_tokens: int = 300, overlap: int = 0) -> list[Piece]:
     """As many whole sentences as fit; the next chunk begins with the last ``overlap`` of them. A long sentence stays whole."""
+    found = pieces(text)
+    total = [0, *accumulate(p.tokens for p in found)]  # tokens before each piece
     out: list[Piece] = []
-    run: list[Piece] = []
-    for p in pieces(text):
-        if run and sum(x.tokens for x in run) + p.tokens > max_tokens:
-            out.append(_joined(text, run))
-            run = run[len(run) - overlap :] if overlap else []
-        run.append(p)
-    if run:
-        out.append(_joined(text, run))
+    first = 0
+    for k in range(1, len(found) + 1):
+        if k == len(found) or total[k + 1] - total[first] > max_tokens:
+            out.append(_joined(text, found[first:k]))
+            first = max(first, k - overlap)
     return out
 
 
@@ -176,24 +178,20 @@ def recursive(text: str, max_tokens: int = 300, overlap: int = 0) -> list[Piece]
 def slumber(text: str, max_tokens: int = 300, min_tokens: int | None = None, overlap: int = 0) -> list[Piece]:
     """Sentence chunks merged until they have ``min_tokens``, split again where they got too long."""
     least = max(1, min(max_tokens // 2 if min_tokens is None else min_tokens, max_tokens))
+    found = pack_sentences(text, max_tokens)
+    groups: list[list[Piece]] = []
+    size = least
+    for p in found:  # a group is full once its tokens reach the least
+        if size >= least:
+            groups.append([])
+            size = 0
+        groups[-1].append(p)
+        size += p.tokens
     out: list[Piece] = []
-    run: list[Piece] = []
-
-    def close() -> None:
-        content = "\n".join(p.content for p in run)
-        n = len(content.split())
-        if n > max_tokens:
-            out.extend(Piece(s.content, s.start + run[0].start, s.end + run[0].start, s.tokens) for s in split_tokens(content, max_tokens, overlap))
-        else:
-            out.append(Piece(content, run[0].start, run[-1].end, n))
-        run.clear()
-
-    for p in pack_sentences(text, max_tokens):
-        run.append(p)
-        if sum(x.tokens for x in run) >= least:
-            close()
-    if run:
-        close()
+    for group in groups:
+        content = "\n".join(p.content for p in group)
+        whole = Piece(content, group[0].start, group[-1].end, len(content.split()))
+        out += [whole] if whole.tokens <= max_tokens else [Piece(s.content, s.start + whole.start, s.end + whole.start, s.tokens) for s in split_tokens(content, max_tokens, overlap)]
     return _interleaved(out, lambda p: " ".join(p.content.split()[:overlap])) if overlap else out
 
 
@@ -268,21 +266,87 @@ def folded(df: DataFrame, keep: list[str], how: str, text: str = "text", **optio
 
 
 def semantic_chunks(df: DataFrame, key: str, order: str, content: str, vector: str, threshold: float = 0.85, max_tokens: int = 450) -> DataFrame:
-    """Neighbouring chunks of a document joined by the likeness of their vectors."""
+    """``key, chunk_index, content, tokens``: neighbouring chunks of a document joined by the likeness of their vectors.
 
-    def run(pdf):
-        import pandas as pd
+    Rows are sorted by document and read in Arrow batches: a task holds one
+    chunk being joined, whatever the length of its documents. A null content is
+    empty; a null vector, or one of another length, is like no other.
+    """
+    schema = f"key {df.schema[key].dataType.simpleString()}, chunk_index int, content string, tokens int"
 
-        pdf = pdf.sort_values(order)
-        merged = merge_similar([(c, list(v), len(c.split())) for c, v in zip(pdf[content], pdf[vector])], threshold, max_tokens)
-        return pd.DataFrame({key: pdf[key].iloc[0], "chunk_index": range(len(merged)), "content": [m[0] for m in merged], "tokens": [m[2] for m in merged]})
+    def alike(a: list[float] | None, b: list[float] | None) -> bool:
+        import numpy as np
 
-    return df.select(key, order, content, vector).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, chunk_index int, content string, tokens int")
+        if a is None or b is None or len(a) != len(b):
+            return False
+        x, y = np.asarray(a, float), np.asarray(b, float)
+        size = float(np.linalg.norm(x) * np.linalg.norm(y))
+        return bool(size) and float(x @ y) / size >= threshold
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, index, held = None, 0, None  # the key, and the chunk being joined: contents, vector, tokens
+        for batch in batches:
+            out = []
+            for k, c, v in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                c = c or ""
+                n = len(c.split())
+                if held is not None and k == last and held[2] + n <= max_tokens and alike(held[1], v):
+                    held = ([*held[0], c], [(x + y) / 2 for x, y in zip(held[1], v)], held[2] + n)
+                    continue
+                if held is not None:
+                    out.append((last, index, " ".join(held[0]), held[2]))
+                index = index + 1 if held is not None and k == last else 0
+                last, held = k, ([c], v, n)
+            if out:
+                yield rows(out, batch.schema.field(0).type)
+        if held is not None:
+            yield rows([(last, index, " ".join(held[0]), held[2])], batch.schema.field(0).type)
+
+    def rows(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((kind, pa.int32(), pa.string(), pa.int32()))], ["key", "chunk_index", "content", "tokens"])
+
+    some = df.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(content).cast("string").alias("content"), F.col(vector).cast("array<double>").alias("vector"))
+    made = some.repartition("key").sortWithinPartitions("key", "order").select("key", "content", "vector").mapInArrow(run, schema)
+    return made.toDF(key, *["chunk_index", "content", "tokens"] if key not in ("chunk_index", "content", "tokens") else ["_chunk_index", "_content", "_tokens"])
+
+
+def html_chunks(df: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
+    """Visible text of markup, in sentences that fit."""
+    return folded(df.withColumn(text, T.html_to_text(F.col(text))), keep, "recursive", text, **options)
+
+
+def semantic_markdown(df: DataFrame, key: str, vectors: Callable[[DataFrame], DataFrame], text: str = "text", threshold: float = 0.85, max_tokens: int = 450) -> DataFrame:
+    """Markdown sections joined by the likeness of the vectors that ``vectors`` adds (a column ``vector``) to the sections."""
+    blocks = vectors(markdown_blocks(df, [key], text))
+    return semantic_chunks(blocks, key, "section", "content", "vector", threshold, max_tokens)
 
 
 def auto_chunks(df: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
-    """Format by format: JSON flattened, all other texts recursively; one scan each."""
-    marked = df.withColumn("_format", T.detect_format(F.col(text)))
-    json = folded(marked.filter("_format = 'json'"), [*keep, "_format"], "json", text, **options)
-    rest = folded(marked.filter("_format <> 'json'"), [*keep, "_format"], "recursive", text, **options)
-    return json.unionByName(rest).withColumnRenamed("_format", "format")
+    """``keep, format, chunk_index, content`` of each text by the chunker of its format.
+
+    Formats: json, html, latex, code, table, markdown, and all other texts recursively.
+    """
+    marked = df.withColumn("format", T.detect_format(F.col(text)))
+    names = [*keep, "format"]
+
+    def of(kind: str) -> DataFrame:
+        return marked.filter(F.col("format") == kind)
+
+    def numbered(rows: DataFrame, order: str) -> DataFrame:
+        w = Window.partitionBy(*names).orderBy(order)
+        return rows.withColumn("chunk_index", F.row_number().over(w) - 1)
+
+    parts = [
+        folded(of("json"), names, "json", text, **options),
+        html_chunks(of("html"), names, text, **options),
+        numbered(latex_sections(of("latex"), names, text).withColumnRenamed("chunk_index", "i"), "i"),
+        numbered(code_blocks(of("code"), names, text).withColumnRenamed("chunk_index", "i"), "i"),
+        numbered(table_chunks(of("table"), names, text), "first_line"),
+        numbered(markdown_blocks(of("markdown"), names, text), "section"),
+        folded(of("text"), names, "recursive", text, **options),
+    ]
+    out = None
+    for p in parts:
+        p = p.select(*names, F.col("chunk_index").cast("int").alias("chunk_index"), "content")
+        out = p if out is None else out.unionByName(p)
+    return out

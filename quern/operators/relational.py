@@ -59,6 +59,11 @@ def rolling(df: DataFrame, keys: Sequence[str], seconds: Column, width: int, agg
     return timed.withColumns({n: a.over(w) for n, a in aggregates.items()}).drop("_s")
 
 
+def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """The broadcast hint, if a count that stops beyond ``max_rows`` finds no more rows; else the rows as they are."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def child_count(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, out: str = "n_children") -> DataFrame:
     """Parents with the number of their children, 0 included; children are counted before the join."""
     n = child.groupBy(F.col(child_key).alias(parent_key)).agg(F.count("*").alias(out))
@@ -77,6 +82,27 @@ def field_map(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in fields.items()])
 
 
+def required_path(path: str) -> Column:
+    """A path into structs that must have a value: a row without one is an error when it is read."""
+    return F.coalesce(F.col(path), F.raise_error(F.lit(f"missing: {path}")))
+
+
+def without_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All columns but these; a name that is not there is an error, since a typing mistake would let a column through."""
+    missing = sorted(set(names) - set(df.columns))
+    if missing:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    return df.drop(*names)
+
+
+def reshaped(df: DataFrame, renames: dict[str, str], defaults: dict[str, Column], nested: dict[str, Sequence[str]]) -> DataFrame:
+    """Columns renamed, nulls filled, then groups of columns nested as structs."""
+    out = df.withColumnsRenamed(renames)
+    out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
+    inner = {c for names in nested.values() for c in names}
+    return out.select(*[c for c in out.columns if c not in inner], *[F.struct(*names).alias(n) for n, names in nested.items()])
+
+
 def apply_when(df: DataFrame, condition: Column, column: str, change: Callable[[Column], Column]) -> DataFrame:
     return df.withColumn(column, F.when(condition, change(F.col(column))).otherwise(F.col(column)))
 
@@ -102,6 +128,13 @@ def in_date_range(df: DataFrame, column: str, start: str | None, end: str | None
     return df.filter((d.isNull() & F.lit(not require_date)) | (d.isNotNull() & ok))
 
 
+def within_hours(df: DataFrame, ts: str, hours: float, anchor: Column, limit: int | None = None) -> DataFrame:
+    """Look-back: rows of the last ``hours`` before the anchor, newest first; the limit is the feature."""
+    age = F.unix_micros(anchor.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    out = df.filter((age >= 0) & (age <= int(hours * 3_600_000_000)))
+    return out if limit is None else out.orderBy(F.desc(ts)).limit(limit)
+
+
 def metadata_equals(metadata: str, wanted: dict[str, str]) -> Column:
     """All wanted entries are there and equal; no metadata is no match."""
     m = F.col(metadata)
@@ -111,16 +144,54 @@ def metadata_equals(metadata: str, wanted: dict[str, str]) -> Column:
     return out
 
 
+def hash_share(key: str) -> Column:
+    """A number in [0, 1) from the MD5 of a key: the same at every run, in every engine."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
 def hash_sample(df: DataFrame, key: str, rate: float) -> DataFrame:
-    """A share of the rows, the same ones at every run. Sampling is the feature."""
+    """Always, never, or a share of the rows, the same ones at every run. Sampling is the feature."""
     if rate <= 0:
         return df.filter(F.lit(False))
-    return df if rate >= 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return df if rate >= 1 else df.filter(hash_share(key) < rate)
 
 
 def bounded_sample(df: DataFrame, key: str, n: int, max_n: int = 10_000) -> DataFrame:
     """At most ``n`` rows by the order of hashed keys. The limit is the feature."""
-    return df.orderBy(F.xxhash64(key), key).limit(max(0, min(n, max_n)))
+    return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(max(0, min(n, max_n)))
+
+
+def union_distinct(parts: Sequence[tuple[str, DataFrame]], key: Column) -> DataFrame:
+    """Rows of several sources with their source's name; of rows with one key the earliest source's first stays.
+
+    Repeats go inside each source first, so a hot key is a row a source by then.
+    """
+    every = None
+    for place, (name, df) in enumerate(parts):
+        once = df.withColumn("_key", key).dropDuplicates(["_key"]).withColumns({"source": F.lit(name), "_place": F.lit(place)})
+        every = once if every is None else every.unionByName(once)
+    return latest_per_key(every, ["_key"], [F.col("_place")]).drop("_key", "_place")
+
+
+def live_entries(accesses: DataFrame, key: str, at: str, now: Column, ttl_s: int, capacity: int) -> DataFrame:
+    """What a cache of ``capacity`` entries that live ``ttl_s`` seconds after their last use holds: ``key, last_used``."""
+    last = accesses.groupBy(key).agg(F.max(F.col(at)).alias("last_used"))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_used").cast("timestamp"))
+    return last.filter((age >= 0) & (age < ttl_s * 1_000_000)).orderBy(F.desc("last_used"), key).limit(capacity)
+
+
+def with_next_ids(base: DataFrame, new: DataFrame, item_id: str, order: Sequence[str]) -> DataFrame:
+    """New rows numbered on from the largest id of the base, in order.
+
+    Numbers come from row counts of ordered partitions, so no task sees all rows.
+    """
+    top = base.agg(F.coalesce(F.max(item_id), F.lit(-1)).cast("long")).first()[0]
+    ordered = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = ordered.join(F.broadcast(starts), "_part")
+    return out.withColumn(item_id, (F.lit(top + 1) + F.col("_before") + F.col("_row") - F.col("_first")).cast("long")).drop("_part", "_row", "_first", "_before")
 
 
 def ordered_distinct(column: Column) -> Column:

@@ -29,6 +29,9 @@ PII_PATTERNS = {
     "religion": r"(?i)\b(?:religion|religious)\b",
 }
 
+#: Words that a guardrail may mask; our own short list, to be replaced by one's own.
+PROFANITY = ["damn", "darn", "hell", "crap", "bastard"]
+
 #: Personal data that is masked in text.
 REDACTIONS = [("[EMAIL]", PII_PATTERNS["email"]), ("[CARD]", PII_PATTERNS["credit_card"]), ("[PHONE]", PII_PATTERNS["phone_number"]), ("[IP]", PII_PATTERNS["ip_address"])]
 

@@ -17,8 +17,8 @@ def dept_count(spark, d):
 def filtered_count(spark, d):
     nation = table(spark, d, "nation")
     first = nation.agg(F.min("n_name").alias("n_name"))
-    keys = nation.join(F.broadcast(first), "n_name").select(F.col("n_nationkey").alias("c_nationkey"))
-    return table(spark, d, "customer").join(F.broadcast(keys), "c_nationkey").agg(F.count("*").alias("n"))
+    keys = nation.join(F.broadcast(first), "n_name").select(F.col("n_nationkey").alias("c_nationkey"))  # first is one row
+    return table(spark, d, "customer").join(R.broadcast_checked(keys), "c_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("avg_having", "SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance FROM customer GROUP BY 1 HAVING count(*) > 5")
@@ -63,8 +63,8 @@ def left_join_nullable(spark, d):
 @query("inner_join_filtered", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
 def inner_join_filtered(spark, d):
     region = table(spark, d, "region").filter("r_name = 'EUROPE'")
-    nation = table(spark, d, "nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    nation = table(spark, d, "nation").join(R.broadcast_checked(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(R.broadcast_checked(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
 @query("right_join", "SELECT s_suppkey, n_nationkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")

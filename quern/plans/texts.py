@@ -106,26 +106,38 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{3,}\b'
 c AS (SELECT doc_id, w, count(*) AS n, min(i) AS first FROM w GROUP BY 1, 2)
 SELECT doc_id, w AS keyword, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS place FROM c QUALIFY place <= 5""")
 def keywords(spark, d):
+    """Documents are independent: words are counted inside the row, in order of first use, and nothing is shuffled."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"((?<![A-Za-z0-9_])[a-z]{3,}(?![A-Za-z0-9_]))"), F.lit(1))
-    rows = docs(spark, d).select("doc_id", F.posexplode(found).alias("i", "keyword")).groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return rows.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 5").select("doc_id", "keyword", "n", "place")
+    return X.top_words(docs(spark, d), ["doc_id"], found, 5).withColumnRenamed("word", "keyword")
 
 
-@query("questions", r"SELECT doc_id, len(regexp_extract_all(text, '\?')) AS n FROM documents")
+@query("questions", r"""
+WITH q AS (SELECT doc_id, unnest(string_split(replace(text, '.', '?'), '?')[1 : -2]) || '?' AS q FROM documents)
+SELECT doc_id, count(*) AS n, md5(string_agg(trim(q), chr(10) ORDER BY trim(q))) AS digest FROM q GROUP BY 1""")
 def questions(spark, d):
-    return docs(spark, d).select("doc_id", F.size(T.questions(F.col("text"))).cast("long").alias("n"))
+    """The table has no question marks, so full stops are made some; each document's questions in order."""
+    q = F.array_sort(T.questions(F.replace("text", F.lit("."), F.lit("?"))))
+    return docs(spark, d).filter(F.col("text").contains(".") | F.col("text").contains("?")).select("doc_id", F.size(q).cast("long").alias("n"), F.md5(F.array_join(q, "\n").cast("binary")).alias("digest"))
 
 
-@query("json_flatten", "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS flat FROM events")
+@query("json_flatten", """
+SELECT event_id, 'k: ' || json_extract_string(props, '$.k') || ' type: ' || event_type || ' list[0].user: ' || user_id || ' list[1]: null list[2]: {} nested.flag: ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS flat FROM events""")
 def json_flatten(spark, d):
-    rows = C.folded(table(spark, d, "events"), ["event_id"], "json", "props")
-    return rows.select("event_id", F.col("content").alias("flat"))
-
-
-@query("sentence_pack")
+    """Nested objects, arrays, nulls and empty values in the place of the one-key objects of the table."""
+    e = table(spark, d, "events")
+    more = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "type": "'), F.col("event_type"), F.lit('", "list": [{"user": '), F.col("user_id").cast("string"), F.lit('}, null, {}], "nested": {"flag": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit("}}"))
+    return C.folded(e.select("event_id", more.alias("props")), ["event_id"], "json", "props").select("event_id", F.regexp_replace("content", "\\s+", " ").alias("flat"))
+
+
+@query("sentence_pack", r"""
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?]+[.!?]+|[^.!?]+$'), lambda s: regexp_matches(s, '\S')) AS l FROM documents),
+q AS (SELECT doc_id, l, list_transform(l, lambda s: len(regexp_extract_all(s, '\S+'))) AS n, len(l) AS k FROM p WHERE len(l) > 0),
+r AS (SELECT doc_id, n, k, 1 AS i, 1 AS first, n[1] AS total, 0 AS chunk, FALSE AS cut FROM q UNION ALL
+SELECT doc_id, n, k, i + 1, CASE WHEN total + n[i + 1] > 300 THEN i ELSE first END, CASE WHEN total + n[i + 1] > 300 THEN n[i] + n[i + 1] ELSE total + n[i + 1] END,
+CASE WHEN total + n[i + 1] > 300 THEN chunk + 1 ELSE chunk END, total + n[i + 1] > 300 FROM r WHERE i < k)
+SELECT doc_id, CAST(chunk AS INT) AS chunk_index, CAST(max(total) AS INT) AS tokens FROM r GROUP BY 1, 2""")
 def sentence_pack(spark, d):
-    return C.folded(docs(spark, d), ["doc_id"], "sentence", max_tokens=300, overlap=1)
+    return C.folded(docs(spark, d), ["doc_id"], "sentence", max_tokens=300, overlap=1).select("doc_id", "chunk_index", "tokens")
 
 
 @query("recursive_chunks")
@@ -138,7 +150,12 @@ def slumber_chunks(spark, d):
     return C.folded(docs(spark, d), ["doc_id"], "slumber", max_tokens=300)
 
 
-@query("semantic_merge")
+@query("semantic_merge", """
+WITH RECURSIVE e AS (SELECT CAST(floor(vec_id / 20) AS BIGINT) AS doc, vec_id, 'chunk ' || vec_id AS c, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY floor(vec_id / 20) ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT doc, i, 0 AS chunk, c, v, 2 AS tokens FROM e WHERE i = 1 UNION ALL
+SELECT doc, i, CASE WHEN j THEN chunk ELSE chunk + 1 END, CASE WHEN j THEN rc || ' ' || c ELSE c END, CASE WHEN j THEN list_transform(list_zip(rv, v), lambda x: (x[1] + x[2]) / 2) ELSE v END, CASE WHEN j THEN tokens + 2 ELSE 2 END
+FROM (SELECT e.doc, e.i, e.c, e.v, r.c AS rc, r.v AS rv, r.chunk, r.tokens, r.tokens + 2 <= 450 AND list_cosine_similarity(r.v, e.v) >= 0.5 AS j FROM r JOIN e ON e.doc = r.doc AND e.i = r.i + 1))
+SELECT doc, CAST(chunk AS INT) AS chunk_index, max_by(c, i) AS content, CAST(max(tokens) AS INT) AS tokens FROM r GROUP BY 1, 2""")
 def semantic_merge(spark, d):
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc"), "vec_id", F.concat(F.lit("chunk "), F.col("vec_id")).alias("content"), "embedding")
     return C.semantic_chunks(e, "doc", "vec_id", "content", "embedding", threshold=0.5)
@@ -159,10 +176,15 @@ def bm25_topk(spark, d):
     return X.bm25(docs(spark, d), _Q).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_many")
+@query("bm25_many", r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+r AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY 1, 2)
+SELECT item_id, round(score, 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(r.score, 9) DESC, doc_id) AS rank FROM r QUALIFY rank <= 10""")
 def bm25_many(spark, d):
-    """Benchmark items as queries: the ten best documents of each."""
-    return X.bm25_many(docs(spark, d), table(spark, d, "benchmark"), query_id="item_id", query="text")
+    """Benchmark items as queries: the ten best scores of each."""
+    return X.bm25_many(docs(spark, d), table(spark, d, "benchmark"), query_id="item_id", query="text").select("item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -209,15 +231,15 @@ def hybrid_topk(spark, d):
 WITH n AS (SELECT q.vec_id AS query_id, q.label AS ql, e.label AS el, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
 FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id QUALIFY rank <= 10),
 g AS (SELECT q.vec_id AS query_id, count(*) AS c FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1),
-m AS (SELECT query_id, sum((ql = el)::INT) / 10.0 AS p, sum((ql = el)::INT) AS h, min(CASE WHEN ql = el THEN rank END) AS f FROM n GROUP BY 1)
-SELECT query_id, round(p, 6) AS "precision", round(h / c, 6) AS recall, round(coalesce(1 / f, 0), 6) AS mrr FROM m JOIN g USING (query_id)""")
+m AS (SELECT query_id, sum((ql = el)::INT) / 10.0 AS p, sum((ql = el)::INT) AS h, min(CASE WHEN ql = el THEN rank END) AS f FROM n GROUP BY 1),
+z AS (SELECT query_id, p, h / c AS r, coalesce(1 / f, 0) AS m FROM m JOIN g USING (query_id))
+SELECT query_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(m, 6) AS mrr, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END >= 0.3 AS passed FROM z""")
 def retrieval_prf(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("ql"))
-    found = X.vector_search(e, q.drop("ql"), "vec_id", "embedding", "query_id")
-    correct = q.join(e.select("vec_id", "label"), F.col("ql") == F.col("label")).filter("vec_id <> query_id").select("query_id", "vec_id")
-    m = X.retrieval_metrics(found, correct, "query_id", "vec_id")
-    return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")])
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    found = X.vector_search(e, q.drop("label"), "vec_id", "embedding", "query_id")
+    m = X.f1_gate(X.retrieval_metrics_by_label(found, q, e, "query_id", "vec_id", "label"))
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mrr")], "passed")
 
 
 @query("label_prf", """
@@ -229,13 +251,34 @@ def label_prf(spark, d):
     return X.label_metrics(x, F.col("n") > 300, F.col("quality") == 1).select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("rouge_bleu")
-def rouge_bleu(spark, d):
-    """Each assistant turn against the turn before it."""
+_TURNS = r"""
+t AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, lag(regexp_extract_all(lower(text), '[a-z0-9]+')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations QUALIFY role = 'assistant' AND b IS NOT NULL),
+g AS (SELECT conv_id, turn, n, x, count(*) AS k FROM (SELECT conv_id, turn, n, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i : i + n - 1], ' '))) AS x FROM t, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
+h AS (SELECT conv_id, turn, n, x, count(*) AS k FROM (SELECT conv_id, turn, n, unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i : i + n - 1], ' '))) AS x FROM t, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
+c AS (SELECT g.conv_id, g.turn, g.n, sum(least(g.k, h.k)) AS s FROM g JOIN h ON h.conv_id = g.conv_id AND h.turn = g.turn AND h.n = g.n AND h.x = g.x GROUP BY ALL),
+z AS (SELECT t.conv_id, t.turn, len(a) AS la, len(b) AS lb, n, coalesce(s, 0) AS s FROM t CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) LEFT JOIN c USING (conv_id, turn, n)),
+f AS (SELECT conv_id, turn, max(CASE WHEN n = 1 AND la + lb > 0 THEN 2.0 * s / (la + lb) WHEN n = 1 THEN 0 END) AS r1,
+max(CASE WHEN n = 2 AND greatest(la - 1, 0) + greatest(lb - 1, 0) > 0 THEN 2.0 * s / (greatest(la - 1, 0) + greatest(lb - 1, 0)) WHEN n = 2 THEN 0 END) AS r2,
+CASE WHEN min(s) > 0 THEN exp(sum(CASE WHEN s > 0 THEN ln(s / greatest(la - n + 1, 1)) END) / 4) * min(least(1.0, exp(1 - lb / greatest(la, 1)))) ELSE 0 END AS bl FROM z GROUP BY 1, 2)
+"""
+
+
+def _turns(spark, d):
+    """Each assistant turn with the turn before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).filter("role = 'assistant' AND before IS NOT NULL")
+    return table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).filter("role = 'assistant' AND before IS NOT NULL")
+
+
+@query("rouge_bleu", "WITH " + _TURNS + "SELECT conv_id, turn, round(r1, 5) AS rouge_1, round(r2, 5) AS rouge_2, round(bl, 5) AS bleu FROM f")
+def rouge_bleu(spark, d):
     a, b = F.col("text"), F.col("before")
-    return t.select("conv_id", "turn", F.round(X.rouge_n(a, b, 1), 6).alias("rouge_1"), F.round(X.rouge_n(a, b, 2), 6).alias("rouge_2"), F.round(X.rouge_l(a, b), 6).alias("rouge_l"), F.round(X.bleu(a, b), 6).alias("bleu"))
+    return _turns(spark, d).select("conv_id", "turn", F.round(X.rouge_n(a, b, 1), 5).alias("rouge_1"), F.round(X.rouge_n(a, b, 2), 5).alias("rouge_2"), F.round(X.bleu(a, b), 5).alias("bleu"))
+
+
+@query("rouge_l")
+def rouge_l(spark, d):
+    """No SQL: a longest common subsequence is a table of numbers for each pair. Tested against brute force."""
+    return _turns(spark, d).select("conv_id", "turn", F.round(X.rouge_l(F.col("text"), F.col("before")), 6).alias("rouge_l"))
 
 
 # ------------------------------------------------------------------ hygiene
@@ -259,7 +302,8 @@ def near_dups(spark, d):
     return D.similar_pairs(table(spark, d, "part"), "p_partkey", "p_name", 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_dup_keep")
+@query("near_dup_keep", "WITH o AS (SELECT conv_id * 1000 + turn AS id, text, length(text) AS score FROM conversations), " + _SETS.format(id="id", text="text", src="o", t=0.7).replace("k AS (SELECT min(id) AS id, g FROM", "k AS (SELECT arg_min(id, (-score, id)) AS id, min(id) AS cls, max(score) AS score, g FROM").replace("FROM (SELECT id, list_sort(g) AS g FROM g) GROUP BY g", "FROM (SELECT id, score, list_sort(g) AS g FROM g JOIN o USING (id)) GROUP BY g").replace("p AS (SELECT a.id AS a, b.id AS b,", "p AS (SELECT a.cls AS a, b.cls AS b, a.score AS sa, b.score AS sb,").replace("ON a.id < b.id", "ON a.cls < b.cls") + """
+SELECT id FROM k WHERE cls NOT IN (SELECT CASE WHEN sa >= sb THEN b ELSE a END FROM p WHERE n / (x + y - n) >= 0.7)""")
 def near_dup_keep(spark, d):
     """Conversation turns that lose to no similar turn; longer turns win."""
     t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.length("text").alias("score"))
@@ -303,12 +347,16 @@ def severity_rollup(spark, d):
     return S.severity_rollup(S.scan_lines(docs(spark, d), ["doc_id"]))
 
 
-@query("pii_counts", r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INT) AS email, CAST(len(regexp_extract_all(text, '(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}')) AS INT) AS phone_number,
-CAST(len(regexp_extract_all(text, '(?i)religion|religious')) AS INT) AS religion FROM documents""")
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "phone_number": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}",
+    "credit_card": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "date_of_birth": r"(?i)\b(?:date of birth|birth ?date|dob)\b", "health_data": r"(?i)\b(?:patient|diagnosis|medical record|prescription|symptoms)\b",
+    "biometric": r"(?i)\b(?:fingerprint|face ?print|retina|iris scan|biometric)\b", "religion": r"(?i)\b(?:religion|religious)\b",
+}
+
+
+@query("pii_counts", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS INT) AS {n}" for n, p in _PII.items()) + " FROM documents")
 def pii_counts(spark, d):
-    c = S.pii_counts(F.col("text"))
-    return docs(spark, d).select("doc_id", *[c[k].alias(k) for k in ("email", "phone_number", "religion")])
+    return docs(spark, d).select("doc_id", *[c.alias(n) for n, c in S.pii_counts(F.col("text")).items()])
 
 
 @query("redact", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\$\d[\d.,]*', '[redacted]', 'g'), '\d+', '[#]', 'g')) AS digest FROM documents")
@@ -331,37 +379,59 @@ def jaro_winkler(spark, d):
 # ------------------------------------------------------------- data quality
 
 
-@query("profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+@query("profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
 def profile(spark, d):
-    return Q.profile(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+    return Q.profile(table(spark, d, "orders"))
 
 
 @query("dq_score", """
-WITH x AS (SELECT avg((text IS NOT NULL)::INT) AS c, avg((n_chars = length(text))::INT) AS k, avg((lang IN ('en', 'fr', 'de', 'es'))::INT) AS v, count(DISTINCT text) / count(*) AS u FROM documents)
-SELECT round(100 * (0.3 * c + 0.25 * k + 0.2 * v + 0.15 * u + 0.1), 4) AS score, CASE WHEN 100 * (0.3 * c + 0.25 * k + 0.2 * v + 0.15 * u + 0.1) >= 85 THEN 'good' WHEN 100 * (0.3 * c + 0.25 * k + 0.2 * v + 0.15 * u + 0.1) >= 65 THEN 'fair' ELSE 'poor' END AS band FROM x""")
+WITH x AS (SELECT avg((props IS NOT NULL)::INT) AS c, avg((json_extract_string(props, '$.k') IS NOT NULL)::INT) AS k, avg((event_type IN ('click', 'view', 'purchase', 'signup'))::INT) AS v, count(DISTINCT (user_id, event_type, CAST(ts AS DATE))) / count(*) AS u,
+avg((ts BETWEEN TIMESTAMP '2024-01-31' - INTERVAL 240 HOUR AND TIMESTAMP '2024-01-31')::INT) AS t FROM events),
+s AS (SELECT 100 * (0.3 * c + 0.25 * k + 0.2 * v + 0.15 * u + 0.1 * t) AS s, t FROM x)
+SELECT round(t, 6) AS timeliness, round(s, 4) AS score, CASE WHEN s >= 85 THEN 'good' WHEN s >= 65 THEN 'fair' ELSE 'poor' END AS band FROM s""")
 def dq_score(spark, d):
-    x = docs(spark, d).agg(F.avg(F.col("text").isNotNull().cast("int")).alias("c"), F.avg((F.col("n_chars") == F.length("text")).cast("int")).alias("k"), F.avg(F.col("lang").isin("en", "fr", "de", "es").cast("int")).alias("v"), (F.count_distinct("text") / F.count("*")).alias("u"))
-    s = Q.quality_score({"completeness": F.col("c"), "consistency": F.col("k"), "validity": F.col("v"), "uniqueness": F.col("u"), "timeliness": F.lit(1.0)})
-    return x.select(F.round(s, 4).alias("score"), Q.band(s).alias("band"))
+    """Events: all five dimensions from the data; timely is what is not older than ten days at the end of the month."""
+    kept = F.count_distinct("user_id", "event_type", F.to_date("ts")) / F.count("*")
+    x = table(spark, d, "events").agg(
+        F.avg(F.col("props").isNotNull().cast("int")).alias("completeness"), F.avg(F.get_json_object("props", "$.k").isNotNull().cast("int")).alias("consistency"),
+        F.avg(F.col("event_type").isin("click", "view", "purchase", "signup").cast("int")).alias("validity"), kept.alias("uniqueness"), Q.timely_share(F.col("ts"), F.lit("2024-01-31"), 240).alias("timeliness"),
+    )
+    s = Q.quality_score({c: F.col(c) for c in Q.WEIGHTS})
+    return x.select(F.round("timeliness", 6).alias("timeliness"), F.round(s, 4).alias("score"), Q.band(s).alias("band"))
+
+
+_IQR = """
+WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 97 = 0 THEN value * 9 ELSE value END AS value FROM events), q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM e GROUP BY 1)
+SELECT event_id, value < a - {f} * (b - a) OR value > b + {f} * (b - a) AS outlier FROM e JOIN q USING (event_type)"""
+
 
+def _spiked(spark, d):
+    """Events with a value in 97 made nine times as large, so that there are outliers."""
+    return table(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 97 == 0, F.col("value") * 9).otherwise(F.col("value")).alias("value"))
 
-@query("iqr_outliers", """
-WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1)
-SELECT event_id, value < a - 0.2 * (b - a) OR value > b + 0.2 * (b - a) AS outlier FROM events JOIN q USING (event_type)""")
+
+@query("iqr_outliers", _IQR.format(f=1.5))
 def iqr_outliers(spark, d):
-    return Q.with_iqr_outliers(table(spark, d, "events"), ["event_type"], "value", 0.2).select("event_id", "outlier")
+    return Q.with_iqr_outliers(_spiked(spark, d), ["event_type"], "value").select("event_id", "outlier")
+
+
+@query("iqr_outliers_narrow", _IQR.format(f=0.2))
+def iqr_outliers_narrow(spark, d):
+    return Q.with_iqr_outliers(_spiked(spark, d), ["event_type"], "value", 0.2).select("event_id", "outlier")
+
+
+_SPIKED = "e AS (SELECT event_id, event_type, CASE WHEN event_id % 97 = 0 THEN value * 9 ELSE value END AS value FROM events)"
 
 
-@query("z_scores", "SELECT event_id, round((value - m) / s, 6) AS z FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1) USING (event_type)")
+@query("z_scores", "WITH " + _SPIKED + " SELECT event_id, round((value - m) / s, 6) AS z, abs((value - m) / s) > 3 AS z_outlier FROM e JOIN (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM e GROUP BY 1) USING (event_type)")
 def z_scores(spark, d):
-    return Q.with_z_scores(table(spark, d, "events"), ["event_type"], "value").select("event_id", F.round("z", 6).alias("z"))
+    return Q.with_z_scores(_spiked(spark, d), ["event_type"], "value").select("event_id", F.round("z", 6).alias("z"), "z_outlier")
 
 
-@query("mad_outliers", """
-WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1), g AS (SELECT event_id, event_type, abs(value - med) AS g FROM events JOIN m USING (event_type)), a AS (SELECT event_type, median(g) AS mad FROM g GROUP BY 1)
-SELECT event_id, round(0.6745 * g / mad, 6) AS modified_z FROM g JOIN a USING (event_type)""")
+@query("mad_outliers", "WITH " + _SPIKED + """, m AS (SELECT event_type, median(value) AS med FROM e GROUP BY 1), g AS (SELECT event_id, event_type, abs(value - med) AS g FROM e JOIN m USING (event_type)), a AS (SELECT event_type, median(g) AS mad FROM g GROUP BY 1)
+SELECT event_id, round(0.6745 * g / mad, 6) AS modified_z, 0.6745 * g / mad > 3.5 AS z_outlier FROM g JOIN a USING (event_type)""")
 def mad_outliers(spark, d):
-    return Q.with_modified_z(table(spark, d, "events"), ["event_type"], "value").select("event_id", F.round("modified_z", 6).alias("modified_z"))
+    return Q.with_modified_z(_spiked(spark, d), ["event_type"], "value").select("event_id", F.round("modified_z", 6).alias("modified_z"), "z_outlier")
 
 
 @query("impute_median", """
@@ -397,9 +467,11 @@ def quarantine(spark, d):
     return q.select("s_suppkey", F.array_join("broken_rules", ",").alias("broken"))
 
 
-@query("freshness", "SELECT round((epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts)))) / 3600.0, 6) AS age_hours FROM events")
+@query("freshness", """
+WITH a AS (SELECT event_type, (epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(max(ts)))) / 3600.0 AS h FROM events GROUP BY 1)
+SELECT event_type, round(h, 6) AS age_hours, CASE WHEN h >= 14 THEN 'error' WHEN h >= 13 THEN 'warn' ELSE 'ok' END AS state FROM a""")
 def freshness(spark, d):
-    return Q.freshness(table(spark, d, "events"), "ts", F.lit("2024-01-31")).select(F.round("age_hours", 6).alias("age_hours"))
+    return Q.freshness(table(spark, d, "events"), "ts", F.lit("2024-01-30 12:00:00"), 13, 14, by=["event_type"]).select("event_type", F.round("age_hours", 6).alias("age_hours"), "state")
 
 
 @query("silent_failures", "SELECT count_if(lower(trim(props)) IN ('', 'n/a')) ::BIGINT AS n_sentinel, count_if(props <> trim(props))::BIGINT AS n_outer_space, count_if(regexp_matches(trim(props), '^[+-]?\\d+(\\.\\d+)?$'))::BIGINT AS n_numeric_text FROM events")

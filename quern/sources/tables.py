@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import tempfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for files that driver and executors share: below ``spark.checkpoint.dir``; a local master may do without."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quern-")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def stat(spark: SparkSession, path: str) -> dict:
+    """``path, is_dir, size, modified_ms`` of one path in any store that Spark reads."""
+    fs, p = _hadoop(spark, path)
+    s = fs.getFileStatus(p)
+    return {"path": s.getPath().toString(), "is_dir": s.isDirectory(), "size": s.getLen(), "modified_ms": s.getModificationTime()}
+
+
+def walk(spark: SparkSession, path: str) -> Iterator[tuple[str, list[str], list[str]]]:
+    """``folder, folders, files`` from the top down, names sorted; one folder's listing is held at a time."""
+    fs, p = _hadoop(spark, path)
+    waiting = [p]
+    while waiting:
+        at = waiting.pop()
+        below = sorted(fs.listStatus(at), key=lambda s: s.getPath().getName())
+        folders = [s.getPath() for s in below if s.isDirectory()]
+        yield at.toString(), [f.getName() for f in folders], [s.getPath().getName() for s in below if s.isFile()]
+        waiting += reversed(folders)
+
+
+def copy(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> None:
+    """Copy a file or folder from one store to another."""
+    (fs, p), (to, q) = _hadoop(spark, source), _hadoop(spark, target)
+    if not overwrite and to.exists(q):
+        raise FileExistsError(target)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if not spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, q, False, overwrite, conf):
+        raise OSError(f"{source} could not be copied to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.delete(p, True)
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

@@ -6,7 +6,7 @@ needs a timestamp with one. State is bounded by watermarks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +77,37 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append", checkpoint: str |
     q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def kafka_options(servers: str, topics: str, starting: str = "latest", per_trigger: int | None = None, **more: str) -> dict[str, str]:
+    """Options of the Kafka source (its connector comes with Spark's packages, not with Spark); Event Hubs speak the same protocol."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": starting, "failOnDataLoss": "true", **more}
+    return out if per_trigger is None else out | {"maxOffsetsPerTrigger": str(per_trigger)}
+
+
+def read_kafka(spark: SparkSession, servers: str, topics: str, schema: str, **options) -> DataFrame:
+    return kafka_rows(spark.readStream.format("kafka").options(**kafka_options(servers, topics, **options)).load(), schema)
+
+
+def kafka_rows(messages: DataFrame, schema: str) -> DataFrame:
+    """Messages as rows: the JSON value's fields, then key, topic, partition, offset and time. A value that does not parse has null fields and stays in ``raw``."""
+    text = F.col("value").cast("string")
+    parsed = messages.select(F.from_json(text, schema).alias("v"), F.col("key").cast("string").alias("message_key"), "topic", "partition", "offset", F.col("timestamp").alias("message_time"), text.alias("raw"))
+    bad = F.forall(F.array(*[F.col(f"v.{f}").isNull() for f in parsed.schema["v"].dataType.names]), lambda x: x)
+    return parsed.withColumn("raw", F.when(bad, F.col("raw"))).select("v.*", "message_key", "topic", "partition", "offset", "message_time", "raw")
+
+
+def ring_tail(df: DataFrame, key: str, line: str, n: int = 500) -> DataFrame:
+    """The last ``n`` lines of each key, told anew when a key has new ones: ``key, lines``. State is ``n`` lines a key."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for part in parts:
+            held = (held + part[line].tolist())[-n:]
+        state.update((held,))
+        yield pd.DataFrame({key: [name[0]], "lines": [held]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, line).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, lines array<string>", "lines array<string>", "update", GroupStateTimeout.NoTimeout)

@@ -297,3 +297,114 @@ def test_near_documents(spark, tmp_path):
     best = {k: min((i for i in range(len(texts)) if first[i] == k), key=lambda i: (-len(texts[i]), i)) for k in set(first)}
     lost = {b if len(texts[best[a]]) >= len(texts[best[b]]) else a for a, b in near}
     assert {r["doc_id"] for r in catalog.QUERIES["doc_near_dup_keep"](spark, str(tmp_path)).collect()} == {i for k, i in best.items() if k not in lost}
+
+
+def test_marks_only_texts_are_kept(spark):
+    assert [p.content for p in C.pieces("...")] == ["..."] and C.pieces("  ") == []
+    assert one(spark, "?! ", T.sentences(F.col("text"))) == ["?!"] and one(spark, " ", T.sentences(F.col("text"))) == []
+    assert [p.content for p in C.recursive("...", 5)] == ["..."]
+
+
+def test_offsets(spark):
+    text = " a  bé.\n\n\n c d \n\n"
+    for f in (T.token_spans, T.paragraph_spans, T.sentence_spans):
+        spans = one(spark, text, f(F.col("text")))
+        assert spans and all(text[s["start"] : s["end"]] == s["text"] for s in spans)
+    assert [s["text"] for s in one(spark, text, T.paragraph_spans(F.col("text")))] == ["a  bé.", "c d"]
+    assert one(spark, None, T.token_spans(F.col("text"))) is None and one(spark, "", T.token_spans(F.col("text"))) == []
+
+
+def test_code_fences(spark):
+    for given, want in (("```py\nx\n```", "```py\nx\n```"), ("``` py x\n```", "```\n```"), ("````a b\n```\n````", "````\n```\n````"), ("x ```py", "x ```py"), ("```" + "w" * 49, "```"), ("  ``` c++\n ``` no", "  ``` c++\n ```"), ("plain", "plain")):
+        assert one(spark, given, T.plain_fences(F.col("text"))) == want
+    assert one(spark, None, T.plain_fences(F.col("text"))) is None
+
+
+def test_sanitize_links(spark):
+    given = '<a href="javascript:x">a</a><a HREF=https://h.example/p onclick=z>b</a><img src="data:x"><img src="http://i.example/1.png" onerror=y><!-- c --><custom>d</custom><style>e</style>'
+    assert one(spark, given, T.sanitize_html(F.col("text"))) == 'a<a href="https://h.example/p" rel="nofollow noreferrer noopener" target="_blank">b</a><img src="http://i.example/1.png">d'
+
+
+def test_vector_search_takes_nulls_and_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(20)] + [(50, None), (51, [1.0]), (52, [0.0, 0.0]), (53, [None, 1.0])]
+    items = spark.createDataFrame(rows, "id int, v array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (90, None)], "q int, v array<double>")
+    for parts in (1, 7):
+        got = X.vector_search(items.repartition(parts), q, "id", "v", "q", k=5).orderBy("rank").collect()
+        assert [r["id"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_semantic_chunks_take_nulls(spark):
+    rows = [(1, 0, None, [1.0, 0.0]), (1, 1, "b c", [1.0, 0.1]), (1, 2, "d", None), (2, 0, "e", [1.0]), (2, 1, "f", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "content int, i int, text string, v array<double>")
+    got = sorted(tuple(r) for r in C.semantic_chunks(df, "content", "i", "text", "v").collect())
+    assert got == [(1, 0, " b c", 2), (1, 1, "d", 1), (2, 0, "e", 1), (2, 1, "f", 1)]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(k, float(x)) for k in range(3) for x in rng.choice([rng.normal(), 5.0, *rng.normal(size=30)], 101 + k)] + [(9, None), (8, 4.0)]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(5)
+    for keys in (["k"], []):
+        got = {r["k"] if keys else 0: r for r in A.exact_quantiles(df, keys, "x", {"a": 0.25, "m": 0.5, "z": 0.9}).collect()}
+        for k in (0, 1, 2, 8) if keys else (0,):
+            x = [v for i, v in rows if v is not None and (not keys or i == k)]
+            assert np.allclose([got[k]["a"], got[k]["m"], got[k]["z"]], np.quantile(x, [0.25, 0.5, 0.9]))
+        assert not keys or 9 not in got
+
+
+def test_embedder_batches(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else "x" * i) for i in range(300)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["v"] for r in X.embedded(df, "t", "v", lambda texts: [[len(texts), len(t)] for t in texts]).collect()}
+    assert got[0] is None and got[11][1] == 11 and max(v[0] for v in got.values() if v) <= 128
+    with pytest.raises(Exception, match="vectors"):
+        X.embedded(df, "t", "v", lambda texts: []).collect()
+
+
+def test_gates_and_required_paths(spark):
+    df = spark.createDataFrame([("a", 0.9, True), ("a", 0.5, False), ("b", 0.2, True)], "k string, s double, ok boolean")
+    got = {r["k"]: r["ok"] for r in A.gated(df, ["k"], "s", F.col("ok"), 0.6, 0.5).collect()}
+    assert got == {"a": True, "b": False}
+    assert X.f1_gate(spark.createDataFrame([(0.3,), (0.29,), (None,)], "f1 double")).filter("passed").count() == 1
+    with pytest.raises(Exception, match="missing: a.b"):
+        spark.createDataFrame([((None,),)], "a struct<b:int>").select(R.required_path("a.b")).collect()
+    with pytest.raises(ValueError, match="nope"):
+        R.without_columns(df, ["nope"])
+    assert R.broadcast_checked(df, 2) is df and R.broadcast_checked(df, 3) is not df
+
+
+def test_file_api(spark, tmp_path):
+    a = tmp_path / "a" / "b"
+    a.mkdir(parents=True)
+    (a / "x.txt").write_text("hello")
+    (tmp_path / "a" / "y.txt").write_text("hi")
+    at = str(tmp_path / "a")
+    assert io.exists(spark, at) and not io.exists(spark, f"{at}/none")
+    assert [(w[0].rsplit("/", 1)[-1], w[1], [f for f in w[2] if not f.endswith(".crc")]) for w in io.walk(spark, at)] == [("a", ["b"], ["y.txt"]), ("b", [], ["x.txt"])]
+    io.copy(spark, at, str(tmp_path / "c"))
+    assert (tmp_path / "c" / "b" / "x.txt").read_text() == "hello" and io.stat(spark, f"{at}/y.txt")["size"] == 2
+    with pytest.raises(FileExistsError):
+        io.copy(spark, at, str(tmp_path / "c"))
+    assert io.remove(spark, str(tmp_path / "c")) and not io.exists(spark, str(tmp_path / "c"))
+    sums = {r["path"].rsplit("/", 1)[-1]: r["md5"] for r in io.file_checksums(spark, at).collect()}
+    assert sums["y.txt"] == "49f68a5c8493ec2c0bf489821c21fc3b"
+
+
+def test_jdbc(spark):
+    """An embedded database in this JVM: whole queries, and ranges read in parallel."""
+    url = "jdbc:derby:memory:quern;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("CAST(id AS INT) AS ID", "CAST(id % 7 AS INT) AS K").write.format("jdbc").options(url=url, dbtable="numbers", **driver).mode("overwrite").save()
+    assert io.read_jdbc(spark, url, "SELECT k, count(*) AS n FROM numbers GROUP BY k", **driver).count() == 7
+    split = io.read_jdbc(spark, url, "SELECT id, k FROM numbers", column="ID", low=0, high=100, partitions=4, **driver)
+    assert split.rdd.getNumPartitions() == 4 and split.agg(F.sum("ID")).first()[0] == 4950
+    with pytest.raises(UnsafeQuery):
+        io.read_jdbc(spark, url, "DROP TABLE numbers", **driver)
+
+
+def test_rouge_l(spark):
+    for a, b, want in (("the cat sat", "the cat sat", 1.0), ("a b c d", "b d", 2 * 2 / 6), ("", "x", 0.0), (None, None, 0.0), ("x y", "z", 0.0)):
+        df = spark.createDataFrame([(a, b)], "a string, b string")
+        assert abs(df.select(X.rouge_l(F.col("a"), F.col("b"))).first()[0] - want) < 1e-9

@@ -43,3 +43,25 @@ def test_parts(spark, tmp_path):
     spark.createDataFrame([("Account 1234",), ("a secret",)], "text string").write.json(str(tmp_path / "parts"))
     out = E.guarded_parts(E.read_stream(spark, str(tmp_path / "parts"), "text string", "json"), "text", "secret", S.redact_numbers)
     assert [r["text"] for r in E.run_to_end(out, "parts_out").collect()] == ["Account [#]"]
+
+
+def test_ring_tail(spark, tmp_path):
+    """The last lines of each key over several files, as the batch form has them."""
+    for i in range(3):
+        spark.createDataFrame([(k, f"{k}{i}{j}") for k in "ab" for j in range(2 + i)], "k string, line string").coalesce(1).write.mode("append").json(str(tmp_path / "log"))
+    src = E.read_stream(spark, str(tmp_path / "log"), "k string, line string", "json", files_per_trigger=1)
+    told = E.run_to_end(E.ring_tail(src, "k", "line", 4), "ring_out", "update").collect()
+    last = {r["k"]: r["lines"] for r in sorted(told, key=lambda r: len(r["lines"]))}
+    assert set(last) == {"a", "b"} and all(len(x) <= 4 for r in told for x in [r["lines"]])
+    assert max(len(r["lines"]) for r in told if r["k"] == "a") == 4
+
+
+def test_kafka_rows(spark):
+    """What follows the source, on messages as the connector gives them; the connector itself is not on this machine."""
+    rows = [(b"k", b'{"id": 1, "name": "x"}', "t", 0, 5), (None, b"not json", "t", 1, 6), (b"k", None, "t", 1, 7)]
+    m = spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset long").withColumn("timestamp", F.current_timestamp())
+    got = {r["offset"]: r for r in E.kafka_rows(m, "id long, name string").collect()}
+    assert got[5]["id"] == 1 and got[5]["message_key"] == "k" and got[5]["raw"] is None
+    assert got[6]["id"] is None and got[6]["raw"] == "not json" and got[7]["raw"] is None
+    options = E.kafka_options("h:9092", "t", per_trigger=10)
+    assert options["subscribe"] == "t" and options["maxOffsetsPerTrigger"] == "10"
