@@ -55,7 +55,7 @@ PAYS = 6
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, payload binary"
 
 
-def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``pool[start : start + size]`` of each, one after the other."""
     past = np.cumsum(size)
     return pool[np.repeat(start - past + size, size) + np.arange(past[-1] if len(past) else 0)]
@@ -110,7 +110,7 @@ def repair(ids: np.ndarray, is_end: np.ndarray, n_base: int, min_count: int = PA
                 break
             threshold //= FALL
             continue
-        at = _gathered(places, start[chosen], size[chosen])
+        at = gathered(places, start[chosen], size[chosen])
         at = np.sort(at[pair_at[at] == np.repeat(chosen, size[chosen])])
         number = pair_at[at]
         weight = count[number]
@@ -253,7 +253,7 @@ class Shard:
         rules = np.arange(self.n_base, self.n_base + len(self.left))
         pool = np.concatenate([np.arange(self.n_base, dtype=np.uint32), self.expand(rules)])
         start = np.concatenate([np.arange(self.n_base), self.n_base + np.cumsum(self.length) - self.length])
-        return _gathered(pool, start[self.symbols], self.lengths(self.symbols))
+        return gathered(pool, start[self.symbols], self.lengths(self.symbols))
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.symbol_end[k - 1] if k else 0 : self.symbol_end[k]])
@@ -345,7 +345,7 @@ class PieceEncoder:
         short = pc.less_equal(pc.utf8_length(fresh), self.LONG)
         if not pc.all(short).as_py():
             ok = short.to_numpy(zero_copy_only=False)
-            fresh, ids, starts, sizes = fresh.filter(short), _gathered(pool, starts[ok], sizes[ok]), None, sizes[ok]
+            fresh, ids, starts, sizes = fresh.filter(short), gathered(pool, starts[ok], sizes[ok]), None, sizes[ok]
             starts = len(self.pool) + np.cumsum(sizes) - sizes
         self.pool = np.concatenate([self.pool, ids])
         self.words = pa.concat_arrays([self.words, fresh])
@@ -366,7 +366,7 @@ class PieceEncoder:
         index = words.indices.to_numpy()
         # The pieces' ids: those of the letters, then those of the marks.
         both = np.stack([index[: len(plain)], index[len(plain) :]], axis=1).ravel()
-        ids = [_gathered(pool, start[both], size[both])]
+        ids = [gathered(pool, start[both], size[both])]
         length = np.zeros(len(pieces), dtype=np.int64)
         length[simple] = size[both].reshape(-1, 2).sum(axis=1)
         place = np.zeros(len(pieces), dtype=np.int64)
@@ -381,7 +381,7 @@ class PieceEncoder:
         at = coded.indices.to_numpy()
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         before = np.concatenate([[0], np.cumsum(length[at])])
-        return _gathered(np.concatenate(ids), place[at], length[at]), np.diff(before[offsets])
+        return gathered(np.concatenate(ids), place[at], length[at]), np.diff(before[offsets])
 
 
 def write_shards(df: DataFrame, path: str, end_id: int = 2, shard_ids: int = 1_000_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
