@@ -13,13 +13,15 @@ reads its rows in order and holds two texts at a time.
 Defined results: words are as elsewhere lower-cased for A-Z; a text of fewer
 than five words is one shingle, a text without words (null, empty) has the empty
 sketch. Two empty sketches are alike (1.0), an empty and another are not (0.0).
-Rows of one id are ordered by text; a null id comes last. A table of one row has
-itself as its next row. Other columns are not touched.
+Rows of one id are ordered by a hash of the text, then by the text; a null id
+comes last. A table of one row has itself as its next row; an empty table has no
+rows. Very long texts are sketched whole. Other columns are not touched.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, documents, held, slices, words_of
+from quern.llm.common import Memo, documents, held, slices, text_digest, words_of
 
 K = 64
 SHINGLE = 5
@@ -118,40 +120,95 @@ def sketches(df: DataFrame, keep: list[str], text: str = "text", k: int = K, shi
     return rows.mapInArrow(run, f"kept {kept}, sketch array<bigint>, n_distinct double").select("kept.*", "sketch", "n_distinct")
 
 
-def merged(parts: DataFrame, key: str, k: int = K, salts: int = 32) -> DataFrame:
-    """``key, sketch``: the sketch of each key's parts together. A hot key is merged in ``salts`` groups first."""
+def merged(parts: DataFrame, key: str, k: int = K, salts: int = 64, keys_held: int = 20_000) -> DataFrame:
+    """``key, sketch``: the sketch of each key's parts together.
 
-    def least(column: str):
-        return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k).alias("sketch")
+    A task first merges what it has of each key, so a hot key is one sketch a
+    task, or one for each ``keys_held`` other keys; these meet in ``salts``
+    groups, and the groups' sketches last.
+    """
+    kind = parts.schema[key].dataType.simpleString()
 
-    salted = parts.select(key, "sketch", F.pmod(F.xxhash64("sketch"), F.lit(salts)).alias("salt"))
-    return salted.groupBy(key, "salt").agg(least("sketch")).groupBy(key).agg(least("sketch"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_sketches: dict = {}
+
+        def out() -> pa.RecordBatch:
+            rows = pa.array(list(held_sketches), key_type), pa.array(list(held_sketches.values()), pa.list_(pa.int64()))
+            held_sketches.clear()
+            return pa.RecordBatch.from_arrays(list(rows), ["key", "sketch"])
+
+        for batch in batches:
+            key_type = batch.schema.field("key").type
+            for name, s in zip(batch.column("key").to_pylist(), batch.column("sketch").to_pylist()):
+                one = np.array(s or [], dtype=np.int64)
+                before = held_sketches.get(name)
+                held_sketches[name] = np.unique(one)[:k] if before is None else merge(before, one, k)
+            if len(held_sketches) >= keys_held:
+                yield out()
+        if held_sketches:
+            yield out()
+
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, k).alias("sketch")
+    few = parts.select(F.col(key).alias("key"), "sketch").mapInArrow(run, f"key {kind}, sketch array<bigint>")
+    salted = few.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)))
+    return salted.groupBy("key", "salt").agg(least).groupBy("key").agg(least).withColumnRenamed("key", key)
+
+
+def cut_points(keys: list[float], n: int) -> list[tuple[float, int]]:
+    """Where ranges begin, in the order of rows: descending keys, and ascending digests where a key is cut more than once."""
+    out = []
+    for key, times in sorted(Counter(keys).items(), reverse=True):
+        out += [(key, -(1 << 63) + j * (1 << 64) // times) for j in range(times)]
+    return out[:n]
 
 
 def with_next(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows dealt to ranges of descending ids: ``range_no, halo, id, text``; halo rows are only looked at."""
+    """Rows dealt to ranges of descending ids: ``range_no, halo, id, text``; halo rows are only looked at.
+
+    An id that very many rows share (null, say) is cut by the rows' digests.
+    """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn("key", F.coalesce("id", F.lit(NO_ID)))
+    keyed = rows.withColumn("key", F.coalesce("id", F.lit(NO_ID))).withColumn("digest", text_digest("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = keyed.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = np.array(sorted(set(cuts)))
+    points = cut_points(cuts, n)
+    names = np.array([p[0] for p in points][::-1])  # ascending
+    inner: dict[float, np.ndarray] = {key: np.array([d for name, d in points if name == key]) for key, times in Counter(cuts).items() if times > 1}
+
+    def place(key: pd.Series, digest: pd.Series) -> np.ndarray:  # how many points a row is at or behind; the largest ids are range 0
+        k = key.to_numpy().astype(float)
+        out = len(names) - np.searchsorted(names, k, side="left") if len(names) else np.zeros(len(k), dtype=int)
+        for name, digests in inner.items():
+            same = k == name
+            out[same] += np.searchsorted(digests, digest.to_numpy()[same], side="right") - len(digests)
+        return out
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:  # the largest ids are range 0
-        return pd.Series(len(bounds) - np.searchsorted(bounds, key.to_numpy().astype(float), side="left")).astype("int32")
+    def range_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series(place(key, digest)).astype("int32")
 
     # One row for each range: bounded by the number of partitions.
-    heads = sorted((r, head) for r, head in keyed.groupBy(range_of("key").alias("r")).agg(F.max("key")).collect())
-    also = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    first = F.max(F.struct("key", F.bitwise_not("digest").alias("after")))
+    heads = sorted((r, h["key"], ~h["after"]) for r, h in keyed.groupBy(range_of("key", "digest").alias("r")).agg(first).collect())
+    also = {(k, d): heads[i - 1][0] for i, (_, k, d) in enumerate(heads) if i}
 
     @F.pandas_udf("array<struct<range_no:int,halo:int>>")
-    def dealt(key: pd.Series) -> pd.Series:
-        own = len(bounds) - np.searchsorted(bounds, key.to_numpy().astype(float), side="left")
-        return pd.Series([[{"range_no": int(r), "halo": 0}] + ([{"range_no": also[k], "halo": 1}] if k in also else []) for k, r in zip(key.tolist(), own)])
-
-    spread = keyed.withColumn("d", F.explode(dealt("key"))).select("d.range_no", "d.halo", "key", "id", "text")
-    return spread.repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "halo", F.desc("key"), "text").select("range_no", "halo", "id", "text")
+    def dealt(key: pd.Series, digest: pd.Series) -> pd.Series:
+        own = place(key, digest)
+        wrap = (heads[0][1], heads[0][2])  # the first row of all follows the last
+        out = []
+        for k, d, r in zip(key.tolist(), digest.tolist(), own):
+            to = [{"range_no": int(r), "halo": 0}]
+            if (k, d) in also:
+                to.append({"range_no": also[k, d], "halo": 1})
+            if (k, d) == wrap:
+                to.append({"range_no": heads[-1][0], "halo": 1})
+            out.append(to)
+        return pd.Series(out)
+
+    spread = keyed.withColumn("d", F.explode(dealt("key", "digest"))).select("d.range_no", "d.halo", "key", "digest", "id", "text")
+    return spread.repartitionById(len(points) + 1, F.col("range_no")).sortWithinPartitions("range_no", "halo", F.desc("key"), "digest", "text").select("range_no", "halo", "id", "text")
 
 
 def compared_with_edits(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = K, shingle: int = SHINGLE) -> DataFrame:

@@ -48,19 +48,31 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of the tables that this process has written and not given back, oldest first.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a read, not a recomputation.
-    The table goes when the driver's process ends.
+    The table goes when the driver's process ends, or with ``given_back``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def given_back(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in list(paths):
+        _delete(spark, path)
+        WRITTEN.remove(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

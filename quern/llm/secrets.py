@@ -18,8 +18,10 @@ matches, summed by a window over each document's matches, so that a document
 with very many matches costs no more than its length. Only matches are
 shuffled, never texts.
 
-Defined results: null and empty texts have no span. Repeated rows keep a result
-each. An empty corpus trains uniform models. Extra columns are not touched.
+Defined results: null and empty texts have no span; very long texts are scanned
+whole. Repeated rows keep a result each. Spans that begin together stand in the
+order of their kinds. An empty corpus trains uniform models and has no result.
+Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import documents, held, slices, written
+from quern.llm.word_table import WordTable, gathered
 
 MAGIC = b"QRP2"
 HEAD = struct.Struct("<4sIIIIBB")
@@ -55,12 +56,6 @@ PAYS = 6
 SHARD_SCHEMA = "part long, seq long, n_docs long, n_ids long, payload binary"
 
 
-def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``pool[start : start + size]`` of each, one after the other."""
-    past = np.cumsum(size)
-    return pool[np.repeat(start - past + size, size) + np.arange(past[-1] if len(past) else 0)]
-
-
 def repair(ids: np.ndarray, is_end: np.ndarray, n_base: int, min_count: int = PAYS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, and the left and right side of each rule.
 
@@ -276,15 +271,12 @@ class PieceEncoder:
     them is two words to the pattern; all its other pieces go to the library as
     they are. New words go to the library's model among many others, with spaces
     between; each word's last token carries the word-end mark, which tells the
-    words' ids apart. Known words are one Arrow array with their ids in a flat
-    one; beyond ``words`` of them it starts anew. Words longer than ``LONG``
-    characters are not kept.
+    words' ids apart.
     """
 
     LETTERS = [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x180)]
     MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
     SIMPLE = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{17F}]*[!-/:-@\[-`{-~]*$"
-    LONG = 64
 
     def __init__(self, path: str, words: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -304,12 +296,7 @@ class PieceEncoder:
         for token, k in self.tokenizer.get_vocab().items():
             self.ends_word[k] = token.endswith("</w>")
         self.letters = "".join(map(chr, self.LETTERS))
-        self.limit = words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words = pa.array([""], pa.string())
-        self.start, self.size, self.pool = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=self.kind)
+        self.words = WordTable(self._new_words, self.kind, words)
 
     def _library(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -328,30 +315,6 @@ class PieceEncoder:
             pool.append(ids)
         return np.concatenate([np.zeros(0, dtype=np.int64), *sizes]), np.concatenate(pool)
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pool, and start and size in it of each of these distinct words."""
-        if len(self.words) + len(words) > self.limit:
-            self._forget()
-        at = pc.index_in(words, value_set=self.words)
-        fresh = words.filter(pc.is_null(at))
-        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes, ids = self._new_words(fresh.to_pylist())
-        pool = np.concatenate([self.pool, ids])
-        starts = len(self.pool) + np.cumsum(sizes) - sizes
-        known = at >= 0
-        start, size = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
-        start[known], size[known] = self.start[at[known]], self.size[at[known]]
-        start[~known], size[~known] = starts, sizes
-        short = pc.less_equal(pc.utf8_length(fresh), self.LONG)
-        if not pc.all(short).as_py():
-            ok = short.to_numpy(zero_copy_only=False)
-            fresh, ids, starts, sizes = fresh.filter(short), gathered(pool, starts[ok], sizes[ok]), None, sizes[ok]
-            starts = len(self.pool) + np.cumsum(sizes) - sizes
-        self.pool = np.concatenate([self.pool, ids])
-        self.words = pa.concat_arrays([self.words, fresh])
-        self.start, self.size = np.concatenate([self.start, starts]), np.concatenate([self.size, sizes])
-        return pool, start, size
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
@@ -362,7 +325,7 @@ class PieceEncoder:
         simple = ~odd.to_numpy(zero_copy_only=False)
         plain = lower.filter(pc.invert(odd))
         words = pa.concat_arrays([pc.utf8_rtrim(plain, self.MARKS), pc.utf8_ltrim(plain, self.letters)]).dictionary_encode()
-        pool, start, size = self._words(words.dictionary)
+        pool, start, size = self.words.look_up(words.dictionary)
         index = words.indices.to_numpy()
         # The pieces' ids: those of the letters, then those of the marks.
         both = np.stack([index[: len(plain)], index[len(plain) :]], axis=1).ravel()
