@@ -1,8 +1,6 @@
 """Queries for column functions and operators that the other modules do not show: sources and sinks, filters, offsets,
 formats, guardrails, measures, finance and caches, each with its SQL."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -21,23 +19,19 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-def _place(spark, name):
-    return f"{B.scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------ sources and sinks
 
 
 @query("jsonl_scan", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def jsonl_scan(spark, d):
-    path = _place(spark, "supplier") + ".jsonl"
+    path = B.scratch_path(spark, "supplier") + "/rows.jsonl"
     B.write_jsonl(table(spark, d, "supplier"), path)
     return B.read_jsonl(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", "s_name")
 
 
 @query("csv_scan", "SELECT s_suppkey, s_name, s_nationkey / 25.0 AS share FROM supplier")
 def csv_scan(spark, d):
-    path = _place(spark, "supplier-csv")
+    path = B.scratch_path(spark, "supplier-csv")
     B.write_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_nationkey") / 25).alias("share")), path)
     return B.read_csv(spark, path, "s_suppkey long, s_name string, share double", ["s_suppkey", "share"], ["share"])
 
@@ -50,7 +44,7 @@ def piped_rows(spark, d):
 
 @query("json_file_stats", "SELECT count(*) AS records, 1::BIGINT AS files, TRUE AS sized FROM nation")
 def json_file_stats(spark, d):
-    path = _place(spark, "nation-json")
+    path = B.scratch_path(spark, "nation-json")
     table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")))).write.text(path)  # one array
     stats = B.json_file_stats(spark, path)
     return stats.agg(F.sum("record_count").alias("records"), F.count("*").alias("files"), F.bool_and(F.col("size_bytes") > 0).alias("sized"))
@@ -60,7 +54,7 @@ def json_file_stats(spark, d):
 def export_tables(spark, d):
     tables, out = {n: table(spark, d, n) for n in ("nation", "region")}, None
     for which, fmt in (("nation", "csv"), ("region", "jsonl"), ("nation", "parquet")):
-        path = _place(spark, which)
+        path = B.scratch_path(spark, which)
         B.export(tables, which, fmt, path)
         back = {"csv": lambda p: spark.read.option("header", True).csv(p), "jsonl": lambda p: spark.read.json(p), "parquet": spark.read.parquet}[fmt](path)
         one = back.agg(F.lit(fmt).alias("format"), F.count("*").alias("n"))
@@ -70,7 +64,7 @@ def export_tables(spark, d):
 
 @query("file_counts", "SELECT 'parquet' AS kind, 3::BIGINT AS n_files")
 def file_counts(spark, d):
-    path = _place(spark, "files")
+    path = B.scratch_path(spark, "files")
     table(spark, d, "region").coalesce(3).repartition(3).write.parquet(path)
     return B.count_by_kind(B.file_listing(spark, path).filter("size_bytes > 0 AND kind = 'parquet'")).select("kind", "n_files")
 

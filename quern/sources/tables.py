@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -28,6 +31,18 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="quern-")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below ``scratch``, deleted when the driver ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone; the files then stay
+            remove(spark, path)
+
+    atexit.register(delete)
+    return path
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
