@@ -7,7 +7,7 @@ cut into shards, and their number grows with the corpus.
 
 Trie. A shard has all n-grams around the words that hash to it: for a word b
 the bigrams b c and the trigrams a b c, with the bigrams a b as their contexts.
-So each score needs one shard. Level 1 holds the shard's words (64-bit hashes);
+So each score needs one shard. Level 1 holds the shard's words by their numbers;
 level n the successors of each n-gram of level n-1, with monotone pointers.
 Successors are sorted inside their context and made monotone by the last value
 before; trigram successors are stored as positions among the successors of the
@@ -17,14 +17,20 @@ shard lie in one file that its task maps into memory; a lookup is a successor
 search inside the range of its context.
 
 Counting. Texts are cut into chunks. Distinct words of a chunk go to shards by
-hash; a shard sums exact counts and answers each chunk, so that the vocabulary
-is never held in one place. The chunk then sends its distinct trigrams, with
+hash; a shard sums exact counts, numbers its words and answers each chunk, so that
+the vocabulary is never held in one place. The chunk then sends its distinct trigrams, with
 documents and the words' counts, to the shards of the middle words. A shard
 counts them, builds its trie and answers with sums per document.
 
+A word with very many occurrences is dealt to several shards by the word before
+it, so that each still has whole contexts. The successors of such words are
+counted by pair first; each of their shards gets them, with the word's back-off
+weight, and only then scores.
+
 Defined results: null and empty texts are one end token. Words are lower-cased
 for A-Z. Repeated rows are scored each, and counted each when they train. With
-no training rows every token is unseen. A null id counts as the empty text for
+no training rows every token is unseen; no rows give no scores. A very long text
+is a chunk of its own size, and scored whole. A null id counts as the empty text for
 the fold. Extra columns are not touched.
 """
 
@@ -37,10 +43,10 @@ import struct
 import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +59,7 @@ CHUNK_TOKENS = 2_000_000
 SHARD_BYTES = 16 << 20
 DISCOUNT = 0.75
 END = b"\n"  # white space, so never a word
-OTHERS = [b"\n%d" % k for k in range(MIN_COUNT)] + [b"\n\n"]  # rare words by count, and what stands two before the first token
+OTHERS = MIN_COUNT + 1  # numbers of rare words by count, and of what stands two before the first token
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -70,11 +76,10 @@ class EliasFano:
         v = np.asarray(values, dtype=np.uint64)
         n, top = len(v), int(v[-1]) if len(v) else 0
         width = max(0, int(math.log2(top / n))) if n and top > n else 0
-        bits = np.zeros(0, dtype=np.uint8)
-        if n and width:
-            bits = np.packbits(((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
-        low = np.zeros((len(bits) + 7) // 8 + 2, dtype="<u8")
-        low.view(np.uint8)[: len(bits)] = bits
+        low = np.zeros((n * width + 63) // 64 + 2, dtype="<u8")
+        for i in range(0, n if width else 0, 1 << 15):  # a few values at a time; each part begins at a whole byte
+            bits = np.packbits(((v[i : i + (1 << 15), None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+            low.view(np.uint8)[i * width // 8 : i * width // 8 + len(bits)] = bits
         at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(at[-1]) if n else 0) // 64 + 1, dtype="<u8")
         np.bitwise_or.at(high, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -226,12 +231,17 @@ class Trie:
         return out
 
 
-def build(path: str, words: np.ndarray, c1: np.ndarray, c2: tuple[np.ndarray, np.ndarray, np.ndarray], c3: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: int, types: int) -> None:
-    """Write a model. ``words`` are sorted hashes; c2 is (first, second, count) and c3 (bigram position, third, count), sorted."""
+def build(path: str, words: np.ndarray, c1: np.ndarray, c2: tuple[np.ndarray, np.ndarray, np.ndarray], c3: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: int, types: int, left_over: dict[int, float] | None = None) -> None:
+    """Write a model. ``words`` are sorted numbers; c2 is (first, second, count) and c3 (bigram position, third, count), sorted.
+
+    ``left_over``: back-off weights of words whose successors are not all here.
+    """
     n1 = len(words)
     p1 = (c1 + 1) / (tokens + types + 1)
     a, b, n2 = c2
     g1 = 1 - np.bincount(a, weights=(n2 - DISCOUNT) / c1[a], minlength=n1) if n1 else np.zeros(0)
+    for k, weight in (left_over or {}).items():
+        g1[k] = weight
     p2 = (n2 - DISCOUNT) / c1[a] + g1[a] * p1[b]
     j, c, n3 = c3
     g2 = 1 - np.bincount(j, weights=(n3 - DISCOUNT) / n2[j], minlength=len(a)) if len(a) else np.zeros(0)
@@ -298,17 +308,71 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def _pressed(x: np.ndarray) -> bytes:
-    """Non-negative numbers, compressed byte by byte."""
-    return zlib.compress(np.ascontiguousarray(_ints(x).view("u1").reshape(len(x), -1).T).tobytes(), 1) if len(x) else b""
+    """Non-negative numbers, compressed byte by byte; the first byte says how many bytes a number has."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(_ints(x).view("u1").reshape(len(x), -1).T)
+    return bytes([len(planes)]) + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def _plain(raw: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
-    planes = np.frombuffer(zlib.decompress(raw), "u1").reshape(-1, n)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[1:], raw[0] * n, asbytes=True), "u1").reshape(-1, n)
     return _wide(np.ascontiguousarray(planes.T).tobytes(), n)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers spread evenly, for dealing out to shards."""
+    with np.errstate(over="ignore"):
+        h = np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (h ^ (h >> np.uint64(29))) >> np.uint64(8)
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value of a sorted array with the range it takes; values that are not there cost nothing."""
+    cuts = np.flatnonzero(np.diff(sorted_values, prepend=-1)) if len(sorted_values) else np.zeros(0, dtype=np.int64)
+    return zip(sorted_values[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(sorted_values)])
+
+
+@dataclass
+class Hot:
+    """Words with more occurrences than a shard should have n-grams, by number: their counts, and among how many parts they are dealt.
+
+    Their number is at most tokens / bound, so fewer than there are shards.
+    """
+
+    words: np.ndarray
+    counts: np.ndarray
+    parts: np.ndarray
+    weights: np.ndarray | None = None  # back-off weights
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int]], bound: int) -> Hot:
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 2)
+        return cls(table[:, 0], table[:, 1], -(-table[:, 1] // bound))
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Places of words among the hot ones, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+    def shard(self, before: np.ndarray, middle: np.ndarray, shards: int) -> np.ndarray:
+        """The shard of each trigram: that of its middle word, and for a hot one of the part that the word before gives."""
+        at = self.find(middle)
+        salt = np.zeros(len(middle), dtype=np.uint64)
+        hot = at >= 0
+        salt[hot] = 1 + _mixed(before[hot]) % self.parts[at[hot]].astype(np.uint64)
+        return (_mixed(_mixed(middle) + salt) % np.uint64(shards)).astype(np.int64)
+
+    def shards_of(self, k: int, shards: int) -> list[int]:
+        """All shards that have a part of the k-th hot word."""
+        salts = np.arange(1, int(self.parts[k]) + 1, dtype=np.uint64)
+        return np.unique(_mixed(_mixed(self.words[k : k + 1]) + salts) % np.uint64(shards)).astype(np.int64).tolist()
+
+
 def chunked(rows: DataFrame, shards: int) -> DataFrame:
     """Written chunks of ``id, text, train`` rows.
 
@@ -330,11 +394,9 @@ def chunked(rows: DataFrame, shards: int) -> DataFrame:
             place = rank[tokens]  # words are numbered by shard, then as they come
             trained = np.bincount(place, weights=np.repeat(np.array(train, dtype=float), counts), minlength=len(words)).astype(np.int64)
             head = [np.array([0 if i is None else i for i in ids], dtype="<i8"), np.array([i is None for i in ids], dtype="u1"), counts, np.array(train, dtype="u1")]
-            yield _row(chunk % shards, 0, chunk, len(tokens), _pack(*head, _pressed(rank), _pressed(tokens), np.array([len(words)], dtype="<i8")))
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-            for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    yield _row(s, 1, chunk, b - a, _pack(b" ".join([words[k] for k in order[a:b].tolist()]), _ints(trained[a:b])))
+            yield _row(0, 0, chunk, len(tokens), _pack(*head, _pressed(rank), _pressed(tokens), np.array([len(words)], dtype="<i8")))
+            for s, a, b in _runs(shard[order]):
+                yield _row(s, 1, chunk, b - a, _pack(b" ".join([words[k] for k in order[a:b].tolist()]), _ints(trained[a:b])))
 
         for batch in slices(batches, "text", 4 << 20):
             for doc_id, fold, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "train")), text_bytes(batch.column("text"))):
@@ -354,8 +416,14 @@ def chunked(rows: DataFrame, shards: int) -> DataFrame:
     return written(rows.mapInArrow(run, FLOW), "lm-chunks")
 
 
-def word_counts(chunks: DataFrame, shards: int) -> DataFrame:
-    """Written answers of the word shards. kind 1: whole counts of a chunk's words, and hashes of those that are not rare; 2: tokens (``chunk``) and types (``n``) of a shard."""
+def word_counts(chunks: DataFrame, shards: int, hot_words: int) -> DataFrame:
+    """Written answers of the word shards.
+
+    kind 1: whole counts of a chunk's words, and numbers of those that are not
+    rare (a number belongs to one word of the whole corpus); 2: tokens
+    (``chunk``) and types (``n``) of a shard; 3: numbers (``chunk``) and counts
+    (``n``) of words with more than ``hot_words`` occurrences.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
@@ -366,19 +434,35 @@ def word_counts(chunks: DataFrame, shards: int) -> DataFrame:
                 for w, t in zip(words.split(b" "), _wide(trained, row["n"]).tolist()):
                     total[w] = total.get(w, 0) + t
                 blocks.append((row["shard"], row["chunk"], words))
+        number: dict[bytes, int] = {}  # a word has one shard, whatever shards a task has
+        sizes: dict[int, int] = {}
+        told: set[tuple[int, int]] = set()
         for shard, chunk, words in blocks:
-            count = np.array([total[w] for w in words.split(b" ")], dtype=np.int64)
-            kept = [w for w, n in zip(words.split(b" "), count.tolist()) if n >= MIN_COUNT]
-            yield _row(shard, 1, chunk, len(count), _pack(_ints(count), np.array(list(map(xxhash.xxh64_intdigest, kept)), dtype="<u8")))
+            each = words.split(b" ")
+            count = np.array([total[w] for w in each], dtype=np.int64)
+            kept = []
+            for w, n in zip(each, count.tolist()):
+                if n >= MIN_COUNT:
+                    k = number.get(w)
+                    if k is None:
+                        k = number[w] = sizes.get(shard, 0)
+                        sizes[shard] = k + 1
+                    kept.append(k)
+                    if n > hot_words and (shard, k) not in told:
+                        told.add((shard, k))
+                        yield _row(shard, 3, k * shards + shard, n, b"")
+            yield _row(shard, 1, chunk, len(count), _pack(_pressed(count), _pressed(np.array(kept, dtype=np.int64) * shards + shard)))
         if total:
             yield _row(0, 2, sum(total.values()), sum(t > 0 for t in total.values()), b"")
 
     return written(chunks.filter("kind = 1").repartitionById(shards, F.col("shard")).mapInArrow(run, FLOW), "lm-words")
 
 
-def queries(chunks: DataFrame, counts: DataFrame, shards: int, unit: float) -> DataFrame:
+def queries(chunks: DataFrame, counts: DataFrame, shards: int, unit: float, hot: Hot, pairs: bool = False) -> DataFrame:
     """kind 0: a chunk's documents with their unigram sums; 1: a chunk's trigrams for the shard of the middle word.
 
+    With ``pairs`` only kind 3: a chunk's training counts of pairs that begin with a hot word, by pair.
+
     A rare word is in no n-gram that is kept, so only its count goes along; after one, the unigram is the score.
     """
 
@@ -398,46 +482,96 @@ def queries(chunks: DataFrame, counts: DataFrame, shards: int, unit: float) -> D
     def asked(row: dict, known: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         *head, rank, raw, words = _unpack(row["payload"], 7)
         tokens = _plain(rank, int(np.frombuffer(words, "<i8")[0]))[_plain(raw, row["n"])]
-        known = [(n, *_unpack(payload, 2)) for n, payload in known]
-        count, sizes = np.concatenate([_wide(x, n) for n, x, _ in known]), np.frombuffer(head[2], "<i8")
-        doc, n_docs, ends = np.repeat(np.arange(len(sizes)), sizes), len(sizes), np.cumsum(sizes)
+        parts = [_unpack(payload, 2) for _, payload in known]
+        count = np.concatenate([_plain(x, n) for (n, _), (x, _) in zip(known, parts)])
+        of, numbers = 0, []
+        for (n, _), (_, raw_numbers) in zip(known, parts):
+            numbers.append(_plain(raw_numbers, int((count[of : of + n] >= MIN_COUNT).sum())) + OTHERS)
+            of += n
+        sizes = np.frombuffer(head[2], "<i8")
+        del raw, rank, parts
+        doc, n_docs, ends = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes), np.cumsum(sizes)
         every = count[tokens]
         logs = np.log10(every + 1.0)
         kept = count >= MIN_COUNT
         rare = int(kept.sum())  # from here on: the rare ones, then what stands before
         none = rare + MIN_COUNT
         tokens = np.where(kept, np.cumsum(kept) - 1, rare + count)[tokens]
-        hashes = np.concatenate([*(np.frombuffer(h, "<u8") for _, _, h in known), np.array(list(map(xxhash.xxh64_intdigest, OTHERS)), dtype="<u8")])
+        numbers = np.concatenate([*numbers, np.arange(OTHERS)])
         count = np.concatenate([count[kept], np.arange(MIN_COUNT), [0]])
+        order = np.argsort(numbers)  # local numbers in the order of the global ones, so that blocks hold small gaps
+        local = np.empty(len(order), dtype=np.int64)
+        local[order] = np.arange(len(order))
+        numbers, count, tokens, none = numbers[order], count[order], local[tokens], int(local[none])
         start = np.concatenate([[0], ends[:-1]])
         b = np.concatenate([[none], tokens[:-1]])
         b[start] = tokens[ends[0] - 1]  # every text ends with END
         a = np.concatenate([[none], b[:-1]])
         a[start] = none
-        alone = b >= rare
-        yield _row(row["chunk"] % shards, 0, row["chunk"], n_docs, _pack(*head, *[np.bincount(doc, weights=x, minlength=n_docs) for x in (every > 0, logs, np.where(alone, logs - unit, 0.0))]))
+        alone = numbers[b] < OTHERS
+        if pairs:
+            yield from hot_pairs(row["chunk"], numbers, b, tokens, np.frombuffer(head[3], "u1")[doc])
+            return
+        yield _row(int(_mixed(np.array([row["chunk"]]))[0] % np.uint64(shards)), 0, row["chunk"], n_docs, _pack(*head, *[np.bincount(doc, weights=x, minlength=n_docs) for x in (every > 0, logs, np.where(alone, logs - unit, 0.0))]))
         a, b, c, doc = (x[~alone] for x in (a, b, tokens, doc))
-        shard = (hashes % np.uint64(shards)).astype(np.int64)
+        del every, logs, tokens, alone
         pair, at = np.unique(b << 32 | a, return_inverse=True)
+        del a, b
         three, at = np.unique(at << 32 | c, return_inverse=True)
         entry, n = np.unique(at << 32 | doc, return_counts=True)
-        doc, three = entry & 0xFFFFFFFF, three[entry >> 32]
+        del at, c
+        doc, three = (entry & 0xFFFFFFFF).astype(np.int32), three[entry >> 32]
+        del entry
         b, a, c = pair[three >> 32] >> 32, pair[three >> 32] & 0xFFFFFFFF, three & 0xFFFFFFFF
-        by = np.argsort(shard[b], kind="stable")
-        cuts = np.searchsorted(shard[b][by], np.arange(shards + 1)).tolist()
+        shard = hot.shard(numbers[a], numbers[b], shards)
+        by = np.argsort(shard, kind="stable")
         train = np.packbits(np.frombuffer(head[3], "u1"))
-        for s, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            if x < y:
-                mine = by[x:y]
-                words, at = np.unique(np.concatenate([a[mine], b[mine], c[mine]]), return_inverse=True)
-                yield _row(s, 1, row["chunk"], y - x, _pack(hashes[words], _pressed(count[words]), *[_pressed(v) for v in (*at.reshape(3, -1), doc[mine], n[mine])], train))
+        for s, x, y in _runs(shard[by]):
+            mine = by[x:y]
+            words, at = np.unique(np.concatenate([a[mine], b[mine], c[mine]]), return_inverse=True)
+            gaps = np.diff(numbers[words], prepend=0)
+            yield _row(s, 1, row["chunk"], y - x, _pack(struct.pack("<q", len(words)), _pressed(gaps), _pressed(count[words]), *[_pressed(v) for v in (*at.reshape(3, -1), doc[mine], n[mine])], train))
+
+    def hot_pairs(chunk: int, numbers: np.ndarray, b: np.ndarray, c: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = (hot.find(numbers)[b] >= 0) & (numbers[c] >= OTHERS) & (train > 0)
+        key, n = np.unique(b[ok] << 32 | c[ok], return_counts=True)
+        b, c = numbers[key >> 32], numbers[key & 0xFFFFFFFF]
+        shard = (_mixed(_mixed(b) ^ c.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        for s, x, y in _runs(shard[by]):
+            mine = by[x:y]
+            yield _row(s, 3, chunk, y - x, _pack(*[_pressed(v) for v in (b[mine], c[mine], n[mine])]))
 
     flow = chunks.filter("kind = 0").unionByName(counts.filter("kind = 1")).repartition("chunk").sortWithinPartitions("chunk", "kind", "shard")
     return flow.mapInArrow(run, FLOW)
 
 
-def shard_trie(path: str, words: np.ndarray, c1: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: int, types: int) -> None:
-    """Write the trie of distinct trigrams and their training counts; the shard has all trigrams of its middle words."""
+def hot_lists(asked: DataFrame, shards: int) -> DataFrame:
+    """Written ``word, n, mass, payload``: successors of hot words that are kept, with their counts, by pair shard; mass sums the discounted counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpack(row["payload"], 3) + [row["n"]] for batch in batches for row in batch.to_pylist()]
+        if not held:
+            return
+        b, c, n = (np.concatenate([_plain(x[i], x[3]) for x in held]) for i in range(3))
+        word, at = np.unique(b, return_inverse=True)
+        other, to = np.unique(c, return_inverse=True)
+        key, which = np.unique(at << 32 | to, return_inverse=True)
+        n = np.bincount(which, weights=n, minlength=len(key)).astype(np.int64)
+        key, n = key[n >= MIN_COUNT], n[n >= MIN_COUNT]
+        for k, x, y in _runs(key >> 32):
+            payload = _pack(_pressed(np.diff(other[key[x:y] & 0xFFFFFFFF], prepend=0)), _pressed(n[x:y]))
+            yield pa.RecordBatch.from_pydict({"word": [int(word[k])], "n": [y - x], "mass": [float((n[x:y] - DISCOUNT).sum())], "payload": [payload]})
+
+    return written(asked.repartitionById(shards, F.col("shard")).mapInArrow(run, "word long, n long, mass double, payload binary"), "lm-hot")
+
+
+def shard_trie(path: str, words: np.ndarray, c1: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: int, types: int, lists: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, left_over: dict[int, float] | None = None) -> None:
+    """Write the trie of distinct trigrams and their training counts.
+
+    The shard has all trigrams of its middle words. Of those in ``left_over`` it
+    has a part, by the word before; their successors come as ``lists``.
+    """
     before, after = c1[a] >= MIN_COUNT, c1[c] >= MIN_COUNT
 
     def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -446,52 +580,74 @@ def shard_trie(path: str, words: np.ndarray, c1: np.ndarray, a: np.ndarray, b: n
         return key[n >= MIN_COUNT], n[n >= MIN_COUNT]
 
     # A pair may be known from both sides, with the same count.
-    sides = summed((b << 32 | c)[after], n[after]), summed((a << 32 | b)[before], n[before])
+    if left_over:
+        after &= ~np.isin(b, np.array(list(left_over), dtype=np.int64))
+    sides = [summed((b << 32 | c)[after], n[after]), summed((a << 32 | b)[before], n[before])]
+    if lists is not None:
+        sides.append((lists[0] << 32 | lists[1], lists[2]))
+    after = c1[c] >= MIN_COUNT
     key, first = np.unique(np.concatenate([k for k, _ in sides]), return_index=True)
     n2 = np.concatenate([x for _, x in sides])[first]
     kept = np.flatnonzero(before & after & (n >= MIN_COUNT))
     j = np.searchsorted(key, a[kept] << 32 | b[kept])
     order = np.lexsort((c[kept], j))
-    build(path, words, c1, (key >> 32, key & 0xFFFFFFFF, n2), (j[order], c[kept][order], n[kept][order]), tokens, types)
+    build(path, words, c1, (key >> 32, key & 0xFFFFFFFF, n2), (j[order], c[kept][order], n[kept][order]), tokens, types, left_over)
 
 
-def answers(asked: DataFrame, shards: int, tokens: int, types: int) -> DataFrame:
-    """Written answers of the trie shards. kind 0 as asked; 1: sums for ``n`` documents of a chunk."""
+def answers(asked: DataFrame, shards: int, tokens: int, types: int, hot: Hot) -> DataFrame:
+    """Answers of the trie shards. kind 0 as asked; 1: sums for ``n`` documents of a chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = []
+        blocks, lists = [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     yield _row(row["shard"], 0, row["chunk"], row["n"], row["payload"])
+                elif row["kind"] == 2:
+                    lists.append((row["chunk"], row["n"], row["payload"]))
                 else:
                     blocks.append((row["shard"], row["chunk"], row["n"], row["payload"]))
         if blocks:
-            yield from answered(blocks)
-
-    def answered(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, parts, weights = [], [], [], []
+            yield from answered(blocks, lists)
+
+    def listed(words: np.ndarray, lists: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Successors of hot words by local numbers, as far as the shard has them."""
+        out = [np.zeros((0, 3), dtype=np.int64)]
+        for word, n, payload in lists:
+            gaps, counts = _unpack(payload, 2)
+            other, counts = np.cumsum(_plain(gaps, n)), _plain(counts, n)
+            b, at = np.searchsorted(words, word), np.minimum(np.searchsorted(words, other), len(words) - 1)
+            here = (words[at] == other) & (b < len(words) and words[b] == word)
+            out.append(np.stack([np.full(int(here.sum()), b), at[here], counts[here]], axis=1))
+        return tuple(np.concatenate(out).T)
+
+    def answered(blocks: list[tuple], lists: list[tuple]) -> Iterator[pa.RecordBatch]:
+        numbers, counts, parts, weights = [], [], [], []
         base = 0
         for _, _, n, payload in blocks:
-            h, count, a, b, c, doc, times, train = _unpack(payload, 8)
-            h = np.frombuffer(h, "<u8")
-            hashes.append(h)
+            size, h, count, a, b, c, doc, times, train = _unpack(payload, 9)
+            h = np.cumsum(_plain(h, struct.unpack("<q", size)[0]))
+            numbers.append(h)
             counts.append(_plain(count, len(h)))
             doc = _plain(doc, n)
             parts.append((*(_plain(v, n).astype(np.uint32) for v in (a, b, c)), base, doc.astype(np.uint32)))
             base += len(h)
             weights.append(_plain(times, n).astype(np.uint32) * np.unpackbits(np.frombuffer(train, "u1"))[doc])
-        words, first, local = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        words, first, local = np.unique(np.concatenate(numbers), return_index=True, return_inverse=True)
         c1 = np.concatenate(counts)[first]
         a, b, c = (local[np.concatenate([p[i].astype(np.int64) + p[3] for p in parts])] for i in range(3))
         pair, at = np.unique(a << 32 | b, return_inverse=True)
+        del a, b, local
         three, at = np.unique(at << 32 | c, return_inverse=True)
-        del local, a, b, c
+        at = at.astype(np.uint32)
+        del c
         n = np.bincount(at, weights=np.concatenate(weights), minlength=len(three)).astype(np.int64)
         a, b, c = pair[three >> 32] >> 32, pair[three >> 32] & 0xFFFFFFFF, three & 0xFFFFFFFF
         with tempfile.TemporaryDirectory(prefix="quern-lm-") as folder:
             path = os.path.join(folder, "trie")
-            shard_trie(path, words, c1, a, b, c, n, tokens, types)
+            at_hot = hot.find(words)
+            left_over = {int(k): float(hot.weights[at_hot[k]]) for k in np.flatnonzero(at_hot >= 0)} if hot.weights is not None else None
+            shard_trie(path, words, c1, a, b, c, n, tokens, types, listed(words, lists) if lists else None, left_over)
             each = np.empty(len(c))
             trie = Trie(path)
             for x in range(0, len(c), 1 << 18):
@@ -500,11 +656,11 @@ def answers(asked: DataFrame, shards: int, tokens: int, types: int) -> DataFrame
         x = 0
         for (shard, chunk, n, payload), part in zip(blocks, parts):
             touched, docs = np.unique(part[4], return_inverse=True)
-            sums = np.bincount(docs, weights=each[at[x : x + n]] * _plain(_unpack(payload, 8)[6], n), minlength=len(touched))
+            sums = np.bincount(docs, weights=each[at[x : x + n]] * _plain(_unpack(payload, 9)[7], n), minlength=len(touched))
             x += n
             yield _row(shard, 1, chunk, len(touched), _pack(_ints(touched), sums))
 
-    return written(asked.repartitionById(shards, F.col("shard")).mapInArrow(run, FLOW), "lm-answers")
+    return asked.repartitionById(shards, F.col("shard")).mapInArrow(run, FLOW)
 
 
 def document_sums(given: DataFrame) -> DataFrame:
@@ -534,18 +690,33 @@ def document_sums(given: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, train boolean, n_tokens long, n_known long, log_counts double, lm double")
 
 
-def score(df: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", max_ngrams: int = MAX_NGRAMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Scores of all rows by a model of those where ``learn`` is true. ``max_ngrams`` sets the number of shards, never what is kept."""
+def score(df: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", max_ngrams: int = MAX_NGRAMS, shard_bytes: int = SHARD_BYTES, hot_words: int | None = None) -> DataFrame:
+    """Scores of all rows by a model of those where ``learn`` is true.
+
+    ``max_ngrams`` sets the number of shards, and ``hot_words`` (as many, if not
+    given) from which count a word is dealt to several; never what is kept.
+    """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, math.ceil(size / shard_bytes))
+    bound = hot_words or max_ngrams
     chunks = chunked(rows, shards)
-    counts = word_counts(chunks, shards)
+    counts = word_counts(chunks, shards, bound)
     tokens, types = (x or 0 for x in counts.filter("kind = 2").agg(F.sum("chunk"), F.sum("n")).first())
     unit = math.log10(tokens + types + 1)
     every = chunks.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    hot = Hot.of([(r["chunk"] + OTHERS, r["n"]) for r in counts.filter("kind = 3").select("chunk", "n").collect()], bound)  # fewer than shards
     shards = max(32, math.ceil(2 * every / max_ngrams))  # a bigram and a trigram a token at most
-    sums = document_sums(answers(queries(chunks, counts, shards, unit), shards, tokens, types))
+    lists = None
+    if len(hot.words):
+        found = hot_lists(queries(chunks, counts, shards, unit, hot, pairs=True), shards)
+        mass = {r["word"]: r["mass"] for r in found.groupBy("word").agg(F.sum("mass").alias("mass")).collect()}
+        hot.weights = 1 - np.array([mass.get(w, 0.0) for w in hot.words.tolist()]) / hot.counts
+        places = spark.createDataFrame([(w, s) for k, w in enumerate(hot.words.tolist()) for s in hot.shards_of(k, shards)], "word long, shard int")
+        lists = found.join(F.broadcast(places), "word").select("shard", F.lit(2).alias("kind"), F.col("word").alias("chunk"), "n", "payload")
+    asked = queries(chunks, counts, shards, unit, hot)
+    sums = document_sums(answers(asked if lists is None else asked.unionByName(lists), shards, tokens, types, hot))
     return sums.select(
         F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("log_counts") - F.col("n_tokens") * unit).alias("base_score"), F.col("lm").alias("score"),
