@@ -90,9 +90,10 @@ def anti_join(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@query("never_ordered", "SELECT p_partkey FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE l_partkey IS NULL")
+@query("never_ordered", "SELECT p_partkey FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49) ON l_partkey = p_partkey WHERE l_partkey IS NULL")
 def never_ordered(spark, d):
-    return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    """Parts that nobody ordered 49 or more of; every part was ordered at all."""
+    return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
 @query("child_count", "SELECT o_orderkey, count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -181,9 +182,9 @@ def set_intersect(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).intersect(table(spark, d, "customer").filter("c_acctbal < 0").select("c_custkey"))
 
 
-@query("set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def set_except(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").filter("l_quantity > 30").select("l_partkey"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").filter("l_quantity > 48").select("l_partkey"))
 
 
 @query("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -208,9 +209,10 @@ def safe_division(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(F.try_divide("c_acctbal", F.col("c_nationkey").cast("double")), 6).alias("per_nation"))
 
 
-@query("like_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'")
+@query("like_filter", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#3' AND p_name LIKE '%ring%' ORDER BY p_partkey LIMIT 200")
 def like_filter(spark, d):
-    return table(spark, d, "part").filter(F.col("p_name").contains("1")).select("p_partkey", "p_name")
+    """Equality and a part of a name, the first 200."""
+    return table(spark, d, "part").filter((F.col("p_brand") == "Brand#3") & F.col("p_name").contains("ring")).select("p_partkey", "p_name").orderBy("p_partkey").limit(200)
 
 
 @query("paging", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
