@@ -120,6 +120,13 @@ class Memo(dict):
             self.clear()
 
 
+def tidied() -> None:
+    """Give memory that is free in this worker back to the system; cheap once a batch of some megabytes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _HELD: dict[str, object] = {}
 
 
@@ -133,9 +140,7 @@ def held(name: str, make: Callable[[], object]):
         if _HELD:
             _HELD.clear()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
-                ctypes.CDLL(None).malloc_trim(0)
+            tidied()
         _HELD[name] = make()
     return _HELD[name]
 

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, held, slices, written
+from quern.llm.common import documents, held, slices, tidied, written
 from quern.llm.word_table import WordTable, gathered
 
 MAGIC = b"QRP2"
@@ -370,6 +370,7 @@ def write_shards(df: DataFrame, path: str, end_id: int = 2, shard_ids: int = 1_0
             while (full := int(np.searchsorted(np.cumsum(counts), shard_ids))) < len(counts):
                 yield shard(full + 1)
                 seq += 1
+            tidied()
         if docs:
             yield shard(len(docs))
 

@@ -9,10 +9,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``pool[start : start + size]`` of each, one after the other."""
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """``pool[start : start + size]`` of each, one after the other; about ``part`` places are worked out at a time."""
     past = np.cumsum(size)
-    return pool[np.repeat(start - past + size, size) + np.arange(past[-1] if len(past) else 0)]
+    out = np.empty(int(past[-1]) if len(past) else 0, dtype=pool.dtype)
+    i, done = 0, 0
+    while i < len(past):
+        j = max(i + 1, int(np.searchsorted(past, done + part, side="right")))
+        at = np.repeat(start[i:j] - (past[i:j] - size[i:j] - done), size[i:j])
+        at += np.arange(len(at))
+        out[done : past[j - 1]] = pool[at]
+        i, done = j, int(past[j - 1])
+    return out
 
 
 class WordTable:

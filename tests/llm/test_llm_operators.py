@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import bottom_k, bpe_automaton, decontaminate, language_id, nbsvm, ngram_trie, secrets, simhash_dedup, token_counts, token_shards
-from quern.llm.common import crc_mod
+from quern.llm.common import crc_mod, text_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, id string, kept string"
 ODD = [None, "", " ", "a", "A b", "x" * 5000, "word " * 3000, "é漢字 ß İ ​ 🎉", "same text of several words here", "same text of several words here", "tab\tand\x00nul\x1c", "<|endoftext|> x  y   z\n\n\n w"]
@@ -207,6 +207,67 @@ def test_language(spark, data, docs, odd, none):
     assert language_id.identify(none, docs, {"doc_id": F.col("doc_id")}).count() == 0
 
 
+def slow_language(rows, labelled):
+    """``(text, host, suffix, declared)`` rows to (language, posterior), number by number."""
+    langs = sorted({x for _, x in labelled if x is not None and x != "und"})
+    counts = {x: Counter() for x in langs}
+    for t, x in labelled:
+        if x in counts:
+            counts[x].update(language_id.trigrams((t or "").encode()).tolist())
+    n, dim, kappa = len(langs), language_id.DIM, language_id.KAPPA
+
+    def text_ll(t):
+        f = language_id.trigrams((t or "").encode()).tolist()
+        per = [sum(math.log((counts[x][k] + language_id.ALPHA) / (counts[x].total() + language_id.ALPHA * dim)) for k in f) for x in langs] + [len(f) * math.log(1 / dim)]
+        return [v / len(f) * len(f) / (1 + len(f) / language_id.TRIGRAMS) if f else 0.0 for v in per], bool(f)
+
+    lls = [text_ll(r[0]) for r in rows]
+    best = [v.index(max(v)) if has else None for v, has in lls]
+    whole = [best.count(i) for i in range(n)]
+    globe = [(x + kappa / n) / (sum(whole) + kappa) for x in whole]
+    of = [{}, {}, {}]
+    for r, b in zip(rows, best):
+        for k in range(3):
+            if r[k + 1] is not None:
+                c = of[k].setdefault(r[k + 1], [0] * n)
+                if b is not None and b < n:
+                    c[b] += 1
+
+    def smooth(c, towards):
+        return towards if c is None else [(x + kappa * p) / (sum(c) + kappa) for x, p in zip(c, towards)]
+
+    out = []
+    for r, (v, _) in zip(rows, lls):
+        prior = smooth(of[0].get(r[1]), smooth(of[1].get(r[2]), globe))
+        said = [0.0] * n if r[3] is None else [math.log(p) - math.log(q) for p, q in zip(smooth(of[2][r[3]], globe), globe)]
+        lp = [math.log(p) + math.log(1 - language_id.UND_PRIOR) + t + s for p, t, s in zip(prior, v, said)] + [math.log(language_id.UND_PRIOR) + v[n]]
+        top = max(lp)
+        out.append(([*langs, "und"][lp.index(top)], 1 / sum(math.exp(x - top) for x in lp)))
+    return out
+
+
+def test_fusion_against_brute_force(spark, docs):
+    train = docs.limit(80)
+    labelled = [(r["text"], r["lang"]) for r in train.collect()]
+    some = [r["text"][:n] for r, n in zip(docs.limit(150).collect()[80:], [15, 40, 100, 400, 6] * 20)]
+    hosts = ["http://a.example.fr/x", "http://b.example.com/y", "http://c.example.de", None, "http://a.example.fr/z"]
+    said = ["fr", None, "de", "en", None]
+    rows = [(i, t, hosts[i % 5], f'<html lang="{said[(i // 2) % 5]}">' if said[(i // 2) % 5] else None) for i, t in enumerate([*some, None, "", "12 !"])]
+    df = spark.createDataFrame(rows, "page_id long, text string, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in language_id.identify(df, train, {"page_id": F.col("page_id")}, url=F.col("url"), markup=F.col("html")).collect()}
+    name = lambda u: None if u is None else u.split("/")[2]
+    want = slow_language([(t, name(u), None if u is None else name(u).split(".")[-1], None if h is None else h[12:14]) for _, t, u, h in rows], labelled)
+    for (i, t, _, _), (lang, p) in zip(rows, want):
+        assert got[i]["predicted_lang"] == lang and abs(got[i]["posterior"] - p) < 2e-3
+        assert got[i]["accepted"] == (bool(re.search("[A-Za-z\u0080-\uffff]", t or "")) and lang != "und" and p >= 0.5)
+
+
+def test_kept_names_do_not_clash(spark, docs):
+    keep = {c: F.col("doc_id") for c in ("host", "suffix", "declared", "best", "prior", "said", "lp", "text", "kept", "has_letter")}
+    out = language_id.identify(docs.limit(20), docs, keep, host=F.col("source"))
+    assert out.columns == [*keep, "predicted_lang", "posterior", "accepted"] and out.filter("host = best AND best = said").count() == 20
+
+
 def test_language_evidence_of_pages(spark, docs):
     """A text that says nothing takes the language of its host, address and markup."""
     fr, en = (docs.filter(F.col("lang") == x).select("text").first()["text"] for x in ("fr", "en"))
@@ -313,14 +374,59 @@ def test_sketches_merge(spark):
     assert got == {1: both[:8], 2: []}
 
 
+def slow_sketch(text, k=bottom_k.K):
+    """The smallest hashes of the set of five-word shingles, one at a time."""
+    w = words(text)
+    return sorted({int(bottom_k.shingle_hashes(" ".join(w[i : i + 5]).encode())[0]) for i in range(max(1, len(w) - 4))})[:k] if w else []
+
+
+def slow_likeness(a, b, k=bottom_k.K):
+    if not a or not b:
+        return float(len(a) == len(b))
+    both = sorted({*a, *b})[:k]
+    return round(len([x for x in both if x in a and x in b]) / len(both), 9)
+
+
+def test_bottom_k_hot_ids(spark):
+    """A third of all rows without an id: they are dealt to several ranges, each row once, in one order."""
+    rows = [(None if i % 3 == 0 else i, f"text {i} " * (i % 5 + 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        hot_ids(spark, df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def hot_ids(spark, df):
+    dealt = bottom_k.with_next(df).filter("halo = 0")
+    assert dealt.filter("id IS NULL").select("range_no").distinct().count() > 1 and dealt.count() == 600
+    order = sorted(((-(2**63) if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in df.withColumn("h", text_digest("text")).collect()), key=lambda r: (-r[0], r[1]))
+    want = Counter()
+    for (d, _, t), (_, _, n) in zip(order, order[1:] + order[:1]):
+        h = len(t) // 2
+        want[d, hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()] += 1
+    assert Counter((-(2**63) if r["doc_id"] is None else r["doc_id"], r["edited_sha256"]) for r in bottom_k.compared_with_edits(df).collect()) == want
+
+
+def test_hot_keys_merge_in_tasks(spark):
+    parts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"), F.array(F.col("id") * 7919 % 3001, F.col("id")).alias("sketch"))
+    got = {r["key"]: r["sketch"] for r in bottom_k.merged(parts, "key", k=10, keys_held=50).collect()}
+    every = sorted({x for i in range(0, 3000, 3) for x in (i * 7919 % 3001, i)})
+    assert got["hot"] == every[:10] and len(got) == 2001
+
+
 def test_bottom_k_rows(spark, docs, odd, none):
     for df in (docs, odd):
-        rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (-r[0], r[1].encode()))
+        rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["text"] or "", r["h"]) for r in df.select("doc_id", "text", text_digest("text").alias("h")).collect()), key=lambda r: (-r[0], r[2], r[1].encode()))
         want = []
-        for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        for (d, t, _), (_, n, _) in zip(rows, rows[1:] + rows[:1]):
             h = len(t) // 2
-            want.append((d, len(t), hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()))
-        got = [(r["doc_id"] if r["doc_id"] is not None else -(2**63), r["n_chars"], r["edited_sha256"]) for r in bottom_k.compared_with_edits(df).collect()]
+            edited = t[: len(t) - h] + n[:h]
+            a, b, c = (slow_sketch(x) for x in (t, edited, n))
+            want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), bottom_k.as_text(np.array(a, dtype=np.int64)), slow_likeness(a, b), slow_likeness(a, c)))
+        got = [(r["doc_id"] if r["doc_id"] is not None else -(2**63), r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in bottom_k.compared_with_edits(df).collect()]
         assert sorted(got) == sorted(want)
     r = bottom_k.compared_with_edits(docs).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n"), F.min("near_next").alias("lo"), F.max("near_edited").alias("hi")).first()
     assert r["e"] > r["n"] + 0.1 and r["lo"] >= 0 and r["hi"] <= 1
@@ -433,6 +539,32 @@ def test_secrets(spark, docs, odd, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_likelihood_ratios_against_brute_force(spark):
+    samples = [("aB3xZ9qq", True), ("Zz09aB3x", True), ("user_name", False), ("name_user", False), ("x", True), ("é漢é", False)]
+    got = secrets.train(spark.createDataFrame(samples, "value string, random boolean"))
+    code = lambda ch: ord(ch) - 32 if 32 <= ord(ch) <= 126 else secrets.SIZE - 1
+    n = {True: Counter(), False: Counter()}
+    for v, r in samples:
+        n[r].update((code(a), code(b)) for a, b in zip(v, v[1:]))
+    u, size = secrets.UNIFORM, secrets.SIZE
+    from_ = {r: Counter() for r in n}
+    for r in n:
+        for (a, _), k in n[r].items():
+            from_[r][a] += k
+
+    def llr(a, b):
+        learned = (n[True][a, b] + 32 * u) / (from_[True][a] + 32 * u * size)
+        ordinary = (n[False][a, b] + 0.5 / size) / (from_[False][a] + 0.5)
+        return math.log(0.5 * learned + 0.5 * u) - math.log(ordinary)
+
+    assert all(abs(got[a * size + b] - llr(a, b)) < 1e-9 for a in range(size) for b in range(size))
+    values = ["aB3x", "user", "x", "é1", "Zz_09"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.ratio(F.col("v"), got).alias("r")).collect()
+    for row in rows:
+        each = [llr(code(a), code(b)) for a, b in zip(row["v"], row["v"][1:])]
+        assert row["r"] is None if not each else abs(row["r"] - sum(each) / len(each)) < 1e-5
+
+
 def test_random_strings_are_told_apart(spark):
     rnd = random.Random(8)
     key = lambda: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
@@ -589,6 +721,23 @@ def test_no_ngram_is_lost_to_the_size_of_the_model(spark, docs):
     assert all(abs(small[k]["score"] - full[k]["score"]) <= 0.03 * full[k]["n_tokens"] for k in full)
 
 
+def test_hot_words_are_dealt_to_several_shards(spark, docs, odd):
+    """Frequent words in many parts: the same scores as brute force, and no shard with all of a hot word's trigrams."""
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text").collect()
+        _, want = slow_lm([r["text"] for r in rows], [True] * len(rows), 2)
+        got = ngram_trie.score(df, F.lit(True), hot_words=40).collect()
+        key = lambda r: (-1 if r[0] is None else r[0], r[1], round(r[3], 6))
+        mine = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got), key=key)
+        theirs = sorted(((r["doc_id"], *w) for r, w in zip(rows, want)), key=key)
+        for a, b in zip(mine, theirs):
+            assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 and abs(a[4] - b[4]) <= 0.03 * a[1]
+    hot = ngram_trie.Hot.of([(7, 1000), (3, 90)], 40)
+    shard = hot.shard(np.arange(5000), np.full(5000, 7), 64)
+    assert len(set(shard.tolist())) > 15 and set(shard.tolist()) <= set(hot.shards_of(1, 64)) and np.bincount(shard).max() < 1000
+    assert len(set(hot.shard(np.arange(500), np.full(500, 8), 64).tolist())) == 1
+
+
 def test_words_are_counted_without_items(spark, odd):
     for items in ([], [("a", "!!"), ("b", None)]):
         rows = decontaminate.summary(decontaminate.scan(odd, spark.createDataFrame(items, "item_id string, text string"), ["doc_id", "text"]).select("doc_id", "text", "n_words", "spans", "items"))
