@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, documents, held, slices, text_digest, words_of
+from quern.llm.common import Memo, documents, held, row_type, slices, text_digest, words_of
 
 K = 64
 SHINGLE = 5
@@ -110,14 +110,14 @@ def from_text(s: str) -> np.ndarray:
 def sketches(df: DataFrame, keep: list[str], text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """The ``keep`` columns, ``sketch`` (array of long) and ``n_distinct`` (estimate) of each row; no shuffle."""
     rows = df.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
-    kept = rows.schema["kept"].dataType.simpleString()
+    kind = row_type({"kept": rows.schema["kept"].dataType}, "sketch array<bigint>, n_distinct double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             made = [sketch((t or "").encode(), k, shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(made, pa.list_(pa.int64())), pa.array([distinct(s, k) for s in made])], ["kept", "sketch", "n_distinct"])
 
-    return rows.mapInArrow(run, f"kept {kept}, sketch array<bigint>, n_distinct double").select("kept.*", "sketch", "n_distinct")
+    return rows.mapInArrow(run, kind).select("kept.*", "sketch", "n_distinct")
 
 
 def merged(parts: DataFrame, key: str, k: int = K, salts: int = 64, keys_held: int = 20_000) -> DataFrame:

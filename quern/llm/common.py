@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A-Z to a-z; every other byte stays. UTF-8 bytes of other letters are 0x80 and above.
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -73,6 +74,11 @@ def given_back(spark: SparkSession, paths: Iterable[str]) -> None:
         WRITTEN.remove(path)
 
 
+def row_type(kinds: dict[str, DataType], ddl: str) -> StructType:
+    """Fields of given types, whose inner names may be any, then those of the DDL."""
+    return StructType([StructField(n, k) for n, k in kinds.items()] + StructType.fromDDL(ddl).fields)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, documents, held, size_in_bytes, slices, text_bytes, written
+from quern.llm.common import LOWER, documents, held, row_type, size_in_bytes, slices, text_bytes, written
 
 #: A-Z lower-cased; 0-9, a-z and all bytes of other letters stay; the rest divides words.
 NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in LOWER)
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
     """The ``keep`` columns with ``n_words``, ``spans`` (code points and words of maximal hit runs) and ``items``."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long,first_word:long,n_words:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    kept = rows.schema["kept"].dataType.simpleString()
+    kind = row_type({"kept": rows.schema["kept"].dataType}, f"text string, {HITS}")
     several = size_in_bytes(items, item_text) >= block_bytes
     for block in item_blocks(items, item_id, item_text, window, block_bytes):
         shared = spark.sparkContext.broadcast(block)
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
                 out = [batch.column("kept"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field("spans").type), pa.array([sorted(x) for x in found], batch.schema.field("items").type)]
                 yield pa.RecordBatch.from_arrays(out, ["kept", "text", "n_words", "spans", "items"])
 
-        rows = rows.mapInArrow(run, f"kept {kept}, text string, {HITS}")
+        rows = rows.mapInArrow(run, kind)
         if several:  # one block of items in memory at a time
             rows = written(rows, "decontaminate")
     return rows.select("kept.*", "n_words", "spans", "items")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, slices, text_bytes, written
+from quern.llm.common import documents, row_type, slices, text_bytes, written
 
 #: Letters of other scripts are bytes of 0x80 and above; the rest of ASCII is one space.
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -97,7 +97,7 @@ def text_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], keep: dict
     """``kept`` (a struct), the ``evidence`` columns, ``has_letter``, and ``text_ll`` (one double a class, ``und`` last)."""
     shared = df.sparkSession.sparkContext.broadcast(model[1])  # at most MAX_LANGUAGES * DIM floats
     rows = df.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("kept"), F.struct(*[c.alias(n) for n, c in evidence.items()]).alias("said"), F.col(text).cast("string").alias("text"))
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("kept", "said")}
+    kind = row_type({c: rows.schema[c].dataType for c in ("kept", "said")}, "has_letter boolean, text_ll array<double>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ll = np.ascontiguousarray(shared.value.T)
@@ -113,7 +113,7 @@ def text_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], keep: dict
                 out.append(total / n * (n / (1 + n / TRIGRAMS)) if n else total)
             yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("said"), pa.array(letters, pa.bool_()), pa.array(out, pa.list_(pa.float64()))], ["kept", "said", "has_letter", "text_ll"])
 
-    return rows.mapInArrow(run, f"kept {kinds['kept']}, said {kinds['said']}, has_letter boolean, text_ll array<double>").select("kept", "said.*", "has_letter", "text_ll")
+    return rows.mapInArrow(run, kind).select("kept", "said.*", "has_letter", "text_ll")
 
 
 def suffix_of(host: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, crc_mod, documents, held, slices, text_bytes, written
+from quern.llm.common import Memo, crc_mod, documents, held, row_type, slices, text_bytes, written
 
 BITS = 18
 DIM = 1 << BITS
@@ -206,14 +206,14 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
     """The ``keep`` columns and ``score``. The broadcast is two vectors of DIM floats."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
-    kept = rows.schema["kept"].dataType.simpleString()
+    kind = row_type({"kept": rows.schema["kept"].dataType}, "score double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array([m.score(features(t)) for t in text_bytes(batch.column("text"))], pa.float64())], ["kept", "score"])
 
-    return rows.mapInArrow(run, f"kept {kept}, score double").select("kept.*", "score")
+    return rows.mapInArrow(run, kind).select("kept.*", "score")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:

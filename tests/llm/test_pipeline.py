@@ -1,6 +1,7 @@
 """The pipeline's stages take effect on planted cases and leave clean documents alone."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,77 @@ def test_near_copies_of_any_length_go(spark):
                 root = [new if r == old else r for r in root]
     assert len(set(root)) < len(texts) - 60
     assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, "").collect()} == set(root)
+
+
+def test_clashing_names(spark, planted):
+    """Extra columns with names that stages use inside pass through, and decisions stay the same."""
+    docs = spark.read.parquet(f"{planted}/documents.parquet").drop("items").filter("doc_id < 40 OR doc_id >= 100000")
+    names = ["_id", "_digest", "_found", "_clean", "_twice", "host", "best", "prior", "said", "row", "none", "id", "digest", "key", "clean", "found", "kept", "doc", "spans", "words", "a.b"]
+    more = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in P.STAGES[:-1]:
+        docs, more = (P.written(stage(spark, d, planted), "test-names") for d in (docs, more))
+        assert more.columns == [*docs.columns, *names], name
+        assert sorted(map(str, docs.collect())) == sorted(map(str, more.select(*docs.columns).collect())), name
+    assert more.filter(F.col("_id") != F.concat(F.lit("_id "), F.col("doc_id").cast("string"))).count() == 0
+    assert P.bpe_stage(spark, more, planted).count() == more.count()
+
+
+def test_run_gives_back_what_no_stage_reads(spark, planted):
+    before = set(P.WRITTEN)
+    out = P.run(spark, planted)
+    left = [p for p in P.WRITTEN if p not in before]
+    assert len(left) == 1 and "pipeline-secrets" in left[0] and out.count() > 0
+
+
+def slow_shingles(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_whole_run_against_brute_force(spark, planted):
+    """Stage by stage in plain Python: languages by the slow fusion, near copies by all pairs, windows and base rules word by word, ids by the library."""
+    from tokenizers import Tokenizer
+
+    from quern.llm import bpe_automaton, language_id, secrets
+    import test_llm_operators as slow
+
+    out = f"{planted}-small"
+    spark.read.parquet(f"{planted}/documents.parquet").filter("doc_id < 70 OR doc_id >= 100000").write.mode("overwrite").parquet(f"{out}/documents.parquet")
+    spark.read.parquet(f"{planted}/benchmark.parquet").write.mode("overwrite").parquet(f"{out}/benchmark.parquet")
+    docs = [r.asDict() for r in spark.read.parquet(f"{out}/documents.parquet").collect()]
+    said = lambda t: (m[1].lower() if (m := re.search(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", t or "")) else None)
+    judged = slow.slow_language([(d["text"], d["source"], None, said(d["text"])) for d in docs], [(d["text"], d["lang"]) for d in docs])
+    docs = [d for d, (lang, p) in zip(docs, judged) if lang != language_id.UND and p >= 0.5 and len(language_id.trigrams((d["text"] or "").encode()))]
+    sets = [slow_shingles(d["text"]) for d in docs]
+    root = list(range(len(docs)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if len(x & y) >= 0.8 * len(x | y) and root[i] != root[j]:
+                old, new = root[j], root[i]
+                root = [new if r == old else r for r in root]
+    docs = [min((d for d, r in zip(docs, root) if r == k), key=lambda d: d["doc_id"]) for k in sorted(set(root))]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{out}/benchmark.parquet").collect()]
+    long = [(i, t) for i, t in items if len((t or "").split()) >= 8]
+    docs = [d for d in docs if not any(slow.slow_hits(d["text"], [x])[1] >= 8 for x in long)]
+    left = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secrets.scan(left, ["doc_id"]).collect()}
+    library = Tokenizer.from_file(bpe_automaton.default_path())
+    want = {}
+    for d in docs:
+        assert [s for s in spans[d["doc_id"]] if s[0] != "random"] == slow.slow_base(d["text"])
+        text, at, clean = d["text"], 0, ""
+        for a, b in merged_runs([(a, b) for _, a, b in spans[d["doc_id"]]]):
+            clean, at = clean + text[at:a] + "[SECRET]", b
+        want[d["doc_id"]] = library.encode(clean + text[at:], add_special_tokens=False).ids
+    got = {r["doc_id"]: r["ids"] for r in P.run(spark, out).collect()}
+    assert got == want and len(want) > 30
+
+
+def merged_runs(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
