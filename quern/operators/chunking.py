@@ -15,6 +15,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions import text as T
 
@@ -252,7 +253,8 @@ FOLDS: dict[str, Callable[..., list[Piece]]] = {"sentence": pack_sentences, "rec
 def folded(df: DataFrame, keep: list[str], how: str, text: str = "text", **options) -> DataFrame:
     """Chunks of a fold by name, a row each."""
     rows = df.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
-    fold, kept = FOLDS[how], rows.schema["kept"].dataType.simpleString()
+    fold = FOLDS[how]
+    schema = StructType([rows.schema["kept"], *StructType.fromDDL("chunks array<struct<chunk_index:int,content:string,start:int,end:int,tokens:int,label:string>>").fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +264,7 @@ def folded(df: DataFrame, keep: list[str], how: str, text: str = "text", **optio
                 kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("content", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32()), ("label", pa.string())]))
                 yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(made, kind)], ["kept", "chunks"])
 
-    return rows.mapInArrow(run, f"kept {kept}, chunks array<struct<chunk_index:int,content:string,start:int,end:int,tokens:int,label:string>>").select("kept.*", F.inline("chunks"))
+    return rows.mapInArrow(run, schema).select("kept.*", F.inline("chunks"))
 
 
 def semantic_chunks(df: DataFrame, key: str, order: str, content: str, vector: str, threshold: float = 0.85, max_tokens: int = 450) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import analytics as A
 from quern.operators import chunking as C
+from quern.operators import protocols as P
 from quern.operators import quality as Q
 from quern.operators import relational as R
 from quern.operators import safety as S
@@ -543,3 +544,50 @@ def variable_genes(spark, d):
 def schema_lint(spark, d):
     found = Q.schema_lint([("id", "long"), ("order_id", "long"), ("user_id", "long"), ("Total", "double"), ("createdAt", "timestamp")], indexed=["user_id"])
     return spark.createDataFrame([(r,) for r in found], "remark string")
+
+
+# ------------------------------------------------------------ extension points
+
+
+@query("scorer_pipeline", """
+WITH s AS (SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN least(1.0, length(text) / 400.0) END AS a, (contains(lower(text), ' the '))::INT::DOUBLE AS b FROM conversations WHERE role <> 'system' UNION ALL
+SELECT conv_id, turn, NULL, (contains(lower(text), ' the '))::INT::DOUBLE FROM conversations WHERE role = 'system')
+SELECT conv_id, turn, CASE WHEN a IS NULL THEN 'error' ELSE 'success' END AS status, CASE WHEN a IS NULL THEN 'none' WHEN a >= 0.5 THEN 'long' ELSE 'short' END AS reason, 'v1' AS version, round(CASE WHEN a IS NULL THEN b ELSE 0.7 * a + 0.3 * b END, 6) AS score FROM s""")
+def scorer_pipeline(spark, d):
+    """Two scorers and their weighted mean; the first has no score for system turns."""
+    t = F.col("text")
+    size = P.Scorer("size", F.when(F.col("role") != "system", F.length(t)), lambda n: F.when(n > 0, F.least(F.lit(1.0), n / 400)), lambda _, s: F.when(s.isNull(), "none").when(s >= 0.5, "long").otherwise("short"), {"version": "v0"}, {"version": F.lit("v1")})
+    word = P.Scorer("word", F.lower(t), lambda x: x.contains(" the ").cast("int"))
+    rows = word.apply(size.apply(table(spark, d, "conversations")))
+    return rows.select("conv_id", "turn", "size.status", F.col("size.metadata")["reason"].alias("reason"), F.col("size.metadata")["version"].alias("version"), F.round(P.weighted({"size": 0.7, "word": 0.3}), 6).alias("score"))
+
+
+@query("vector_store", """
+WITH s AS (SELECT vec_id AS id, coalesce(label, 0)::DOUBLE AS x, 1.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM embeddings WHERE vec_id < 100 UNION ALL SELECT 99 + row_number() OVER (ORDER BY n_nationkey), n_regionkey::DOUBLE, 0.0::DOUBLE, length(n_name)::DOUBLE FROM nation),
+c AS (SELECT r_regionkey AS query_id, s.id AS item, (x * r_regionkey + y * 0.5 + z * 7) / sqrt((x * x + y * y + z * z) * (r_regionkey * r_regionkey + 49.25)) AS cos FROM region, s WHERE s.id <> r_regionkey)
+SELECT query_id, item, round(cos, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, item) AS rank FROM c QUALIFY rank <= 3""")
+def vector_store(spark, d):
+    """Nations join a store of labels, with ids that go on, through an embedder; then the nearest three of each region."""
+    base = table(spark, d, "embeddings").filter("vec_id < 100").select(F.col("vec_id").alias("id"), F.array(F.coalesce(F.col("label"), F.lit(0)).cast("float"), F.lit(1.0).cast("float"), F.lit(0.0).cast("float")).alias("v"))
+    store = P.VectorStore(base, "id", "v", "text", lambda texts: [[int(t.split("|")[0]), 0.0, len(t.split("|")[1])] for t in texts])
+    new = table(spark, d, "nation").select("n_nationkey", F.concat_ws("|", F.col("n_regionkey").cast("string"), "n_name").alias("text"))
+    queries = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.array(F.col("r_regionkey").cast("float"), F.lit(0.5).cast("float"), F.lit(7.0).cast("float")).alias("query"))
+    found = store.added(new, ["n_nationkey"]).retriever().retrieve(queries, 3)
+    return found.select(F.col("query_id").cast("int").alias("query_id"), "item", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("chunk_table_function", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 250)) AS f FROM t WHERE len(w) > 0)
+SELECT doc_id, CAST(f // 250 AS INT) AS chunk_index, CAST(least(250, len(w) - f) AS INT) AS tokens FROM s""")
+def chunk_table_function(spark, d):
+    P.register_chunker(spark, "chunks_of_tokens", "token", max_tokens=250)
+    docs(spark, d).createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.tokens FROM chunked_documents, LATERAL chunks_of_tokens(text) c")
+
+
+@query("adapter_errors", "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS n FROM customer")
+def adapter_errors(spark, d):
+    """A parser that fails on a quarter of the rows gives nulls there."""
+    parse = P.never_failing(lambda x: int(x), "long")
+    text = F.when(F.col("c_custkey") % 4 == 0, F.lit("not a number")).otherwise(F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", parse(text).alias("n"))
