@@ -745,9 +745,8 @@ def test_words_are_counted_without_items(spark, odd):
         assert rows.agg(F.sum("n_words")).first()[0] > 3000
 
 
-def test_blocks_at_one_address_have_their_own_automata():
-    windows = {(b"one", b"two"): ["a"]}
-    assert decontaminate.scanner_of("k1", windows).scan([b"one", b"two"])[0] == {"a"}
-    windows.clear()
-    windows[b"three", b"four"] = ["b"]
-    assert decontaminate.scanner_of("k2", windows).scan([b"three", b"four"])[0] == {"b"}
+def test_scans_in_one_session_have_their_own_automata(spark):
+    df = spark.createDataFrame([(1, "one two x"), (2, "three four")], "doc_id long, text string").coalesce(1)
+    for items, hit in (("one two", [1]), ("three four", [2]), ("x three", [])):
+        table = spark.createDataFrame([("a", items)], "item_id string, text string")
+        assert [r["doc_id"] for r in decontaminate.scan(df, table, ["doc_id"]).filter("size(items) > 0").collect()] == hit
