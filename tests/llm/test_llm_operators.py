@@ -614,13 +614,13 @@ def slow_hits(text, items, window=8):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination(spark, odd, none, block):
+@pytest.mark.parametrize(("block", "windows"), [(1 << 20, 1000), (1 << 20, 2), (40, 1000)])
+def test_decontamination(spark, odd, none, block, windows):
     items = [(1, "one two three four five six seven eight nine"), (2, "Short item"), (3, "three four five six seven eight nine ten"), (None, "éa 漢字"), (5, ""), (6, None), (2, "other short")]
     table = spark.createDataFrame(items, "item_id long, text string")
     texts = ["x ONE, two three; four five six seven eight nine ten", "a short\titem. short item", "ÉA éa 漢字!", "nothing", None, "one two three four five six seven", "eight nine two three four five six seven eight nine"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in decontaminate.scan(df, table, ["doc_id", "text"], block_bytes=block).collect():
+    for r in decontaminate.scan(df, table, ["doc_id", "text"], block_bytes=block, max_windows=windows).collect():
         n, hits, ids = slow_hits(r["text"], items)
         assert (r["n_words"], sum(s["n_words"] for s in r["spans"]), r["items"]) == (n, hits, ids)
         for s in r["spans"]:
@@ -750,3 +750,26 @@ def test_scans_in_one_session_have_their_own_automata(spark):
     for items, hit in (("one two", [1]), ("three four", [2]), ("x three", [])):
         table = spark.createDataFrame([("a", items)], "item_id string, text string")
         assert [r["doc_id"] for r in decontaminate.scan(df, table, ["doc_id"]).filter("size(items) > 0").collect()] == hit
+
+
+def test_many_items_are_scanned_in_one_stage(spark, docs):
+    """Many automata beside planted items: one pass over the texts, the same hits as with the planted items alone."""
+    texts = [r["text"].split() for r in docs.limit(40).collect() if len(r["text"].split()) > 40]
+    planted = spark.createDataFrame([(str(i), " ".join(t[10:30])) for i, t in enumerate(texts)], "item_id string, text string")
+    many = spark.range(40).select(F.concat(F.lit("m"), F.col("id")).alias("item_id"), F.expr("array_join(transform(sequence(1, 300), k -> conv(abs(xxhash64(id, k)) % 1000000007, 10, 36)), ' ')").alias("text"))
+    scanned = decontaminate.scan(docs, planted.unionByName(many), ["doc_id"], max_windows=3000)
+    assert scanned._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    alone = decontaminate.scan(docs, planted, ["doc_id"])
+    assert sorted(map(str, scanned.collect())) == sorted(map(str, alone.collect())) and alone.filter("size(items) > 0").count() >= len(texts) // 2
+
+
+def test_a_dense_ball_is_searched_in_one_go():
+    """40,000 draws from one ball: a spanning forest in about as many steps as rows."""
+    rng = np.random.default_rng(0)
+    f = np.full(40_000, np.uint64(0x123456789ABCDEF0))
+    for _ in range(3):
+        f ^= np.uint64(1) << rng.integers(0, 64, len(f)).astype(np.uint64)
+    f = np.unique(f)
+    a, b = simhash_dedup.cell_forest(np.zeros(len(f), dtype=int), f)
+    assert len(a) == len(f) - 1
+    assert (simhash_dedup.roots(len(f), np.searchsorted(f, a), np.searchsorted(f, b)) == 0).all()
