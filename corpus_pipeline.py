@@ -7,7 +7,8 @@ stage's ``docs``. All but the last return the columns of the documents.
 1. ``language_id``: documents that the language model of the corpus rejects go.
 2. ``near_dedup``: one document of each component of near copies stays, the one
    with the smallest id. Near copies have five-word shingles of Jaccard similarity
-   0.8 or more; three differing SimHash bits are the rule of op6 alone.
+   0.8 or more. Candidates come by op6's method with wider fingerprints and a wider
+   radius, whole sets decide; three differing SimHash bits are the rule of op6 alone.
 3. ``decontaminate``: documents that hold a whole window of a benchmark item
    (eight words or more in a row) go.
 4. ``secrets``: spans of secrets are replaced by a mark; no document goes.

@@ -58,6 +58,17 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes, rows of 64-bit words, have each bit."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def majority(sums: np.ndarray, n: int) -> np.ndarray:
+    """64-bit words of the bits that over half of ``n`` hashes have."""
+    return np.packbits(2 * sums > n, bitorder="little").view("<u8")
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Majority bits of the shingle hashes; 0 without words."""
     words = words_of(text)
@@ -74,10 +85,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
     total = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 15):
-        part = np.array(hashes[i : i + (1 << 15)], dtype="<u8")
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+        total += bit_sums(np.array(hashes[i : i + (1 << 15)], dtype="<u8")[:, None])
+    return int(majority(total, len(hashes))[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -145,10 +154,16 @@ def linked(fp: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, max_
         gap = np.abs(table[i[alive], k : k + 4] - table[j[alive], k : k + 4]).max(axis=1)
         alive = alive[gap <= max_distance]
     out = np.zeros(len(i), dtype=bool)
-    out[alive] = np.bitwise_count(fp[i[alive]] ^ fp[j[alive]]) <= max_distance
+    out[alive] = distances(fp[i[alive]], fp[j[alive]]) <= max_distance
     return out
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits; a fingerprint is one word or a row of words."""
+    bits = np.bitwise_count(x ^ y)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int16)
+
+
 def search_from(members: np.ndarray, fp: np.ndarray, table: np.ndarray, max_distance: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of one large cell: a search that goes from each member to those not reached yet.
 
@@ -199,6 +214,12 @@ def cell_forest(group: np.ndarray, fp: np.ndarray, max_distance: int = 3) -> tup
     """Spanning edges (fingerprints) of the links inside each cell; ``group`` is sorted and numbers the cells."""
     nodes, at = np.unique(fp, return_inverse=True)
     table = np.bitwise_count(nodes[:, None] ^ pivots()[None, :]).astype(np.int16)
+    a, b = group_forest(group, at, nodes, table, max_distance)
+    return nodes[a], nodes[b]
+
+
+def group_forest(group: np.ndarray, at: np.ndarray, nodes: np.ndarray, table: np.ndarray, max_distance: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of ``nodes`` (by index), whose pivot distances are ``table``; row k of the sorted ``group`` holds node ``at[k]``."""
     edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -221,12 +242,11 @@ def cell_forest(group: np.ndarray, fp: np.ndarray, max_distance: int = 3) -> tup
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
         edges.append(search_from(np.unique(at[start : start + size]), nodes, table, max_distance))
         if len(edges) > 16:  # hold a forest, not all edges
-            edges[:] = [_forest(len(nodes), edges)]
-    a, b = _forest(len(nodes), edges)
-    return nodes[a], nodes[b]
+            edges[:] = [forest(len(nodes), edges)]
+    return forest(len(nodes), edges)
 
 
-def _forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not edges:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     label = roots(n, np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,52 @@ def test_near_copies_of_any_length_go(spark):
     assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, "").collect()} == set(root)
 
 
+def test_near_copies_come_by_wide_fingerprints(spark, monkeypatch):
+    """The SimHash radius decides what is compared: at none, only equal fingerprints meet."""
+    rnd = random.Random(5)
+    a = [[f"w{rnd.randrange(3000)}" for _ in range(n)] for n in (60, 300, 1000)]
+    docs = spark.createDataFrame([(2 * k + i, " ".join(["altered", *w[1:]] if i else w)) for k, w in enumerate(a) for i in (0, 1)], "doc_id long, text string")
+    assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, "").collect()} == {0, 2, 4}
+    monkeypatch.setattr(P.near_texts, "radius", lambda threshold: 0)
+    assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, "").collect()} == set(range(6))
+
+
+def test_fingerprint_cells_miss_no_near_pair():
+    """Pairs of similarity 0.8 or more, from four shingles on, among unrelated texts: each meets in some cell, as a loop over all its cells finds."""
+    N, rnd = P.near_texts, random.Random(6)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    sets = []
+    for k in range(300):
+        a = [word() for _ in range((8, 14, 30, 100, 400)[k % 5])]
+        b = a + [word() for _ in range(max(1, (len(a) - 4) // 4))]  # 0.8 at the least
+        sets += [N.shingles(" ".join(w).encode()) for w in (a, b)]
+    assert min(len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x, y in zip(sets[::2], sets[1::2])) >= 0.8
+    sets += [N.shingles(" ".join(word() for _ in range(50)).encode()) for _ in range(2000)]
+    words = np.stack([N.wide_fingerprint(x) for x in sets])
+    first, met = words.view(np.uint8) & ((1 << N.CELL_BITS) - 1), np.zeros(300, dtype=bool)
+    for byte in range(N.BITS // 8):
+        for value in np.unique(first[:, byte]):
+            at = np.flatnonzero(first[:, byte] == value)
+            root = N.cell_components(words[at], byte << N.CELL_BITS | int(value), N.radius(0.8), N.differing(0.8))
+            label = dict(zip(at.tolist(), root.tolist()))
+            met |= [label.get(2 * k, -1) == label.get(2 * k + 1, -2) for k in range(300)]
+    assert met.all()
+
+
+def test_a_large_cell_is_searched_as_all_pairs_would():
+    """A dense group and a loose one among unrelated fingerprints: components of the links that all pairs have."""
+    N, rng = P.near_texts, np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, (1200, 4), dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, (1200, 4), dtype=np.uint64)
+    for members, flips in ((range(100, 500), 10), (range(600, 640), 25)):
+        for k in members:
+            bits = np.unpackbits(words[members[0]].view(np.uint8))
+            bits[rng.permutation(N.BITS)[: flips if k > members[0] else 0]] ^= 1
+            words[k] = np.packbits(bits).view(np.uint64)
+    a, b = np.nonzero(np.triu(np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2) <= N.radius(0.8), 1))
+    want = N.roots(len(words), a, b)
+    assert (N.cell_components(words, 7 << N.CELL_BITS, N.radius(0.8), N.differing(0.8)) == want).all() and len(set(want)) == 1200 - 399 - 39
+
+
 def test_clashing_names(spark, planted):
     """Extra columns with names that stages use inside pass through, and decisions stay the same."""
     docs = spark.read.parquet(f"{planted}/documents.parquet").drop("items").filter("doc_id < 40 OR doc_id >= 100000")
