@@ -24,14 +24,16 @@ Simulated misses of 200,000 pairs, at 4, 8 and 14 bits of a finer key: none at a
 difference of 0.1515 a bit; 6, 11 and 14 at 0.1875. The radius misses 8 in a
 million pairs at 0.1875 and none to speak of at 0.1515.
 
-Links. All pairs of a large group of copies must not be formed, and need not be:
-each set is first compared with one anchor, the set that shares most groups with
-most others, of the groups it is in. What this links is one component. Groups
-whose sets are then in different components are searched in full, so that no
-candidate link between components is left out: from the sets of one component
-the search goes to those not reached yet. No pairs are formed as rows; a group
-whose sets take more than ``BLOCK_BYTES`` is searched by pairs of blocks. All
-comparisons are of whole sets.
+Links. All pairs of a large group of copies must not be formed, and need not be.
+Near copies meet in many of the 32 cells, so what the cells found is put together
+before any text is read: groups that share a set are one, and each set is one row
+from then on. Each set is first compared with one anchor, the most central set of
+most of the cells it was found in. What this links is one component. Groups whose
+sets are then in different components are searched in full, so that no candidate
+link between components is left out, not even one that no cell has found: from
+the sets of one component the search goes to those not reached yet. No pairs are
+formed as rows; a group whose sets take more than ``BLOCK_BYTES`` is searched by
+pairs of blocks. All comparisons are of whole sets.
 
 Defined results: texts under five words are one shingle; null and empty texts
 have no shingle and are copies of each other. Very long texts are read whole. An
@@ -157,14 +159,25 @@ def cell_components(words: np.ndarray, cell: int, most: int, p: float) -> np.nda
     return roots(len(words), a, b)
 
 
+def central(words: np.ndarray) -> int:
+    """The row that differs least from the majority of all rows in each bit."""
+    sums = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(words), 1 << 12):
+        sums += bit_sums(words[i : i + (1 << 12)])
+    return int(distances(words, majority(sums, len(words))).argmin())
+
+
 def near_groups(cells: DataFrame, most: int, p: float) -> DataFrame:
-    """``key, fp, n``: the sets of each component of two or more inside a cell, and their number."""
+    """``fp, least, o``: the sets of each component of two or more inside a cell, with its smallest and its most central set."""
 
     def solved(cell: int, fps: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-        _, root, size = np.unique(cell_components(words, cell, most, p), return_inverse=True, return_counts=True)
-        keys = np.array([xxhash.xxh64_intdigest(b"%d %d" % (cell, k)) if m > 1 else 0 for k, m in enumerate(size.tolist())], dtype=np.uint64).view(np.int64)
-        held = size[root] > 1
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[root][held], fps[held], size[root][held])], ["key", "fp", "n"])
+        root = cell_components(words, cell, most, p)
+        order = np.argsort(root, kind="stable")
+        groups = [g for g in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(g) > 1]
+        none = np.zeros(0, dtype=np.int64)
+        sizes = np.array([len(g) for g in groups], dtype=np.int64)
+        least, o = (np.repeat(np.array([pick(g) for g in groups], dtype=np.int64), sizes) for pick in (lambda g: fps[g].min(), lambda g: fps[g[central(words[g])]]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fps[np.concatenate([none, *groups])], least, o)], ["fp", "least", "o"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, fps, words = None, [], []
@@ -183,7 +196,7 @@ def near_groups(cells: DataFrame, most: int, p: float) -> DataFrame:
         if fps:
             yield solved(cell, np.concatenate(fps), np.concatenate(words))
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "key long, fp long, n long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "fp long, least long, o long")
 
 
 def _pair(x, y) -> list:
@@ -207,45 +220,67 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def anchored(members: DataFrame) -> DataFrame:
-    """``a, b``: each set of ``key, fp, n`` rows with the anchor that it shares most groups with."""
-    known = written(members.groupBy("fp").agg(F.sum("n").alias("known")), "near-known")
-    top = members.join(known, "fp").groupBy("key").agg(F.max(F.struct("known", "fp"))["fp"].alias("o"))
-    shared = members.join(top, "key").filter("fp <> o").groupBy("fp", "o").agg(F.count("*").alias("n"))
-    return shared.groupBy("fp").agg(F.max(F.struct("n", "o"))["o"].alias("o")).select(*_pair("fp", "o")).distinct()
+def candidates(members: DataFrame) -> DataFrame:
+    """``fp, key, o``: a row for each set, with the group that all cells together make of it and the anchor that most of them name.
+
+    The cells' sets are linked to their smallest ones, never to each other.
+    """
+    named = members.groupBy("fp", "o").agg(F.count("*").alias("n")).groupBy("fp").agg(F.max(F.struct("n", "o"))["o"].alias("o"))
+    tree = components(members.select(F.col("fp").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("fp"), "root")
+    return named.join(tree, "fp", "left").select("fp", F.coalesce("root", "fp").alias("key"), "o")
 
 
 def group_links(root: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Spanning links between the components of one group; sets of equal ``root`` are linked already."""
+    """Spanning links between the components of one group; sets of equal ``root`` are linked already.
+
+    A set that is similar enough holds so many shingles of ``x`` that it has one
+    of any ``few`` of them: those that fewest of the sets not reached yet have
+    tell which of these are compared. Where those are most of them, all are.
+    """
     sizes = np.array([len(x) for x in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
     flag = np.zeros(int(codes.max(initial=-1)) + 1, dtype=bool)
+    few = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-6).astype(np.int64) + 1)
     _, kind, members = np.unique(root, return_inverse=True, return_counts=True)
     links: list[tuple[int, int]] = []
     queue = np.flatnonzero(kind == members.argmax()).tolist()
-    rest = np.flatnonzero(kind != members.argmax())
-    mine = None
-    while len(rest):
+    alive = kind != members.argmax()
+    left, built = int(alive.sum()), 0
+    while left:
         if not queue:
-            queue = np.flatnonzero(kind == kind[rest[0]]).tolist()
-            rest, mine = rest[kind[rest] != kind[rest[0]]], None
+            queue = np.flatnonzero(alive & (kind == kind[alive.argmax()])).tolist()
+            alive[queue] = False
+            left -= len(queue)
             continue
-        if mine is None:
-            mine = gathered(codes, starts[rest], sizes[rest])
-            first = np.cumsum(sizes[rest]) - sizes[rest]
+        if not built or 4 * left < 3 * built:  # who holds each shingle, of the sets not reached yet
+            rest, built = np.flatnonzero(alive), left
+            held = gathered(codes, starts[rest], sizes[rest])
+            owner = np.repeat(rest, sizes[rest])[np.argsort(held, kind="stable")]
+            often = np.bincount(held, minlength=len(flag))
+            first = np.cumsum(often) - often
         x = queue.pop()
         own = codes[starts[x] : starts[x] + sizes[x]]
+        rare = own[np.argpartition(often[own], few[x] - 1)[: few[x]]]
+        if 4 * often[rare].sum() < built:
+            near = np.unique(gathered(owner, first[rare], often[rare]))
+            near = near[alive[near]]
+            theirs = gathered(codes, starts[near], sizes[near])
+        else:
+            near, theirs = rest, held
+        if not len(near):
+            continue
         flag[own] = True
-        both = np.add.reduceat(flag[mine], first, dtype=np.int64)
+        both = np.add.reduceat(flag[theirs], np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
         flag[own] = False
-        near = rest[both >= threshold * (sizes[x] + sizes[rest] - both)]
+        near = near[alive[near] & (both >= threshold * (sizes[x] + sizes[near] - both))]
         if len(near):
             reached, at = np.unique(kind[near], return_index=True)
             links += [(x, int(near[k])) for k in at]
-            go = np.isin(kind[rest], reached)
-            queue += rest[go].tolist()
-            rest, mine = rest[~go], None
+            go = np.flatnonzero(alive & np.isin(kind, reached))
+            queue += go.tolist()
+            alive[go] = False
+            left -= len(go)
     return links
 
 
@@ -271,10 +306,8 @@ def open_links(members: DataFrame, tree: DataFrame, sets: DataFrame, threshold:
             yield solved()
 
     rows = members.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    same = [F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("all")]
-    groups = rows.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), *same).filter("open")
-    once = groups.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key")).select("key")  # many keys have the same sets
-    rows = written(rows.join(once, "key").join(sets, "fp"), "near-open")
+    several = rows.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("key")
+    rows = written(rows.join(several, "key").join(sets, "fp"), "near-open")
     sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES).cast("int").alias("n"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(j, "i").alias("x"), F.greatest(j, "i").alias("y")))
     spread = rows.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("fp"), "n").cast("int")).select("key", "fp", "root", "grams", F.explode(blocks).alias("b"))
@@ -293,9 +326,11 @@ def near_texts(df: DataFrame, text: str = "text", id_col: str = "doc_id", thresh
     marked = written(sketches(df, text, id_col, threshold), "near-sketches")
     distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("digest").alias("digest"), F.first("words").alias("words")), "near-distinct")
     members = written(near_groups(celled(distinct), radius(threshold), differing(threshold)), "near-members")
-    wanted = written(distinct.select("fp", "digest").join(members.select("fp").distinct(), "fp"), "near-wanted").hint("merge")
+    near = written(candidates(members), "near-candidates")
+    wanted = written(distinct.select("fp", "digest").join(near.select("fp"), "fp"), "near-wanted").hint("merge")
     texts = df.select(F.col(text).cast("string").alias("text")).withColumn("digest", text_digest("text")).join(wanted, "digest")
     sets = written(texts.select("fp", "text").mapInArrow(grams, "fp long, grams binary").dropDuplicates(["fp"]), "near-sets")
-    edges = written(verified(anchored(members), sets, threshold), "near-edges")
-    rest = written(open_links(members, components(edges), sets, threshold), "near-rest")
+    anchored = near.filter("fp <> o").select(*_pair("fp", "o")).distinct()
+    edges = written(verified(anchored, sets, threshold), "near-edges")
+    rest = written(open_links(near.select("key", "fp"), components(edges), sets, threshold), "near-rest")
     return named_components(marked.select(id_col, "digest", "fp"), distinct.select("fp", "least"), components(edges.unionByName(rest)), id_col)

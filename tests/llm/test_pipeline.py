@@ -127,6 +127,43 @@ def test_a_large_cell_is_searched_as_all_pairs_would():
     assert (N.cell_components(words, 7 << N.CELL_BITS, N.radius(0.8), N.differing(0.8)) == want).all() and len(set(want)) == 1200 - 399 - 39
 
 
+def test_each_set_is_one_row_however_many_cells_it_is_in(spark, monkeypatch):
+    """Sixty loose copies that meet in most cells but do not link, twelve of them with a copy that does: no table of groups has a set twice."""
+    N, rnd = P.near_texts, random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    changed = lambda w, at: [f"x{rnd.randrange(10**6)}" if i in at else v for i, v in enumerate(w)]
+    loose = [changed(base, set(rnd.sample(range(5, 395), 7))) for _ in range(60)]
+    texts = [" ".join(w) for w in loose] + [" ".join(changed(w, {0})) for w in loose[::5]]
+    sets = [N.shingles(t.encode()) for t in texts]
+    links = [(i, j) for j in range(72) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert links == [(5 * k, 60 + k) for k in range(12)]
+    rows, write = {}, N.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, "").collect()} == set(range(60))
+    assert rows["near-members"] > 5 * 72 and rows["near-open"] == 72  # before: 32 rows a set at most
+
+
+def test_group_links_connect_what_all_pairs_would():
+    """Random groups, some linked in part already, with sets at exactly 0.8: the same components as all pairs give."""
+    N, rng = P.near_texts, np.random.default_rng(2)
+    for k in range(150):
+        bases = [np.unique(rng.integers(0, 400, rng.integers(4, 60))).astype(np.uint64) for _ in range(3)]
+        sets = [np.unique(np.concatenate([b[rng.random(len(b)) >= rng.choice([0, 0.05, 0.1, 0.2])], rng.integers(500, 2000, rng.integers(1, 6)).astype(np.uint64)])) for b in (bases[rng.integers(3)] for _ in range(rng.integers(2, 60)))]
+        sets += [np.arange(3000 + 100 * n, 3000 + 100 * n + x, dtype=np.uint64) for n in (4, 8, 12, 28) for x in (n, n + n // 4)]  # 0.8
+        root = rng.integers(0, len(sets), len(sets)) if k % 2 else np.arange(len(sets))
+        pairs = [(i, j) for j in range(len(sets)) for i in range(j) if (n := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+        same = [(int(np.flatnonzero(root == r)[0]), i) for i, r in enumerate(root)]
+        found, want = (N.roots(len(sets), *np.array([*same, *links]).T) for links in (N.group_links(root, sets, 0.8), pairs))
+        assert (found == want).all()
+
+
 def test_clashing_names(spark, planted):
     """Extra columns with names that stages use inside pass through, and decisions stay the same."""
     docs = spark.read.parquet(f"{planted}/documents.parquet").drop("items").filter("doc_id < 40 OR doc_id >= 100000")
