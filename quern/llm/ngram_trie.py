@@ -51,12 +51,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, documents, slices, text_bytes, words_of, written
+from quern.llm.common import crc_mod, documents, slices, text_bytes, tidied, words_of, written
 
 MIN_COUNT = 2
 MAX_NGRAMS = 4_000_000  # about so many in a shard
 CHUNK_TOKENS = 2_000_000
 SHARD_BYTES = 16 << 20
+PART = 1 << 18  # trigrams of a shard that are worked on at a time
 DISCOUNT = 0.75
 END = b"\n"  # white space, so never a word
 OTHERS = MIN_COUNT + 1  # numbers of rare words by count, and of what stands two before the first token
@@ -329,6 +330,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))) >> np.uint64(8)
 
 
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where an array with equal values side by side has a new one."""
+    return np.concatenate([np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]])
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Values of an array, each once; the array itself is sorted, so that no other of its size is made."""
+    x.sort()
+    return x[_first(x)]
+
+
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Each value of a sorted array with the range it takes; values that are not there cost nothing."""
     cuts = np.flatnonzero(np.diff(sorted_values, prepend=-1)) if len(sorted_values) else np.zeros(0, dtype=np.int64)
@@ -380,6 +392,7 @@ def chunked(rows: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied()  # of what the task before left in this worker; so in the other steps
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         number, arrays, ids, train = _Numbered(), [], [], []
 
@@ -426,6 +439,7 @@ def word_counts(chunks: DataFrame, shards: int, hot_words: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied()
         total: dict[bytes, int] = {}
         blocks = []
         for batch in batches:
@@ -459,7 +473,8 @@ def word_counts(chunks: DataFrame, shards: int, hot_words: int) -> DataFrame:
 
 
 def queries(chunks: DataFrame, counts: DataFrame, shards: int, unit: float, hot: Hot, pairs: bool = False) -> DataFrame:
-    """kind 0: a chunk's documents with their unigram sums; 1: a chunk's trigrams for the shard of the middle word.
+    """kind 0: a chunk's documents with their unigram sums; 1: a chunk's trigrams for the shard of the middle word,
+    sorted by middle word, word before, last word and document.
 
     With ``pairs`` only kind 3: a chunk's training counts of pairs that begin with a hot word, by pair.
 
@@ -467,12 +482,14 @@ def queries(chunks: DataFrame, counts: DataFrame, shards: int, unit: float, hot:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied()
         body, known = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     if body is not None:
                         yield from asked(body, known)
+                        tidied()
                     body, known = row, []
                 else:
                     known.append((row["n"], row["payload"]))
@@ -550,6 +567,7 @@ def hot_lists(asked: DataFrame, shards: int) -> DataFrame:
     """Written ``word, n, mass, payload``: successors of hot words that are kept, with their counts, by pair shard; mass sums the discounted counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied()
         held = [_unpack(row["payload"], 3) + [row["n"]] for batch in batches for row in batch.to_pylist()]
         if not held:
             return
@@ -566,49 +584,70 @@ def hot_lists(asked: DataFrame, shards: int) -> DataFrame:
     return written(asked.repartitionById(shards, F.col("shard")).mapInArrow(run, "word long, n long, mass double, payload binary"), "lm-hot")
 
 
-def shard_trie(path: str, words: np.ndarray, c1: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: int, types: int, lists: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, left_over: dict[int, float] | None = None) -> None:
-    """Write the trie of distinct trigrams and their training counts.
+def shard_trie(path: str, words: np.ndarray, c1: np.ndarray, pair: np.ndarray, which: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: int, types: int, lists: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, left_over: dict[int, float] | None = None) -> None:
+    """Write the trie of distinct trigrams a b c and their training counts.
 
-    The shard has all trigrams of its middle words. Of those in ``left_over`` it
-    has a part, by the word before; their successors come as ``lists``.
+    ``pair`` has b << 32 | a of all, sorted; a trigram's place in it is ``which``,
+    and trigrams are sorted by ``which``, then ``c``. The shard has all trigrams of
+    its middle words. Of those in ``left_over`` it has a part, by the word before;
+    their successors come as ``lists``.
     """
-    before, after = c1[a] >= MIN_COUNT, c1[c] >= MIN_COUNT
-
-    def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
-        return key[n >= MIN_COUNT], n[n >= MIN_COUNT]
+    common = c1 >= MIN_COUNT
+    b, a = pair >> 32, pair & 0xFFFFFFFF
+    before, after = common[a], common[c]
 
     # A pair may be known from both sides, with the same count.
-    if left_over:
-        after &= ~np.isin(b, np.array(list(left_over), dtype=np.int64))
-    sides = [summed((b << 32 | c)[after], n[after]), summed((a << 32 | b)[before], n[before])]
+    n2 = np.add.reduceat(n, np.flatnonzero(_first(which)))
+    ok = before & (n2 >= MIN_COUNT)
+    sides = [((a << 32 | b)[ok], n2[ok])]
+    del n2, ok
+    whole = after & ~np.isin(b, np.array(list(left_over), dtype=np.int64))[which] if left_over else after
+    key = b[which[whole]]
+    key <<= 32
+    key |= c[whole]
+    key = _distinct(key)
+    n2 = np.zeros(len(key), dtype=np.int64)
+    for x in range(0, len(c), PART):
+        part = slice(x, x + PART)
+        ok = whole[part]
+        np.add.at(n2, np.searchsorted(key, b[which[part][ok]] << 32 | c[part][ok]), n[part][ok])
+    sides.append((key[n2 >= MIN_COUNT], n2[n2 >= MIN_COUNT]))
+    del whole, key, n2
     if lists is not None:
         sides.append((lists[0] << 32 | lists[1], lists[2]))
-    after = c1[c] >= MIN_COUNT
     key, first = np.unique(np.concatenate([k for k, _ in sides]), return_index=True)
     n2 = np.concatenate([x for _, x in sides])[first]
-    kept = np.flatnonzero(before & after & (n >= MIN_COUNT))
-    j = np.searchsorted(key, a[kept] << 32 | b[kept])
-    order = np.lexsort((c[kept], j))
-    build(path, words, c1, (key >> 32, key & 0xFFFFFFFF, n2), (j[order], c[kept][order], n[kept][order]), tokens, types, left_over)
+    del sides, first
+    kept = np.flatnonzero(before[which] & after & (n >= MIN_COUNT))
+    j = np.searchsorted(key, (a << 32 | b)[which[kept]])
+    del a, b, before, after
+    kept, j = kept[order := np.argsort(j, kind="stable")], j[order]  # a pair's trigrams are sorted by c already
+    del order
+    tidied()
+    build(path, words, c1, (key >> 32, key & 0xFFFFFFFF, n2), (j, c[kept].astype(np.int64), n[kept]), tokens, types, left_over)
 
 
 def answers(asked: DataFrame, shards: int, tokens: int, types: int, hot: Hot) -> DataFrame:
-    """Answers of the trie shards. kind 0 as asked; 1: sums for ``n`` documents of a chunk."""
+    """Answers of the trie shards. kind 0 as asked; 1: sums for ``n`` documents of a chunk.
+
+    A task holds its blocks as they came, and of each trigram of a block one number;
+    documents and counts are read from the blocks again where they are needed.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied()
         blocks, lists = [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    yield _row(row["shard"], 0, row["chunk"], row["n"], row["payload"])
-                elif row["kind"] == 2:
-                    lists.append((row["chunk"], row["n"], row["payload"]))
-                else:
-                    blocks.append((row["shard"], row["chunk"], row["n"], row["payload"]))
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            if row["kind"] == 0:
+                yield _row(row["shard"], 0, row["chunk"], row["n"], row["payload"])
+            elif row["kind"] == 2:
+                lists.append((row["chunk"], row["n"], row["payload"]))
+            else:
+                blocks.append((row["shard"], row["chunk"], row["n"], row["payload"]))
         if blocks:
             yield from answered(blocks, lists)
+            del blocks, lists
+            tidied()  # the other worker of this executor may have a larger shard
 
     def listed(words: np.ndarray, lists: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Successors of hot words by local numbers, as far as the shard has them."""
@@ -621,43 +660,81 @@ def answers(asked: DataFrame, shards: int, tokens: int, types: int, hot: Hot) ->
             out.append(np.stack([np.full(int(here.sum()), b), at[here], counts[here]], axis=1))
         return tuple(np.concatenate(out).T)
 
+    def numbered(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Numbers of all words, their counts, and the places of each block's words among them."""
+        numbers, counts = [], []
+        for *_, payload in blocks:
+            size, h, count, *_ = _unpack(payload, 9)
+            numbers.append(np.cumsum(_plain(h, struct.unpack("<q", size)[0])))
+            counts.append(count)
+        words = _distinct(np.concatenate(numbers))
+        c1, places = np.zeros(len(words), dtype=np.int64), []
+        for h, count in zip(numbers, counts):
+            places.append(np.searchsorted(words, h).astype(np.uint32))
+            c1[places[-1]] = _plain(count, len(h))
+        return words, c1, places
+
+    def pairs(block: tuple, places: np.ndarray) -> np.ndarray:
+        """Middle word and word before of a block's entries, which are sorted by them, then by the last word."""
+        a, b = _unpack(block[3], 9)[3:5]
+        return places[_plain(b, block[2])].astype(np.int64) << 32 | places[_plain(a, block[2])]
+
+    def trigrams(blocks: list[tuple], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[slice]]:
+        """Distinct pairs; distinct trigrams as place of the pair and last word; the place of each block's trigrams among
+        these; by block, bits that tell where in its entries a trigram begins, and the range of its trigrams."""
+        room, used = np.empty(sum(n for _, _, n, _ in blocks), dtype=np.int64), 0  # as much memory as gets filled
+        for block, mine in zip(blocks, places):
+            key = pairs(block, mine)
+            key = key[_first(key)]
+            room[used : used + len(key)] = key
+            used += len(key)
+        pair, used, begins, ranges = _distinct(room[:used]), 0, [], []
+        for block, mine in zip(blocks, places):
+            key = pairs(block, mine)
+            new = _first(key)
+            key = np.searchsorted(pair, key[new])[np.cumsum(new) - 1] << 32 | mine[_plain(_unpack(block[3], 9)[5], block[2])]
+            new = _first(key)
+            begins.append(np.packbits(new))
+            ranges.append(slice(used, used + int(new.sum())))
+            used = ranges[-1].stop
+            room[ranges[-1]] = key[new]
+        three = _distinct(room[:used].copy())
+        at = np.empty(used, dtype=np.uint32)
+        for mine in ranges:
+            at[mine] = np.searchsorted(three, room[mine])
+        del room
+        return pair, (three >> 32).astype(np.uint32), three.astype(np.uint32), at, begins, ranges
+
     def answered(blocks: list[tuple], lists: list[tuple]) -> Iterator[pa.RecordBatch]:
-        numbers, counts, parts, weights = [], [], [], []
-        base = 0
-        for _, _, n, payload in blocks:
-            size, h, count, a, b, c, doc, times, train = _unpack(payload, 9)
-            h = np.cumsum(_plain(h, struct.unpack("<q", size)[0]))
-            numbers.append(h)
-            counts.append(_plain(count, len(h)))
-            doc = _plain(doc, n)
-            parts.append((*(_plain(v, n).astype(np.uint32) for v in (a, b, c)), base, doc.astype(np.uint32)))
-            base += len(h)
-            weights.append(_plain(times, n).astype(np.uint32) * np.unpackbits(np.frombuffer(train, "u1"))[doc])
-        words, first, local = np.unique(np.concatenate(numbers), return_index=True, return_inverse=True)
-        c1 = np.concatenate(counts)[first]
-        a, b, c = (local[np.concatenate([p[i].astype(np.int64) + p[3] for p in parts])] for i in range(3))
-        pair, at = np.unique(a << 32 | b, return_inverse=True)
-        del a, b, local
-        three, at = np.unique(at << 32 | c, return_inverse=True)
-        at = at.astype(np.uint32)
-        del c
-        n = np.bincount(at, weights=np.concatenate(weights), minlength=len(three)).astype(np.int64)
-        a, b, c = pair[three >> 32] >> 32, pair[three >> 32] & 0xFFFFFFFF, three & 0xFFFFFFFF
+        tidied()  # the batch they came in is gone
+        words, c1, places = numbered(blocks)
+        pair, which, c, at, begins, ranges = trigrams(blocks, places)
+        del places
+        n = np.zeros(len(c), dtype=np.int64)
+        for (_, _, size, payload), bits, mine in zip(blocks, begins, ranges):
+            *_, doc, times, train = _unpack(payload, 9)
+            trained = _plain(times, size) * np.unpackbits(np.frombuffer(train, "u1"))[_plain(doc, size)]
+            n[at[mine]] += np.add.reduceat(trained, np.flatnonzero(np.unpackbits(bits, count=size)))  # a block has a trigram once
+        tidied()
         with tempfile.TemporaryDirectory(prefix="quern-lm-") as folder:
             path = os.path.join(folder, "trie")
             at_hot = hot.find(words)
             left_over = {int(k): float(hot.weights[at_hot[k]]) for k in np.flatnonzero(at_hot >= 0)} if hot.weights is not None else None
-            shard_trie(path, words, c1, a, b, c, n, tokens, types, listed(words, lists) if lists else None, left_over)
+            shard_trie(path, words, c1, pair, which, c, n, tokens, types, listed(words, lists) if lists else None, left_over)
+            del n
+            tidied()
             each = np.empty(len(c))
             trie = Trie(path)
-            for x in range(0, len(c), 1 << 18):
-                part = slice(x, x + (1 << 18))
-                each[part] = trie.scores(a[part], b[part], c[part])
-        x = 0
-        for (shard, chunk, n, payload), part in zip(blocks, parts):
-            touched, docs = np.unique(part[4], return_inverse=True)
-            sums = np.bincount(docs, weights=each[at[x : x + n]] * _plain(_unpack(payload, 9)[7], n), minlength=len(touched))
-            x += n
+            for x in range(0, len(c), PART):
+                part = slice(x, x + PART)
+                ab = pair[which[part]]
+                each[part] = trie.scores(ab & 0xFFFFFFFF, ab >> 32, c[part].astype(np.int64))
+        del pair, which, c, trie
+        for (shard, chunk, size, payload), bits, mine in zip(blocks, begins, ranges):
+            *_, doc, times, _ = _unpack(payload, 9)
+            touched, docs = np.unique(_plain(doc, size), return_inverse=True)
+            scores = each[at[mine]][np.cumsum(np.unpackbits(bits, count=size), dtype=np.int64) - 1]
+            sums = np.bincount(docs, weights=scores * _plain(times, size), minlength=len(touched))
             yield _row(shard, 1, chunk, len(touched), _pack(_ints(touched), sums))
 
     return asked.repartitionById(shards, F.col("shard")).mapInArrow(run, FLOW)
@@ -667,6 +744,7 @@ def document_sums(given: DataFrame) -> DataFrame:
     """``id, train, n_tokens, n_known, log_counts, lm`` of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied()
         head, lm = None, None
 
         def done() -> pa.RecordBatch:

@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 import re
+import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -738,6 +741,39 @@ def test_hot_words_are_dealt_to_several_shards(spark, docs, odd):
     assert len(set(hot.shard(np.arange(500), np.full(500, 8), 64).tolist())) == 1
 
 
+def test_a_large_shard_takes_few_bytes_an_entry(spark):
+    """Answers of one shard of 1.6 million entries: at its peak a task holds far less than all columns of them."""
+    rng, rows, entries = np.random.default_rng(1), [], 0
+    for chunk in range(32):
+        words = np.unique(rng.integers(3, 200_000, 20_000))
+        b, a, c, doc = (np.minimum(rng.exponential(scale, 50_000).astype(np.int64), top) for scale, top in ((40, len(words) - 1), (3000, len(words) - 1), (3000, len(words) - 1), (50, 199)))
+        order = np.lexsort((doc, c, a, b))
+        a, b, c, doc = a[order], b[order], c[order], doc[order]
+        new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(c) != 0) | (np.diff(doc) != 0)])
+        parts = [ngram_trie._pressed(x) for x in (np.diff(words, prepend=0), np.full(len(words), 10**7), a[new], b[new], c[new], doc[new], np.diff(np.flatnonzero(new), append=len(new)))]
+        rows.append({"shard": 0, "kind": 1, "chunk": chunk, "n": int(new.sum()), "payload": ngram_trie._pack(struct.pack("<q", len(words)), *parts, np.packbits(np.arange(200) % 7 != 2))})
+        entries += rows[-1]["n"]
+
+    class Asked:
+        def repartitionById(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = ngram_trie.answers(Asked(), 32, 10**9, 10**6, ngram_trie.Hot.of([], 4_000_000))
+    batch = pa.RecordBatch.from_pylist(rows, schema=ngram_trie.ARROW)
+    del rows
+    tracemalloc.start()
+    try:
+        got = [(r["chunk"], r["n"]) for out in run(iter([batch])) for r in out.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(c for c, _ in got) == list(range(32)) and all(n == 200 for _, n in got)
+    assert peak / entries < 100, peak / entries
+
+
 def test_words_are_counted_without_items(spark, odd):
     for items in ([], [("a", "!!"), ("b", None)]):
         rows = decontaminate.summary(decontaminate.scan(odd, spark.createDataFrame(items, "item_id string, text string"), ["doc_id", "text"]).select("doc_id", "text", "n_words", "spans", "items"))
