@@ -408,3 +408,38 @@ def test_rouge_l(spark):
     for a, b, want in (("the cat sat", "the cat sat", 1.0), ("a b c d", "b d", 2 * 2 / 6), ("", "x", 0.0), (None, None, 0.0), ("x y", "z", 0.0)):
         df = spark.createDataFrame([(a, b)], "a string, b string")
         assert abs(df.select(X.rouge_l(F.col("a"), F.col("b"))).first()[0] - want) < 1e-9
+
+
+def test_near_sets_in_many_blocks(spark, monkeypatch):
+    """Blocks of five sets in several stripes against brute force: rare n-grams beyond those with a bit, nulls, short texts, copies, equal and missing scores."""
+    import itertools
+    import random
+
+    from quern.operators import near_sets as N
+
+    monkeypatch.setattr(N, "BLOCK", 5)
+    rnd = random.Random(3)
+    texts = [None, "", "a", "ab", "!", "abc"]
+    for i in range(520):
+        letters = "abcdefghijklmnopqrstuvwxyzéßñöçüà0123456789" if i % 2 else "aeth "
+        texts.append("".join(rnd.choice(letters) for _ in range(rnd.choice((20, 60, 250)))) if i % 4 < 2 else texts[-2][:-3] + rnd.choice(("xyz", "äöü")))
+    texts += [texts[9].upper(), texts[300], None]
+    rows = [(f"k{i % 7}{i:04}", t, None if i % 50 == 8 else i * 7 % 5) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, text string, score int").repartition(3)
+    norm = {r["id"]: r["t"] for r in df.select("id", T.comparable(F.col("text")).alias("t")).collect()}
+    grams = {k: None if t is None else frozenset([t] if len(t) < 3 else (t[i : i + 3] for i in range(len(t) - 2))) for k, t in norm.items()}
+    score = {k: s for k, _, s in rows}
+    classes = {g: sorted(k for k in grams if grams[k] == g) for g in set(grams.values())}
+    assert len({x for g in classes if g for x in g}) > N.WORDS and len(N._stripes(N._figures(N.gram_sets(df, "id", T.comparable(F.col("text")), 3).filter("g IS NOT NULL"))[1], 0.7)[1]) > 3
+    best = {c[0]: min(c, key=lambda k: (score[k] is None, -(score[k] or 0), k)) for c in classes.values()}
+    sets = {c[0]: g for g, c in classes.items() if g is not None}
+    near, lost = {}, set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both / (len(sets[a]) + len(sets[b]) - both) >= 0.7:
+            near[a, b] = both / (len(sets[a]) + len(sets[b]) - both)
+            sa, sb = score[best[a]], score[best[b]]
+            lost.add(b if sa is not None and sb is not None and sa >= sb else a)
+    assert len(near) > 100 and lost
+    assert {(r["a"], r["b"]): r["similarity"] for r in D.similar_pairs(df, "id", "text", 0.7).collect()} == near
+    assert {r["id"] for r in D.drop_near(df, "id", "text", "score", 0.7).collect()} == {i for c, i in best.items() if c not in lost}
