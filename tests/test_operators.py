@@ -443,3 +443,20 @@ def test_near_sets_in_many_blocks(spark, monkeypatch):
     assert len(near) > 100 and lost
     assert {(r["a"], r["b"]): r["similarity"] for r in D.similar_pairs(df, "id", "text", 0.7).collect()} == near
     assert {r["id"] for r in D.drop_near(df, "id", "text", "score", 0.7).collect()} == {i for c, i in best.items() if c not in lost}
+
+
+def test_spans_come_in_bounded_pieces(spark):
+    """A batch of many texts is never held as spans at once, and nothing of it is lost."""
+    import re
+
+    import pyarrow as pa
+
+    texts = ["a bc\n\n d\n" * n for n in (1, 20, 0, 150_000)] * 4 + [None]
+    for pattern, trimmed in ((r"\S+", False), (r"[^\n]+(?:\n[^\n]+)*", True)):
+        out = list(T._spans(pattern, trimmed).func(iter([pa.array(texts)])))
+        assert len(out) >= 4 and max(len(o.values) for o in out) <= 3 * 150_100
+        rows = out[0].slice(0, 3).to_pylist()
+        assert sum(map(len, out)) == len(texts) and out[-1][-1].as_py() is None and rows[2] == []
+        want = [[x.strip() for x in (re.split("\n{2,}", t) if trimmed else t.split()) if x.strip()] for t in texts[:3]]
+        assert [[s["text"] for s in r] for r in rows] == want
+        assert all(t[s["start"] : s["end"]] == s["text"] for t, r in zip(texts[:3], rows) for s in r)
