@@ -460,3 +460,28 @@ def test_spans_come_in_bounded_pieces(spark):
         want = [[x.strip() for x in (re.split("\n{2,}", t) if trimmed else t.split()) if x.strip()] for t in texts[:3]]
         assert [[s["text"] for s in r] for r in rows] == want
         assert all(t[s["start"] : s["end"]] == s["text"] for t, r in zip(texts[:3], rows) for s in r)
+
+
+def test_vector_search_over_many_blocks(spark):
+    """More queries and items in a task than a block of scores holds, with equal vectors and ids of text, against all pairs."""
+    import numpy as np
+
+    from quern.operators.best import BLOCK, Best
+
+    x = np.random.default_rng(5).integers(-3, 4, size=(2 * BLOCK + 77, 4)).astype(float)
+    ids = [f"v{i * 7919 % 100_000:05}" for i in range(len(x))]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    best = Best(len(x), 3)
+    best.add(0, unit[:5] @ unit[:5].T, np.array(ids[:5], dtype=object), np.array(ids, dtype=object))
+    best.settle()
+    assert np.bincount(best.row).max() == 3 and all(ids[r] != i for r, i in zip(best.row, best.ids))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, v array<double>").repartition(2)
+    q = df.select(F.col("id").alias("q"), "v")
+    got = {}
+    for r in X.vector_search(df, q, "id", "v", "q", k=3).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["id"], round(r["cos"], 6)))
+    cos = np.round(unit @ unit.T, 6)
+    assert len(got) == len(x) and all(len(v) == 3 for v in got.values())
+    for r in range(0, len(x), 97):
+        want = sorted((-cos[r, t], ids[t]) for t in range(len(x)) if t != r)[:3]
+        assert [c for _, c in got[ids[r]]] == [-c for c, _ in want] and ids[r] not in [i for i, _ in got[ids[r]]]
