@@ -485,3 +485,12 @@ def test_vector_search_over_many_blocks(spark):
     for r in range(0, len(x), 97):
         want = sorted((-cos[r, t], ids[t]) for t in range(len(x)) if t != r)[:3]
         assert [c for _, c in got[ids[r]]] == [-c for c, _ in want] and ids[r] not in [i for i, _ in got[ids[r]]]
+
+
+def test_normal_form_comes_in_bounded_pieces(spark):
+    """A batch of many texts is normalised a piece at a time; nulls stay."""
+    import pyarrow as pa
+
+    texts = ["é" * 200_000, None, "a", "é" * 300_000, ""] * 3
+    out = list(T.nfc.func(iter([pa.array(texts)])))
+    assert len(out) >= 3 and [t for o in out for t in o.to_pylist()] == [None if t is None else "é" * (len(t) // 2) or t for t in texts]
