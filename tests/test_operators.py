@@ -494,3 +494,33 @@ def test_normal_form_comes_in_bounded_pieces(spark):
     texts = ["é" * 200_000, None, "a", "é" * 300_000, ""] * 3
     out = list(T.nfc.func(iter([pa.array(texts)])))
     assert len(out) >= 3 and [t for o in out for t in o.to_pylist()] == [None if t is None else "é" * (len(t) // 2) or t for t in texts]
+
+
+def test_bm25_many_in_blocks(spark):
+    """Blocks of queries and of documents against plain sums: copies, nulls, empty texts, a query twice and one without terms."""
+    import math
+    import random
+
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 40))) for _ in range(120)]
+    texts += [texts[3], texts[3].upper(), texts[3], None, "", "é!"]
+    df = spark.createDataFrame([(f"d{i * 37 % 1000:03}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    asked = [("a", "w1 W2 w2, nothing"), ("b", texts[3]), ("a", "w3"), ("c", "..."), ("d", None)]
+    tokens = {f"d{i * 37 % 1000:03}": None if t is None else "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split() for i, t in enumerate(texts)}
+    there = [t for t in tokens.values() if t is not None]
+    average = sum(map(len, there)) / len(there)
+    want = {}
+    for q, terms in (("a", {"w1", "w2", "w3", "nothing"}), ("b", set(texts[3].split()))):
+        score = {}
+        for d, t in tokens.items():
+            for w in terms & set(t or ()):
+                n = sum(w in x for x in there)
+                score[d] = score.get(d, 0) + math.log(1 + (len(tokens) - n + 0.5) / (n + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average))
+        want[q] = [(d, round(s, 6)) for d, s in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4]]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    for size in (1 << 20, 40):
+        got = {}
+        for r in X.bm25_many(df, queries, k=4, max_broadcast=size).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 6)))
+        assert got == want
